@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.html_text import extract
+from tessera.llm.language import identify
+from tessera.llm.quality import classify
 from tessera.llm.top_k import top_k
 from tessera.sources.tables import table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best candidates of every query vector."""
     return top_k(table(spark, sf_dir, "embeddings"), k=20)
@@ -29,8 +37,18 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_topk": op5_topk}
+    return {"op1_html": op1_html, "op5_topk": op5_topk, "op8_quality": op8_quality, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def packed(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         held: dict[int, list] = {}
         for batch in batches:
             w = batch.column("w")
-            widths = pa.compute.list_value_length(w).to_numpy(zero_copy_only=False)
+            widths = pc.list_value_length(w).to_numpy(zero_copy_only=False)
             ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
             values, ends = w.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(widths)
             for width in np.unique(widths):
