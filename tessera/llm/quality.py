@@ -24,7 +24,9 @@ KINDS[[ord(c) for c in ".,;:?'\"()-"]] = 4
 KINDS[ord("!")], KINDS[ord("|")] = 7, 8
 WIDTH = 14
 #: Weight of the pooled diagonal in a class covariance.
-SHRINKAGE = 0.1
+SHRINKAGE = 0.02
+#: Added to the sizes that counts are divided by, so that a mark or two don't decide on a short text.
+PRIOR_BYTES, PRIOR_WORDS = 32, 8
 #: Added to the variances of the standardised statistics.
 RIDGE = 1e-3
 
@@ -48,14 +50,14 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     length = (ends - starts).astype(float)
     mean = np.bincount(doc, length, n) / np.maximum(count, 1)
     square = np.bincount(doc, length**2, n) / np.maximum(count, 1)
-    share = np.sqrt(kinds / np.maximum(size, 1)[:, None])
+    share = np.sqrt(kinds / (size + PRIOR_BYTES)[:, None])
     out = np.column_stack(
         [
             np.log1p(count),
             mean,
             np.sqrt(np.maximum(square - mean**2, 0)),
             np.log1p(distinct) / np.log1p(np.maximum(count, 1)) * (count > 0),
-            np.sqrt(repeated / np.maximum(count, 1)),
+            np.sqrt(repeated / (count + PRIOR_WORDS)),
             np.log1p(count / lines),
             share[:, [1, 2, 3, 4, 5, 6, 7, 8]],
         ]
