@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.html_text import extract
 from tessera.llm.language import identify
+from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.quality import classify
 from tessera.llm.top_k import top_k
 from tessera.sources.tables import table
@@ -19,6 +20,11 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best candidates of every query vector."""
     return top_k(table(spark, sf_dir, "embeddings"), k=20)
@@ -48,7 +54,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op5_topk": op5_topk, "op8_quality": op8_quality, "op10_language": op10_language}
+    return {"op1_html": op1_html, "op4_near_dedup": op4_near_dedup, "op5_topk": op5_topk, "op8_quality": op8_quality, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
