@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.html_text import extract
 from tessera.llm.language import identify
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.pii import pseudonymise
 from tessera.llm.quality import classify
 from tessera.llm.top_k import top_k
 from tessera.sources.tables import table
@@ -48,13 +49,22 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: The key of op9's permutation here; a user passes one of their own.
+PII_KEY = "example key of the registered query"
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal values under pseudonyms."""
+    return pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     return identify(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op4_near_dedup": op4_near_dedup, "op5_topk": op5_topk, "op8_quality": op8_quality, "op10_language": op10_language}
+    return {"op1_html": op1_html, "op4_near_dedup": op4_near_dedup, "op5_topk": op5_topk, "op8_quality": op8_quality, "op9_pii": op9_pii, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
