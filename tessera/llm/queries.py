@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.html_text import extract
 from tessera.llm.language import identify
+from tessera.llm.line_dedup import without_recurring_lines
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.pii import pseudonymise
 from tessera.llm.quality import classify
@@ -21,6 +22,11 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its recurring lines, and how many went."""
+    return without_recurring_lines(table(spark, sf_dir, "documents"), dropped="n_dropped").select("doc_id", "text", "n_dropped")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -64,7 +70,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op4_near_dedup": op4_near_dedup, "op5_topk": op5_topk, "op8_quality": op8_quality, "op9_pii": op9_pii, "op10_language": op10_language}
+    return {"op1_html": op1_html, "op3_lines": op3_lines, "op4_near_dedup": op4_near_dedup, "op5_topk": op5_topk, "op8_quality": op8_quality, "op9_pii": op9_pii, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
