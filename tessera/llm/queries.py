@@ -13,6 +13,7 @@ from tessera.llm.line_dedup import without_recurring_lines
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.pii import pseudonymise
 from tessera.llm.quality import classify
+from tessera.llm.repeats import repeats
 from tessera.llm.top_k import top_k
 from tessera.sources.tables import table
 
@@ -22,6 +23,11 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages that stand in several documents."""
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its recurring lines, and how many went."""
     return without_recurring_lines(table(spark, sf_dir, "documents"), dropped="n_dropped").select("doc_id", "text", "n_dropped")
@@ -70,7 +76,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op3_lines": op3_lines, "op4_near_dedup": op4_near_dedup, "op5_topk": op5_topk, "op8_quality": op8_quality, "op9_pii": op9_pii, "op10_language": op10_language}
+    return {"op1_html": op1_html, "op2_repeats": op2_repeats, "op3_lines": op3_lines, "op4_near_dedup": op4_near_dedup, "op5_topk": op5_topk, "op8_quality": op8_quality, "op9_pii": op9_pii, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
