@@ -3,10 +3,9 @@
 A document is the set of its distinct word shingles. One permutation deals the
 shingles into bins, whose minima are the signature; empty bins borrow from a
 bin chosen by a hash of their own number (optimal densification). Bands of the
-signature are bucket keys. In a bucket every document is paired with the
-bucket's smallest document only, a star, and pairs are confirmed on full sets.
-Those that their centre doesn't match form buckets again, with more bands in
-the key, until none is left, so a link isn't lost with its star.
+signature are bucket keys. In a bucket documents are paired with the centres of
+stars: the smallest document, and each later one that no centre before it
+resembles by signature. All pairs are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -26,6 +25,10 @@ ROWS = 4
 BANDS = BINS // ROWS
 WORDS = 5
 PERCENT = 75
+#: Bins that agree, of a pair that may link (five standard deviations under 75 %), and of one that counts as resembling.
+MAY, ALIKE = 68, 100
+#: Members of a bucket that one task compares; larger buckets are salted, and their centres meet again.
+MOST, ROUNDS = 8192, 3
 #: Added to the hash of a word by its place in a shingle.
 PLACE = np.cumsum(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 _tables: dict[str, np.ndarray] = {}
@@ -96,7 +99,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def profiles(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n, f, g, bands): set size, two fingerprints of the set, bucket keys; a row for each row of documents."""
+    """(id, n, f, g, bands, sig): set size, two fingerprints of the set, bucket keys, a byte of each bin; a row for each row of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
@@ -107,12 +110,14 @@ def profiles(documents: DataFrame, key: str, text: str) -> DataFrame:
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
             other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values + np.uint64(99)), dtype=np.uint64)])
             f, g = sums[bounds[1:]] - sums[bounds[:-1]], other[bounds[1:]] - other[bounds[:-1]]
-            keys = band_keys(signatures(values, owner, rows))
+            signature = signatures(values, owner, rows)
+            keys = band_keys(signature)
+            low = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.arange(0, BINS * rows + 1, BINS, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(signature.astype(np.uint8)))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n.astype(np.int64)), pa.array(signed(f)), pa.array(signed(g)), lists(signed(keys.ravel()), np.arange(rows + 1) * BANDS)], names=["id", "n", "f", "g", "bands"]
+                [batch.column("id"), pa.array(n.astype(np.int64)), pa.array(signed(f)), pa.array(signed(g)), lists(signed(keys.ravel()), np.arange(rows + 1) * BANDS), low], names=["id", "n", "f", "g", "bands", "sig"]
             )
 
-    return documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id bigint, n bigint, f bigint, g bigint, bands array<bigint>")
+    return documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id bigint, n bigint, f bigint, g bigint, bands array<bigint>, sig binary")
 
 
 def full_sets(documents: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -132,12 +137,118 @@ def full_sets(documents: DataFrame, key: str, text: str, wanted: DataFrame) -> D
     return rows.select("id", "f", "t").mapInArrow(run, "id bigint, hashes array<bigint>").dropDuplicates(["id"])
 
 
-def linked(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """The edges (a, b) whose full sets have a Jaccard similarity of PERCENT or more."""
+def tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with ``ok``: the full sets have a Jaccard similarity of PERCENT or more."""
     a = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
     b = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
-    return edges.join(a, "a").join(b, "b").where(100 * both >= PERCENT * (F.size("ha") + F.size("hb") - both)).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", (100 * both >= PERCENT * (F.size("ha") + F.size("hb") - both)).alias("ok"))
+
+
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket, salt and id to pairs (a, b, alike) of a centre and a member that may link.
+
+    The centres themselves come back as (bucket, a) of a salted bucket. Sets
+    whose sizes rule a link out aren't paired.
+    """
+
+    def out(bucket, a, b, alike):
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "alike": pa.array(alike, pa.bool_())})
+
+    def group(bucket, ids, n, force, salted, signature):
+        free, m = np.ones(len(ids), bool), len(ids)
+        was_centre = np.zeros(m, bool)
+        for i in range(m):
+            if not (free[i] or force[i]):
+                continue
+            was_centre[i] = True
+            others = np.flatnonzero(~was_centre & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
+            same = (signature[others] == signature[i]).sum(axis=1)
+            free[others[same >= ALIKE]] = False
+            near = others[same >= MAY]
+            if len(near):
+                yield out(np.full(len(near), bucket), np.maximum(ids[i], ids[near]), np.minimum(ids[i], ids[near]), same[same >= MAY] >= ALIKE)
+        if salted:
+            c = ids[was_centre]
+            yield out(np.full(len(c), bucket), c, [None] * len(c), [None] * len(c))
+
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def flush():
+        t = pa.Table.from_batches(held).combine_chunks()
+        bucket, salt = t.column("bucket").to_numpy(), t.column("salt").to_numpy()
+        cols = [t.column(c).to_numpy() for c in ("id", "n", "force", "salted")]
+        sig = t.column("sig").combine_chunks()
+        if isinstance(sig, pa.ChunkedArray):
+            sig = sig.chunk(0)
+        signature = flat(sig)[0].reshape(len(bucket), BINS)
+        at = np.append(run_starts(bucket, salt), len(bucket))
+        for s, e in zip(at[:-1], at[1:]):
+            if e - s > 1 or cols[3][s]:
+                ids, n, force, salted = (c[s:e] for c in cols)
+                yield from group(bucket[s], ids, n, force, salted[0], signature[s:e])
+
+    for batch in batches:
+        # whole groups at a time: the last one may go on in the next batch
+        bucket, salt = batch.column("bucket").to_numpy(), batch.column("salt").to_numpy()
+        if not len(bucket):
+            continue
+        at = run_starts(bucket, salt)
+        if held and (bucket[0], salt[0]) == last:
+            cut = int(at[1]) if len(at) > 1 else len(bucket)
+            held.append(batch.slice(0, cut))
+            batch, at = batch.slice(cut), at[1:] - cut
+        if batch.num_rows:
+            if held:
+                yield from flush()
+            held, last = [], (bucket[-1], salt[-1])
+            if len(at) > 1:
+                held = [batch.slice(0, int(at[-1]))]
+                yield from flush()
+            held = [batch.slice(int(at[-1]))]
+    if held:
+        yield from flush()
+
+
+def star_pairs(members: DataFrame, bands: DataFrame, forced: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b, alike) of centres and members over all buckets of members(bucket, id, n, sig).
+
+    A bucket of over MOST members is dealt out by a salt; the centres of its
+    parts meet in a next round, with one band more in the key, so that what
+    only happens to share a band comes apart. What is left after ROUNDS rounds
+    is compared whole, bucket by bucket.
+    """
+    pairs, turn = None, 0
+    rows = members.withColumn("force", F.lit(False)) if forced is None else members.join(forced.withColumn("force", F.lit(True)), ["bucket", "id"], "left").fillna(False, ["force"])
+    rows = rows.withColumn("band_no", F.lit(-1))
+    while True:
+        turn += 1
+        large = rows.groupBy("bucket").agg(F.count("*").alias("m")).where((F.col("m") > MOST) & F.lit(turn <= ROUNDS))
+        split = rows.join(large, "bucket", "left").withColumn("salted", F.col("m").isNotNull())
+        split = split.withColumn("salt", F.when(F.col("salted"), F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / MOST))).otherwise(F.lit(0).cast("bigint"))).drop("m")
+        found = split.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "id").mapInArrow(stars, "bucket bigint, a bigint, b bigint, alike boolean").checkpoint()
+        new = found.where("b is not null")
+        pairs = new if pairs is None else pairs.union(new)
+        centres = found.where("b is null").select("bucket", F.col("a").alias("id")).distinct()
+        if centres.isEmpty():
+            return pairs
+        again = centres.join(rows, ["bucket", "id"]).join(bands, "id").select("bucket", "id", "n", "sig", "force", "band_no", F.posexplode("bands").alias("i", "band"))
+        rows = again.where("i > band_no and band <> bucket").select(F.xxhash64("bucket", "band").alias("bucket"), "id", "n", "sig", "force", F.col("i").alias("band_no"))
+
+
+def star_edges(members: DataFrame, bands: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links (a, b). A member that resembled centres, none of which the full sets confirm, becomes a centre too."""
+    pairs = star_pairs(members, bands)
+    known = tested(pairs.select("a", "b").distinct(), sets).checkpoint()
+    marks = pairs.where("alike").join(known, ["a", "b"])
+    ends = marks.select("bucket", F.col("a").alias("id"), "ok").union(marks.select("bucket", F.col("b").alias("id"), "ok"))
+    forced = ends.groupBy("bucket", "id").agg(F.bool_or("ok").alias("ok")).where("not ok").select("bucket", "id").checkpoint()
+    if not forced.isEmpty():
+        some = members.join(forced.select("bucket").distinct(), "bucket", "left_semi")
+        more = star_pairs(some, bands, forced).select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
+        known = known.union(tested(more, sets).checkpoint())
+    return known.where("ok").select("a", "b")
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -150,45 +261,17 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     a key are one document (if their texts differ, that of the smallest
     fingerprint); a null key gives one row that links with nothing and is kept.
     """
-    rows = profiles(documents, key, text).groupBy("id").agg(F.min(F.struct("f", "g", "n", "bands")).alias("p")).select("id", "p.*").checkpoint()
+    rows = profiles(documents, key, text).groupBy("id").agg(F.min(F.struct("f", "g", "n", "bands", "sig")).alias("p")).select("id", "p.*").checkpoint()
     # equal sets are one class, represented by its smallest document
     classes = rows.where("n > 0 and id is not null").groupBy("f", "g", "n").agg(F.min("id").alias("rep"))
     member = rows.select("id", "f", "g", "n").join(classes, ["f", "g", "n"], "left")
     reps = rows.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").where("n > 0")
-    entries = reps.select("id", "n", "f", "bands", F.explode("bands").alias("bucket"))
-    slim = entries.select("bucket", "id", "n")
-    edges = None
-    depth = 1
-    tested = None
-    while True:
-        centres = slim.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("bucket", F.col("c.id").alias("b"), F.col("c.n").alias("bn"))
-        inside = slim.join(centres, "bucket").where("id <> b").checkpoint()
-        # sizes alone rule out a pair whose smaller set is under PERCENT of the larger
-        pairs = inside.where((100 * F.least("n", "bn") >= PERCENT * F.greatest("n", "bn"))).select(F.col("id").alias("a"), "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = pairs.checkpoint()
-        if pairs.isEmpty() and inside.isEmpty():
-            break
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        wanted = rows.select("id", "f").join(ends, "id", "left_semi")
-        good = linked(pairs, full_sets(documents, key, text, wanted)).checkpoint()
-        edges = good if edges is None else edges.union(good)
-        tested = pairs if tested is None else tested.union(pairs)
-        # those that no centre of their bucket matched, with the next band in the key
-        left = inside.join(edges.withColumnRenamed("a", "id"), ["id", "b"], "left_anti").select("bucket", "id", "n")
-        again = left.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-        left = left.join(again, "bucket", "left_semi")
-        more = reps.select("id", F.posexplode("bands").alias("i", "next"))
-        finer = left.join(more, "id").select(F.xxhash64("bucket", "next").alias("bucket"), "id", "n") if depth <= 2 else left
-        slim = finer.checkpoint()
-        depth += 1
-        if slim.isEmpty():
-            break
-    if edges is None:
-        roots = rows.select("id").limit(0).select("id", F.col("id").alias("component"))
-    else:
-        roots = components(edges)
+    entries = reps.select(F.explode("bands").alias("bucket"), "id", "n")
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
+    members = entries.join(shared, "bucket").join(rows.select("id", "sig"), "id").checkpoint()
+    wanted = rows.select("id", "f").join(members.select("id").distinct(), "id", "left_semi")
+    sets = full_sets(documents, key, text, wanted).checkpoint()
+    roots = components(star_edges(members, reps.select("id", "bands"), sets))
     out = member.join(roots.select(F.col("id").alias("rep"), "component"), "rep", "left")
     found = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("id") == found, F.lit(True)).alias("kept"))

@@ -7,6 +7,15 @@ from tessera.llm.kernels import flat
 from tessera.llm.near_dedup import near_duplicates, shingle_sets
 
 
+def test_large_buckets_are_salted(spark, monkeypatch):
+    import tessera.llm.near_dedup as module
+
+    monkeypatch.setattr(module, "MOST", 6)
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {tuple(r) for r in near_duplicates(df).collect()} == brute(rows)
+
+
 def brute(rows):
     def shingles(t):
         w = [x for x in __import__("re").split(r"[\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) if x]
