@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.decontaminate import contaminated
 from tessera.llm.html_text import extract
 from tessera.llm.language import identify
 from tessera.llm.line_dedup import without_recurring_lines
@@ -61,6 +62,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: The key of op9's permutation here; a user passes one of their own.
 PII_KEY = "example key of the registered query"
 
@@ -76,7 +82,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op2_repeats": op2_repeats, "op3_lines": op3_lines, "op4_near_dedup": op4_near_dedup, "op5_topk": op5_topk, "op8_quality": op8_quality, "op9_pii": op9_pii, "op10_language": op10_language}
+    return {"op1_html": op1_html, "op2_repeats": op2_repeats, "op3_lines": op3_lines, "op4_near_dedup": op4_near_dedup, "op5_topk": op5_topk, "op7_contamination": op7_contamination, "op8_quality": op8_quality, "op9_pii": op9_pii, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
