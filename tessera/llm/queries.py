@@ -12,6 +12,7 @@ from tessera.llm.html_text import extract
 from tessera.llm.language import identify
 from tessera.llm.line_dedup import without_recurring_lines
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.pieces import encode
 from tessera.llm.pii import pseudonymise
 from tessera.llm.quality import classify
 from tessera.llm.repeats import repeats
@@ -62,6 +63,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every document."""
+    return encode(table(spark, sf_dir, "documents"))
+
+
 def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark item."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -82,7 +88,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op2_repeats": op2_repeats, "op3_lines": op3_lines, "op4_near_dedup": op4_near_dedup, "op5_topk": op5_topk, "op7_contamination": op7_contamination, "op8_quality": op8_quality, "op9_pii": op9_pii, "op10_language": op10_language}
+    return {"op1_html": op1_html, "op2_repeats": op2_repeats, "op3_lines": op3_lines, "op4_near_dedup": op4_near_dedup, "op5_topk": op5_topk, "op6_pieces": op6_pieces, "op7_contamination": op7_contamination, "op8_quality": op8_quality, "op9_pii": op9_pii, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
