@@ -46,6 +46,9 @@ class Vocabulary:
         order = np.argsort(h)
         self.hashes, self.ids = h[order], np.array(ids)[order]
         self.weights = -ALPHA * np.log(2.0 + np.array(ids) - ids[0])[order]
+        #: Whether a hash's top bits are those of a piece at all.
+        self.bits = np.zeros(1 << 21, bool)
+        self.bits[(h >> np.uint64(43)).astype(np.int64)] = True
         self.longest = max(map(len, codes))
         self.byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         spelt = [b""] * sp.vocab_size()
@@ -78,7 +81,7 @@ class Lattices:
         self.root: dict[int, int] = {}
         self.nodes = 0
         self.first = np.zeros(1, np.int64)  # first edge of each node, and the end
-        self.total = np.zeros(0)  # node number plus the cumulated probability of its edges
+        self.total = np.zeros(0)  # cumulated probability of a node's edges
         self.logp, self.to = np.zeros(0), np.zeros(0, np.int64)
         self.id_at, self.id_n, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
@@ -98,6 +101,8 @@ class Lattices:
             if not len(at):
                 break
             h = mix((sums[at + k] - sums[at]) * down[at])
+            likely = self.v.bits[(h >> np.uint64(43)).astype(np.int64)]
+            at, h = at[likely], h[likely]
             i = np.minimum(np.searchsorted(self.v.hashes, h), len(self.v.hashes) - 1)
             hit = self.v.hashes[i] == h
             at, i = at[hit], i[hit]
@@ -122,7 +127,7 @@ class Lattices:
             total = np.log(np.add.reduceat(np.exp(value - np.repeat(top, count)), at)) + top
             beta[node[s:e][at]] = total
             prob[s:e] = value - np.repeat(total, count)
-        order = np.lexsort((length, node))
+        order = np.lexsort((-prob, node))  # the likeliest first: a walk then mostly takes the first
         node, length, piece, left, prob = (x[order] for x in (node, length, piece, left, prob))
         count = np.bincount(node, minlength=n)
         first = np.concatenate([[0], np.cumsum(count)])
@@ -141,7 +146,7 @@ class Lattices:
         self.id_at = np.concatenate([self.id_at, len(self.pool) + np.cumsum(id_n) - id_n])
         self.id_n, self.pool = np.concatenate([self.id_n, id_n]), np.concatenate([self.pool, pool.astype(np.int32)])
         self.first = np.concatenate([self.first, self.first[-1] + first[1:]])
-        self.total = np.concatenate([self.total, run + np.repeat(np.arange(self.nodes, self.nodes + n), count)])
+        self.total = np.concatenate([self.total, run])
         self.logp, self.to = np.concatenate([self.logp, prob]), np.concatenate([self.to, to])
         self.root.update(zip(hashes.tolist(), (bounds[:-1] + self.nodes).tolist()))
         self.nodes += n
@@ -154,7 +159,11 @@ class Lattices:
         while len(path):
             seed = mix(seed + np.uint64(0x9E3779B97F4A7C15))
             u = (seed >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.clip(np.searchsorted(self.total, node + u, "right"), self.first[node], self.first[node + 1] - 1)
+            edge, last = self.first[node], self.first[node + 1] - 1
+            on = np.flatnonzero((u > self.total[edge]) & (edge < last))
+            while len(on):
+                edge[on] += 1
+                on = on[(u[on] > self.total[edge[on]]) & (edge[on] < last[on])]
             of.append(path), edges.append(edge)
             node = self.to[edge]
             on = node >= 0
