@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,6 +17,12 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder now: their lineage ends there, and a lost executor loses nothing of them."""
+    shared_folder(rows.sparkSession)
+    return rows.checkpoint()
+
+
 def session(app: str = "tessera", **conf: str) -> SparkSession:
     """A session with the settings that the queries assume: UTC and adaptive execution."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
