@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import kept
+
 
 def _mark(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -19,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     number beyond one a vertex and neighbour, and the rounds are about the
     logarithm of the diameter. Each round's edges go to the checkpoint folder.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    e = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _mark(e)
     while before[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -27,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        e = small.union(least.select("a", F.col("m").alias("b"))).distinct().checkpoint()
+        e = kept(small.union(least.select("a", F.col("m").alias("b"))).distinct())
         now = _mark(e)
         if now == before:
             break

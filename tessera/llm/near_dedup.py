@@ -3,9 +3,11 @@
 A document is the set of its distinct word shingles. One permutation deals the
 shingles into bins, whose minima are the signature; empty bins borrow from a
 bin chosen by a hash of their own number (optimal densification). Bands of the
-signature are bucket keys. In a bucket documents are paired with the centres of
-stars: the smallest document, and each later one that no centre before it
-resembles by signature. All pairs are confirmed on full sets.
+signature are bucket keys. In a bucket documents form stars: a centre, the one
+most like the others, is paired with all that may link with it, then another
+for those that are left. Pairs are confirmed on full sets. Who isn't in the
+largest component of a bucket after that is paired with its likeliest partners
+of other components, and who still isn't with all that may link.
 """
 
 from __future__ import annotations
@@ -19,14 +21,17 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.kernels import LOWER, flat, lists, mix, run_starts, signed, slices, span_hashes, words
+from tessera.session import kept
 
 BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
 WORDS = 5
 PERCENT = 75
-#: Bins that agree, of a pair that may link (five standard deviations under 75 %), and of one that counts as resembling.
-MAY, ALIKE = 68, 100
+#: Bins that agree, at least, of a pair that may link: over four standard deviations under 75 %.
+MAY = 75
+#: Partners that one outside the largest component is paired with first.
+FIRST = 4
 #: Members of a bucket that one task compares; larger buckets are salted, and their centres meet again.
 MOST, ROUNDS = 8192, 3
 #: Added to the hash of a word by its place in a shingle.
@@ -145,109 +150,132 @@ def tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", (100 * both >= PERCENT * (F.size("ha") + F.size("hb") - both)).alias("ok"))
 
 
-def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket, salt and id to pairs (a, b, alike) of a centre and a member that may link.
+def stars(phase: int):
+    """A mapInArrow function: rows sorted by bucket, salt and id to pairs (a, b) that may link.
 
-    The centres themselves come back as (bucket, a) of a salted bucket. Sets
-    whose sizes rule a link out aren't paired.
+    Phase 1 pairs each member with one centre; the centres of a salted bucket
+    come back as (bucket, a). Phases 2 and 3 pair the members outside the
+    largest component with members of other components: the FIRST likeliest,
+    then all that may link. Sets whose sizes rule a link out aren't paired.
     """
 
-    def out(bucket, a, b, alike):
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "alike": pa.array(alike, pa.bool_())})
-
-    def group(bucket, ids, n, force, salted, signature):
-        free, m = np.ones(len(ids), bool), len(ids)
-        was_centre = np.zeros(m, bool)
-        for i in range(m):
-            if not (free[i] or force[i]):
-                continue
-            was_centre[i] = True
-            others = np.flatnonzero(~was_centre & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
-            same = (signature[others] == signature[i]).sum(axis=1)
-            free[others[same >= ALIKE]] = False
-            near = others[same >= MAY]
-            if len(near):
-                yield out(np.full(len(near), bucket), np.maximum(ids[i], ids[near]), np.minimum(ids[i], ids[near]), same[same >= MAY] >= ALIKE)
+    def out(bucket, a, b):
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(np.full(len(a), bucket), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    def pair(x, y):
+        return np.maximum(x, y), np.minimum(x, y)
+
+    def first_stars(bucket, ids, n, signature, salted):
+        free, centres = np.arange(len(ids)), []
+        while len(free):
+            own = signature[free]
+            modal = np.zeros(BINS, np.uint8) if len(free) < 3 else np.array([np.bincount(own[:, i], minlength=256).argmax() for i in range(BINS)], np.uint8)
+            k = int((own == modal).sum(axis=1).argmax()) if len(free) > 2 else 0
+            c = free[k]
+            centres.append(ids[c])
+            near = ((own == signature[c]).sum(axis=1) >= MAY) & (100 * np.minimum(n[free], n[c]) >= PERCENT * np.maximum(n[free], n[c]))
+            near[k] = False
+            if near.any():
+                yield out(bucket, *pair(ids[free[near]], ids[c]))
+            near[k] = True
+            free = free[~near]
         if salted:
-            c = ids[was_centre]
-            yield out(np.full(len(c), bucket), c, [None] * len(c), [None] * len(c))
-
-    held: list[pa.RecordBatch] = []
-    last = None
+            yield out(bucket, np.array(centres), [None] * len(centres))
+
+    def outsiders(bucket, ids, n, signature, comp, outer, visitor, salted):
+        outside = outer
+        if not salted:
+            names, count = np.unique(comp, return_counts=True)
+            outside = comp != names[count.argmax()]
+        for i in np.flatnonzero(outside):
+            others = np.flatnonzero((comp != comp[i]) & ~visitor & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
+            same = (signature[others] == signature[i]).sum(axis=1)
+            keep = np.flatnonzero(same >= MAY)
+            if phase == 2:
+                keep = keep[np.argsort(-same[keep], kind="stable")[:FIRST]]
+            if len(keep):
+                yield out(bucket, *pair(ids[others[keep]], ids[i]))
 
-    def flush():
+    def flush(held):
         t = pa.Table.from_batches(held).combine_chunks()
         bucket, salt = t.column("bucket").to_numpy(), t.column("salt").to_numpy()
-        cols = [t.column(c).to_numpy() for c in ("id", "n", "force", "salted")]
-        sig = t.column("sig").combine_chunks()
-        if isinstance(sig, pa.ChunkedArray):
-            sig = sig.chunk(0)
-        signature = flat(sig)[0].reshape(len(bucket), BINS)
+        ids, n, comp, outer, visitor, salted = (t.column(c).to_numpy() for c in ("id", "n", "comp", "outer", "visitor", "salted"))
+        signature = flat(t.column("sig"))[0].reshape(len(bucket), BINS)
         at = np.append(run_starts(bucket, salt), len(bucket))
         for s, e in zip(at[:-1], at[1:]):
-            if e - s > 1 or cols[3][s]:
-                ids, n, force, salted = (c[s:e] for c in cols)
-                yield from group(bucket[s], ids, n, force, salted[0], signature[s:e])
-
-    for batch in batches:
-        # whole groups at a time: the last one may go on in the next batch
-        bucket, salt = batch.column("bucket").to_numpy(), batch.column("salt").to_numpy()
-        if not len(bucket):
-            continue
-        at = run_starts(bucket, salt)
-        if held and (bucket[0], salt[0]) == last:
-            cut = int(at[1]) if len(at) > 1 else len(bucket)
-            held.append(batch.slice(0, cut))
-            batch, at = batch.slice(cut), at[1:] - cut
-        if batch.num_rows:
-            if held:
-                yield from flush()
-            held, last = [], (bucket[-1], salt[-1])
-            if len(at) > 1:
-                held = [batch.slice(0, int(at[-1]))]
-                yield from flush()
-            held = [batch.slice(int(at[-1]))]
-    if held:
-        yield from flush()
-
-
-def star_pairs(members: DataFrame, bands: DataFrame, forced: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b, alike) of centres and members over all buckets of members(bucket, id, n, sig).
-
-    A bucket of over MOST members is dealt out by a salt; the centres of its
-    parts meet in a next round, with one band more in the key, so that what
-    only happens to share a band comes apart. What is left after ROUNDS rounds
-    is compared whole, bucket by bucket.
+            if phase == 1 and (e - s > 1 or salted[s]):
+                yield from first_stars(bucket[s], ids[s:e], n[s:e], signature[s:e], salted[s])
+            elif phase > 1 and e - s > 1:
+                yield from outsiders(bucket[s], ids[s:e], n[s:e], signature[s:e], comp[s:e], outer[s:e], visitor[s:e], salted[s])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            # whole groups at a time: the last one may go on in the next batch
+            bucket, salt = batch.column("bucket").to_numpy(), batch.column("salt").to_numpy()
+            if not len(bucket):
+                continue
+            at = run_starts(bucket, salt)
+            if held and (bucket[0], salt[0]) == last:
+                cut = int(at[1]) if len(at) > 1 else len(bucket)
+                held.append(batch.slice(0, cut))
+                batch, at = batch.slice(cut), at[1:] - cut
+            if batch.num_rows:
+                if held:
+                    yield from flush(held)
+                last = (bucket[-1], salt[-1])
+                if len(at) > 1:
+                    yield from flush([batch.slice(0, int(at[-1]))])
+                held = [batch.slice(int(at[-1]))]
+        if held:
+            yield from flush(held)
+
+    return run
+
+
+def star_pairs(members: DataFrame, bands: DataFrame, phase: int) -> DataFrame:
+    """Pairs (a, b) over all buckets of members(bucket, id, n, sig, comp), once each.
+
+    A bucket of over MOST members is dealt out by a salt. In phase 1 the
+    centres of its parts meet in a next round, with one band more in the key,
+    so that what only happens to share a band comes apart; what is left after
+    ROUNDS rounds is compared whole. In the later phases those outside the
+    largest component visit every part.
     """
     pairs, turn = None, 0
-    rows = members.withColumn("force", F.lit(False)) if forced is None else members.join(forced.withColumn("force", F.lit(True)), ["bucket", "id"], "left").fillna(False, ["force"])
-    rows = rows.withColumn("band_no", F.lit(-1))
+    rows = members.withColumn("band_no", F.lit(-1))
     while True:
         turn += 1
-        large = rows.groupBy("bucket").agg(F.count("*").alias("m")).where((F.col("m") > MOST) & F.lit(turn <= ROUNDS))
+        large = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.mode("comp", True).alias("main")).where((F.col("m") > MOST) & F.lit(turn <= ROUNDS))
         split = rows.join(large, "bucket", "left").withColumn("salted", F.col("m").isNotNull())
-        split = split.withColumn("salt", F.when(F.col("salted"), F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / MOST))).otherwise(F.lit(0).cast("bigint"))).drop("m")
-        found = split.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "id").mapInArrow(stars, "bucket bigint, a bigint, b bigint, alike boolean").checkpoint()
-        new = found.where("b is not null")
+        parts = F.coalesce(F.ceil(F.col("m") / MOST), F.lit(1))
+        dealt = split.withColumn("own", F.pmod(F.xxhash64("id"), parts)).withColumn("outer", F.col("salted") & F.lit(phase > 1) & F.coalesce(F.col("comp") != F.col("main"), F.lit(False)))
+        dealt = dealt.withColumn("salt", F.explode(F.when(F.col("outer"), F.sequence(F.lit(0).cast("bigint"), parts - 1)).otherwise(F.array("own"))))
+        dealt = dealt.withColumn("visitor", F.col("outer") & (F.col("salt") != F.col("own"))).select("bucket", "salt", "id", "n", "sig", "comp", "salted", "outer", "visitor")
+        dealt = dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "id")
+        found = kept(dealt.mapInArrow(stars(phase), "bucket bigint, a bigint, b bigint").distinct())
+        new = found.where("b is not null").select("a", "b")
         pairs = new if pairs is None else pairs.union(new)
-        centres = found.where("b is null").select("bucket", F.col("a").alias("id")).distinct()
-        if centres.isEmpty():
-            return pairs
-        again = centres.join(rows, ["bucket", "id"]).join(bands, "id").select("bucket", "id", "n", "sig", "force", "band_no", F.posexplode("bands").alias("i", "band"))
-        rows = again.where("i > band_no and band <> bucket").select(F.xxhash64("bucket", "band").alias("bucket"), "id", "n", "sig", "force", F.col("i").alias("band_no"))
+        centres = found.where("b is null").select("bucket", F.col("a").alias("id"))
+        if phase > 1 or centres.isEmpty():
+            return pairs.distinct()
+        again = centres.join(rows, ["bucket", "id"]).join(bands, "id").select("bucket", "id", "n", "sig", "comp", "band_no", F.posexplode("bands").alias("i", "band"))
+        rows = again.where("i > band_no and band <> bucket").select(F.xxhash64("bucket", "band").alias("bucket"), "id", "n", "sig", "comp", F.col("i").alias("band_no"))
 
 
 def star_edges(members: DataFrame, bands: DataFrame, sets: DataFrame) -> DataFrame:
-    """Confirmed links (a, b). A member that resembled centres, none of which the full sets confirm, becomes a centre too."""
-    pairs = star_pairs(members, bands)
-    known = tested(pairs.select("a", "b").distinct(), sets).checkpoint()
-    marks = pairs.where("alike").join(known, ["a", "b"])
-    ends = marks.select("bucket", F.col("a").alias("id"), "ok").union(marks.select("bucket", F.col("b").alias("id"), "ok"))
-    forced = ends.groupBy("bucket", "id").agg(F.bool_or("ok").alias("ok")).where("not ok").select("bucket", "id").checkpoint()
-    if not forced.isEmpty():
-        some = members.join(forced.select("bucket").distinct(), "bucket", "left_semi")
-        more = star_pairs(some, bands, forced).select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
-        known = known.union(tested(more, sets).checkpoint())
+    """Confirmed links (a, b): every two members of a bucket that may link end in one component, or were compared in full."""
+    known, rows = None, members.withColumn("comp", F.col("id"))
+    for phase in (1, 2, 3):
+        pairs = star_pairs(rows, bands, phase)
+        if known is not None:
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        new = kept(tested(pairs, sets))
+        known = new if known is None else known.union(new)
+        if phase < 3:
+            roots = components(known.where("ok").select("a", "b"))
+            rows = members.join(roots, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     return known.where("ok").select("a", "b")
 
 
@@ -261,16 +289,16 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     a key are one document (if their texts differ, that of the smallest
     fingerprint); a null key gives one row that links with nothing and is kept.
     """
-    rows = profiles(documents, key, text).groupBy("id").agg(F.min(F.struct("f", "g", "n", "bands", "sig")).alias("p")).select("id", "p.*").checkpoint()
+    rows = kept(profiles(documents, key, text).groupBy("id").agg(F.min(F.struct("f", "g", "n", "bands", "sig")).alias("p")).select("id", "p.*"))
     # equal sets are one class, represented by its smallest document
     classes = rows.where("n > 0 and id is not null").groupBy("f", "g", "n").agg(F.min("id").alias("rep"))
     member = rows.select("id", "f", "g", "n").join(classes, ["f", "g", "n"], "left")
     reps = rows.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").where("n > 0")
     entries = reps.select(F.explode("bands").alias("bucket"), "id", "n")
     shared = entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    members = entries.join(shared, "bucket").join(rows.select("id", "sig"), "id").checkpoint()
+    members = kept(entries.join(shared, "bucket").join(rows.select("id", "sig"), "id"))
     wanted = rows.select("id", "f").join(members.select("id").distinct(), "id", "left_semi")
-    sets = full_sets(documents, key, text, wanted).checkpoint()
+    sets = kept(full_sets(documents, key, text, wanted))
     roots = components(star_edges(members, reps.select("id", "bands"), sets))
     out = member.join(roots.select(F.col("id").alias("rep"), "component"), "rep", "left")
     found = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))

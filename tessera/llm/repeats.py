@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.kernels import LOWER, flat, run_starts, signed, slices, span_hashes, words
+from tessera.session import kept
 
 #: Words of the shortest passage that counts, of a suffix's head, and grams in a minimiser's window.
 MIN_WORDS, HEAD = 50, 25
@@ -169,7 +170,7 @@ def repeats(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     order = ["h", "right", "id", "pos"]
     rows = suffixes(documents, key, text)
     sized = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.repartitionByRange(sized, *order).sortWithinPartitions(*order).mapInArrow(compared, schema).checkpoint()
+    found = kept(rows.repartitionByRange(sized, *order).sortWithinPartitions(*order).mapInArrow(compared, schema))
     # the ends of the tasks' rows, a few for each task, are compared once more among themselves
     ends = found.where("h is not null").select("h", "right", "id", "pos", "left").repartition(1).sortWithinPartitions(*order).mapInArrow(compared, schema)
     spans = found.where("h is null").union(ends.where("h is null")).select("id", "first", "last", "other")
