@@ -8,7 +8,8 @@ embedded places as its key, find the items that a window may match. Candidates
 are confirmed by the exact edit distance.
 
 A window only enters the search if enough of its words occur in the items at
-all: each other word costs an edit, so nothing within the distance is lost.
+all, and enough in few items: each other word costs an edit, and so does each
+such word of an item that is missing, so nothing within the distance is lost.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ ITEM_BLOCK = 20_000
 #: Items of fewer words match too easily to mean anything and are left out.
 LEAST_WORDS = 5
 SEED = 4711
+#: Bytes of text whose windows are embedded together.
+STEP_BYTES = 2 << 20
+#: A word is a mark of its items if it stands in so many of them at most.
+FEW = 2
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,25 +46,36 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(lowered, starts, ends), np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
-def walk_keys(h: np.ndarray, at: np.ndarray, n: int, repetition: int) -> np.ndarray:
-    """The sampled key of the CGK embedding of each window h[at:at + n].
+def walk_keys(h: np.ndarray, at: np.ndarray, size: np.ndarray, repetition: int) -> np.ndarray:
+    """The sampled key of the CGK embedding of each window h[at:at + size].
 
     At step j the walk writes the word it stands on, then moves on by one or
     not at all, as a random function of step and word says; past the end it
-    writes a blank. The embedding has 3 n steps, of which SAMPLE are kept.
+    writes a blank. Of the first 2 x size steps SAMPLE are kept, the same for
+    all windows of a size.
     """
-    steps = np.sort(np.random.default_rng([SEED, repetition, n]).choice(2 * n, SAMPLE, replace=False))
-    place = np.zeros(len(at), np.int64)
-    key = np.full(len(at), np.uint64(repetition * 1_000_003 + n), np.uint64)
-    wanted = set(steps.tolist())
-    for j in range(int(steps[-1]) + 1):
-        inside = place < n
-        word = np.where(inside, h[np.minimum(at + place, len(h) - 1)], np.uint64(0))
-        if j in wanted:
-            key = mix(key + word)
-        # one bit of the word and the step
-        move = (mix(word + np.uint64(j * 7919 + repetition * 104_729)) >> np.uint64(63)).astype(np.int64)
-        place += move
+    key = mix(np.uint64(repetition * 1_000_003) + size.astype(np.uint64))
+    sizes, of = np.unique(size, return_inverse=True)
+    steps = np.array([np.sort(np.random.default_rng([SEED, repetition, n]).choice(2 * n, SAMPLE, replace=False)) for n in sizes]).reshape(-1, SAMPLE)
+    rank = np.argsort(np.argsort(steps[:, -1], kind="stable"))  # sizes that are done first stand first
+    order = np.argsort(rank[of], kind="stable")
+    bounds = np.searchsorted(rank[of][order], np.arange(len(sizes) + 1))
+    samples: dict[int, list[int]] = {}
+    for i, row in enumerate(steps):
+        for j in row:
+            samples.setdefault(int(j), []).append(int(rank[i]))
+    here, n, start = np.zeros(len(at), np.int64), size[order], at[order]
+    last, out = steps[of, -1][order], key[order]
+    for j in range(int(last[-1]) + 1 if len(at) else 0):
+        a = int(np.searchsorted(last, j))
+        place = here[a:]
+        word = h[np.minimum(start[a:] + place, len(h) - 1)]
+        word[place >= n[a:]] = 0
+        for i in samples.get(j, ()):
+            out[bounds[i] : bounds[i + 1]] = mix(out[bounds[i] : bounds[i + 1]] + word[bounds[i] - a : bounds[i + 1] - a])
+        # one bit of the word and the step decides on the move
+        place += ((word ^ np.uint64(mix(np.array([j * 7919 + repetition * 104_729], np.uint64))[0])) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(np.int64)
+    key[order] = out
     return key
 
 
@@ -86,19 +102,25 @@ class Items:
         use = np.flatnonzero(size >= LEAST_WORDS)
         self.ids, self.words = [ids[i] for i in use], [h[first[i] : first[i + 1]] for i in use]
         self.vocabulary = np.unique(np.concatenate(self.words)) if len(use) else np.zeros(0, np.uint64)
+        items_of = np.unique(np.concatenate([np.unique(w) for w in self.words]), return_counts=True) if len(use) else (self.vocabulary, self.vocabulary)
+        self.is_mark = items_of[1] <= FEW
         #: A table of one bit each for the top bits of the vocabulary's hashes.
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
         self.by_size: dict[int, list[int]] = {}
         for i, w in enumerate(self.words):
             self.by_size.setdefault(len(w), []).append(i)
-        self.keys: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for n, own in self.by_size.items():
-            joined = np.concatenate([self.words[i] for i in own])
+        marks = self.vocabulary[self.is_mark]
+        #: By number of words: the fewest marks that a match of such an item has.
+        self.least_marks = {n: min(int(np.isin(self.words[i], marks).sum()) for i in own) - int(EDITS * n) for n, own in self.by_size.items()}
+        #: For each repetition the sorted keys of all items, and the items.
+        self.keys = []
+        if len(use):
+            joined, size = np.concatenate(self.words), np.array([len(w) for w in self.words])
             for r in range(REPETITIONS):
-                keys = walk_keys(joined, np.arange(len(own)) * n, n, r)
+                keys = walk_keys(joined, np.cumsum(size) - size, size, r)
                 order = np.argsort(keys, kind="stable")
-                self.keys[n, r] = keys[order], np.array(own)[order]
+                self.keys.append((keys[order], order))
 
     def matches(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(text number, item number, start, words, edits) of each window start that matches."""
@@ -108,35 +130,40 @@ class Items:
         near = np.flatnonzero(known)
         at = np.minimum(np.searchsorted(self.vocabulary, h[near]), len(self.vocabulary) - 1)
         known[near] = self.vocabulary[at] == h[near]
-        sums = np.concatenate([[0], np.cumsum(known)])
+        mark = np.zeros(len(h), bool)
+        mark[near] = known[near] & self.is_mark[at]
+        sums, marks = (np.concatenate([[0], np.cumsum(x)]) for x in (known, mark))
+        if not mark.any() and min(self.least_marks.values()) > 0:
+            return
         text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
         last = first[1:][text_of]
-        for n in self.by_size:
-            most = int(EDITS * n)
+        starts = np.flatnonzero(known)
+        full, sizes, seen = [], [], set()
+        for n, own in self.by_size.items():
             # words of the window, or of what is left of the text where fewer are left but enough
-            end = np.minimum(np.arange(len(h)) + n, last)
-            count = sums[end] - sums[np.arange(len(h))]
-            start = np.flatnonzero(known & (count >= n - most))
-            if not len(start):
+            end = np.minimum(starts + n, last[starts])
+            enough = (marks[end] - marks[starts] >= self.least_marks[n]) & (sums[end] - sums[starts] >= n - int(EDITS * n))
+            start, whole = starts[enough], (end - starts)[enough] == n
+            full.append(start[whole])
+            sizes.append(np.full(len(full[-1]), n))
+            # a walk must not run into the next text: the few short windows meet all items of their size
+            seen.update((int(s), i) for s in start[~whole] for i in own)
+        full, sizes = np.concatenate(full), np.concatenate(sizes)
+        for r in range(REPETITIONS if len(full) else 0):
+            keys, own = self.keys[r]
+            got = walk_keys(h, full, sizes, r)
+            a, b = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
+            for k in np.flatnonzero(b > a):
+                seen.update((int(full[k]), int(i)) for i in own[a[k] : b[k]])
+        for s, i in sorted(seen):
+            n = len(self.words[i])
+            most = int(EDITS * n)
+            text = h[s : min(int(last[s]), s + n + most)]
+            if np.isin(text, self.words[i]).sum() < n - most:
                 continue
-            seen: set[tuple[int, int]] = set()
-            # short windows at the end of a text: the walk must not run into the next text
-            padded = h
-            inside = end[start] - start == n
-            full = start[inside]
-            for s in start[~inside]:
-                seen.update((int(s), i) for i in self.by_size[n])
-            for r in range(REPETITIONS):
-                keys, own = self.keys[n, r]
-                got = walk_keys(padded, full, n, r) if len(full) else np.zeros(0, np.uint64)
-                a, b = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
-                for k in np.flatnonzero(b > a):
-                    seen.update((int(full[k]), int(i)) for i in own[a[k] : b[k]])
-            for s, i in sorted(seen):
-                reach = min(int(last[s]), s + n + most)
-                edits, size = best_end(self.words[i], h[s:reach], most)
-                if edits <= most:
-                    yield int(text_of[s]), i, int(s - first[text_of[s]]), size, edits
+            edits, size = best_end(self.words[i], text, most)
+            if edits <= most:
+                yield int(text_of[s]), i, int(s - first[text_of[s]]), size, edits
 
 
 def item_blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[Items]:
@@ -165,7 +192,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
-            for batch in slices(batches, "t"):
+            for batch in slices(batches, "t", STEP_BYTES):
                 got = list(block.matches(*word_hashes(batch.column("t"))))
                 if got:
                     doc, i, start, size, edits = zip(*got)
