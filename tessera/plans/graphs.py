@@ -1,2 +1,109 @@
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+"""Graph queries: the tables' foreign keys as edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators import graph as G
+from tessera.sources.tables import table
+
+
+def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and parts that share an order line of quantity 49 or more; the weight is the number of lines."""
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
+    return lines.groupBy((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+
+
+_EDGES = "e AS (SELECT l_suppkey * 2 AS src, l_partkey * 2 + 1 AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem WHERE l_quantity >= 49 GROUP BY 1, 2)"
+_BOTH = _EDGES + ", b AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e)"
+
+
+def sparse_edges(spark, sf_dir):
+    """A sparser graph, of several components: orders of one day and one priority, by customer."""
+    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 300000")
+    return o.groupBy((F.col("o_custkey") * 2).alias("src"), (F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) * 2 + 1).alias("dst")).agg(F.lit(1.0).alias("weight"))
+
+
+def graph_nodes(spark, sf_dir):
+    part, supplier, nation = (table(spark, sf_dir, t) for t in ("part", "supplier", "nation"))
+    keyed = lambda kind, name: F.concat(F.lit(f"{kind}:"), F.left(F.sha2(F.lower(name), 256), F.lit(24)))
+    nodes = part.select(keyed("part", F.col("p_name")).alias("node_key"), F.lit("part").alias("node_type"), F.col("p_name").alias("label"), F.col("p_partkey").alias("pos"))
+    nodes = nodes.union(supplier.select(keyed("supplier", F.col("s_name")), F.lit("supplier"), "s_name", "s_suppkey")).union(nation.select(keyed("nation", F.col("n_name")), F.lit("nation"), "n_name", F.col("n_nationkey").cast("bigint")))
+    return nodes.groupBy("node_key").agg(F.min_by("node_type", "pos").alias("node_type"), F.min_by("label", "pos").alias("label"))
+
+
+def graph_edges(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("src"), F.lit("LOCATED_IN").alias("relation"), F.concat(F.lit("nation:"), "s_nationkey").alias("dst"), F.lit(1.0).alias("confidence"))
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), "n_nationkey"), F.lit("PART_OF"), F.concat(F.lit("region:"), "n_regionkey"), F.lit(0.9))
+    l = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("supplier:"), "l_suppkey"), F.lit("SUPPLIES"), F.concat(F.lit("part:"), "l_partkey"), F.lit(0.8)).distinct()
+    return s.union(n).union(l)
+
+
+def relation_histogram(spark, sf_dir):
+    return graph_edges(spark, sf_dir).groupBy("relation").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean"))
+
+
+def citation_neighbors_k(spark, sf_dir):
+    seeds = spark.range(1).select(F.lit(0).cast("bigint").alias("id"))
+    return G.hops(edges_of(spark, sf_dir), seeds, 2).select("id", F.col("distance").cast("bigint").alias("distance"))
+
+
+def connected_components(spark, sf_dir):
+    return G.connected_components(sparse_edges(spark, sf_dir))
+
+
+def weighted_degree_hubs(spark, sf_dir):
+    return G.weighted_degree(edges_of(spark, sf_dir)).select("id", F.round("degree", 6).alias("degree"), F.round("centrality", 6).alias("centrality"), "hub")
+
+
+def community_labels(spark, sf_dir):
+    return G.communities(edges_of(spark, sf_dir))
+
+
+def community_report(spark, sf_dir):
+    """Of each component: members, edges, the key of its member list."""
+    labels = G.connected_components(sparse_edges(spark, sf_dir))
+    per = labels.groupBy("component").agg(F.count("*").alias("members"), F.left(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), ","), 256), F.lit(20)).alias("community_key"))
+    ends = sparse_edges(spark, sf_dir).join(labels, F.col("src") == F.col("id")).groupBy("component").agg(F.count("*").alias("edges"))
+    return per.join(ends, "component", "left")
+
+
+def path_search(spark, sf_dir):
+    seeds = spark.range(3).select((F.col("id") * 2).alias("id"))
+    found = G.shortest_paths(edges_of(spark, sf_dir), seeds, 4)
+    return found.join(seeds, "id", "left_semi").where("source < id").select("source", "id", F.round("cost", 6).alias("cost"), (F.size("path") - 1).alias("hops"))
+
+
+def local_search(spark, sf_dir):
+    return G.local_search(edges_of(spark, sf_dir), spark.range(1).select(F.lit(0).cast("bigint").alias("id")), 2, 50)
+
+
+def node_match(spark, sf_dir):
+    """Parts by the share of the question's terms in their names."""
+    asked = F.array(F.lit("red"), F.lit("ring"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.size(F.array_intersect(F.split(F.lower("p_name"), " "), asked)).alias("n")).where("n > 0")
+    return p.select("p_partkey", F.round(F.col("n") / 2, 6).alias("score")).orderBy(F.desc("score"), F.desc("p_partkey")).limit(20)
+
+
+def label_mentions(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    names = spark.createDataFrame([("License",), ("rights reserved",), ("the",), ("xx",)], "label string")
+    return G.mentions(docs, names, "doc_id", "text", "label").select("doc_id", "label", F.col("start").cast("bigint").alias("start"))
+
+
+QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, relation_histogram, citation_neighbors_k, connected_components, weighted_degree_hubs, community_labels, community_report, path_search, local_search, node_match, label_mentions)}
+
+_SPARSE = "e AS (SELECT DISTINCT o_custkey * 2 AS src, CAST(epoch(o_orderdate) AS BIGINT) * 2 + 1 AS dst FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000), b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)"
+_NODES = " UNION ALL ".join(f"SELECT '{k}:' || substr(sha256(lower({n})), 1, 24) AS node_key, '{k}' AS node_type, {n} AS label, CAST({i} AS BIGINT) AS pos FROM {t}" for k, n, i, t in (("part", "p_name", "p_partkey", "part"), ("supplier", "s_name", "s_suppkey", "supplier"), ("nation", "n_name", "n_nationkey", "nation")))
+_GRAPH = """g AS (SELECT 'supplier:' || s_suppkey AS src, 'LOCATED_IN' AS relation, 'nation:' || s_nationkey AS dst, 1.0e0 AS confidence FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, 'PART_OF', 'region:' || n_regionkey, 0.9e0 FROM nation
+ UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 'SUPPLIES', 'part:' || l_partkey, 0.8e0 FROM lineitem)"""
+ORACLES = {
+    "graph_nodes": f"SELECT node_key, min_by(node_type, pos) AS node_type, min_by(label, pos) AS label FROM ({_NODES}) t GROUP BY 1",
+    "graph_edges": f"WITH {_GRAPH} SELECT * FROM g",
+    "relation_histogram": f"WITH {_GRAPH} SELECT relation, count(*) AS n, round(avg(confidence), 6) AS mean FROM g GROUP BY 1",
+    "citation_neighbors_k": f"WITH {_BOTH}, h1 AS (SELECT DISTINCT dst AS id FROM b WHERE src = 0), h2 AS (SELECT DISTINCT dst AS id FROM b JOIN h1 ON src = h1.id WHERE dst <> 0 AND dst NOT IN (SELECT id FROM h1)) SELECT CAST(0 AS BIGINT) AS id, CAST(0 AS BIGINT) AS distance UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2",
+    "connected_components": f"WITH RECURSIVE {_SPARSE}, r(id, reach) AS (SELECT DISTINCT src, src FROM b UNION SELECT b.dst, r.reach FROM r JOIN b ON r.id = b.src) SELECT id, min(reach) AS component FROM r GROUP BY 1",
+    "weighted_degree_hubs": f"WITH {_BOTH}, d AS (SELECT src AS id, sum(weight) AS degree FROM b GROUP BY 1) SELECT id, round(degree, 6) AS degree, round(degree / m, 6) AS centrality, degree / m >= 0.75 AS hub FROM d CROSS JOIN (SELECT greatest(max(degree), 1.0e0) AS m FROM d) t",
+    "node_match": "SELECT p_partkey, round(n / 2.0e0, 6) AS score FROM (SELECT p_partkey, len(list_intersect(string_split(lower(p_name), ' '), ['red', 'ring'])) AS n FROM part) t WHERE n > 0 ORDER BY score DESC, p_partkey DESC LIMIT 20",
+}

@@ -1,2 +1,267 @@
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+"""Retrieval, text and vector queries over the supplied tables, with SQL counterparts where SQL can state them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.operators import memory, retrieval as R
+from tessera.operators.chunking import chunk, markdown_sections, select_context
+from tessera.sources.tables import table
+
+#: Three questions, as terms; the bounded batch that the registered queries answer.
+QUESTIONS = {1: ["the", "ation", "erth"], 2: ["der", "enkeit", "ver"], 3: ["que", "mentou", "license"]}
+_VALUES = ", ".join(f"({i}, [{', '.join(repr(t) for t in ts)}])" for i, ts in QUESTIONS.items())
+
+
+def questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(QUESTIONS.items()), "query_id int, terms array<string>")
+
+
+def bm25_scores(spark, sf_dir):
+    return R.bm25(table(spark, sf_dir, "documents"), questions(spark), "doc_id", "text")
+
+
+def bm25_topk(spark, sf_dir):
+    return R.ranked(bm25_scores(spark, sf_dir).withColumn("score", F.round("score", 6)), "doc_id", 50).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+_BM25 = f"""
+WITH q AS (SELECT query_id, unnest(terms) AS term FROM (VALUES {_VALUES}) v(query_id, terms)),
+tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens FROM documents),
+st AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM tok),
+tf AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM tok) e WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT query_id, doc_id, sum(greatest(ln((n - df + 0.5e0) / (df + 0.5e0)), 1e-6) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / mean))) AS score
+      FROM tf JOIN df USING (term) JOIN q USING (term) CROSS JOIN st GROUP BY 1, 2)"""
+_BM25_TOP = _BM25 + ", t AS (SELECT query_id, doc_id, round(score, 6) AS score FROM s), b AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM t)"
+
+
+def coverage(spark, sf_dir):
+    """(query_id, doc_id, score): the share of the question's terms that a document holds as terms."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("tokens"))
+    asked = questions(spark).select("query_id", F.size("terms").alias("m"), F.explode("terms").alias("term"))
+    hits = docs.select("doc_id", F.explode("tokens").alias("term")).join(asked, "term")
+    return hits.groupBy("query_id", "doc_id", "m").agg(F.count("*").alias("n")).select("query_id", "doc_id", F.round(F.col("n") / F.col("m"), 6).alias("score"))
+
+
+_COVER = ", c0 AS (SELECT query_id, doc_id, round(count(DISTINCT term) / CAST(3 AS DOUBLE), 6) AS score FROM tf JOIN q USING (term) GROUP BY 1, 2), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c0)"
+
+
+def routes(spark, sf_dir):
+    lexical = bm25_topk(spark, sf_dir).select("query_id", F.lit("bm25").alias("route"), "doc_id", "rank")
+    covered = R.ranked(coverage(spark, sf_dir), "doc_id", 50).select("query_id", F.lit("coverage").alias("route"), "doc_id", "rank")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = vectors.where(F.col("doc_id").isin(*QUESTIONS)).select(F.col("doc_id").cast("int").alias("query_id"), "embedding")
+    near = R.dense(vectors.withColumnRenamed("doc_id", "doc_id"), asked, "doc_id", "embedding", 50).select("query_id", F.lit("dense").alias("route"), "doc_id", "rank")
+    return lexical.unionByName(covered).unionByName(near)
+
+
+WEIGHTS = {"bm25": 1.0, "coverage": 0.8, "dense": 0.9}
+_DENSE = """, d0 AS (SELECT CAST(a.vec_id AS INT) AS query_id, v.vec_id AS doc_id, list_sum(list_transform(list_zip(a.embedding, v.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS score FROM embeddings a, embeddings v WHERE a.vec_id IN (1, 2, 3)),
+d AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM d0)"""
+_ROUTES = _BM25_TOP + _COVER + _DENSE + """, r AS (SELECT query_id, 'bm25' AS route, doc_id, rank FROM b WHERE rank <= 50 UNION ALL SELECT query_id, 'coverage', doc_id, rank FROM c WHERE rank <= 50 UNION ALL SELECT query_id, 'dense', doc_id, rank FROM d WHERE rank <= 50)"""
+
+
+def weighted_rrf(spark, sf_dir):
+    fused = R.rrf(routes(spark, sf_dir), "doc_id", WEIGHTS)
+    return fused.select("query_id", "doc_id", F.round("score", 9).alias("score"), "n_routes")
+
+
+def plain_rrf(spark, sf_dir):
+    return R.rrf(routes(spark, sf_dir), "doc_id").select("query_id", "doc_id", F.round("score", 9).alias("score"))
+
+
+def _fused(spark, sf_dir):
+    fused = R.rrf(routes(spark, sf_dir), "doc_id", WEIGHTS).withColumn("score", F.round("score", 9))
+    return fused.join(table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars"), "doc_id")
+
+
+_FUSED = _ROUTES + ", f0 AS (SELECT query_id, doc_id, round(sum(CASE route WHEN 'bm25' THEN 1.0e0 WHEN 'coverage' THEN 0.8e0 ELSE 0.9e0 END / (60 + rank)), 9) AS score, count(*) AS n_routes FROM r GROUP BY 1, 2), f AS (SELECT query_id, doc_id, score, source, n_chars FROM f0 JOIN documents USING (doc_id))"
+
+
+def rerank_blend(spark, sf_dir):
+    scored = _fused(spark, sf_dir).withColumn("rerank", (F.col("n_chars") % 97).cast("double"))
+    return R.rerank(scored, "doc_id", 0.5, 20).select("query_id", "doc_id", F.round("blended", 6).alias("blended"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def journal_prior(spark, sf_dir):
+    scored = _fused(spark, sf_dir).withColumn("importance", F.when(F.col("n_chars") % 3 > 0, (F.col("n_chars") % 11) / 10.0))
+    return R.prior(scored, 0.1).select("query_id", "doc_id", F.round("score", 9).alias("score"))
+
+
+def diverse_anchors(spark, sf_dir):
+    pool = R.ranked(_fused(spark, sf_dir).withColumn("content", F.sha2("text", 256)), "doc_id")
+    return R.anchors(pool, "doc_id", "source", "content", limit=8, per_group=2, pool_size=40)
+
+
+def _turn_anchors(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").dropDuplicates(["conv_id", "turn"])
+    return turns, turns.where("role = 'user' and turn % 3 = 0").select(F.lit(1).alias("query_id"), "conv_id", "turn")
+
+
+def context_neighbors(spark, sf_dir):
+    turns, anchors = _turn_anchors(spark, sf_dir)
+    return R.neighbours(anchors, turns.drop("role"), "conv_id", "turn", 1).select("conv_id", "anchor", "turn", "role", F.col("distance").cast("bigint").alias("distance"))
+
+
+def context_budget(spark, sf_dir):
+    turns, anchors = _turn_anchors(spark, sf_dir)
+    found = R.neighbours(anchors, turns.drop("role"), "conv_id", "turn", 1).withColumn("size", F.length("text"))
+    return R.within_budget(found, ["conv_id"], ["anchor", "distance", "turn"], "size", 2000, "turn")
+
+
+def query_aware_neighbors(spark, sf_dir):
+    turns, anchors = _turn_anchors(spark, sf_dir)
+    found = R.neighbours(anchors, turns.drop("role"), "conv_id", "turn", 2).withColumn("asked", F.array(*map(F.lit, QUESTIONS[1])))
+    return R.query_aware(found, "text", "asked", 0.02, 2, "conv_id", "turn").select("conv_id", "anchor", "turn", "role", F.round("score", 6).alias("score"))
+
+
+def dense_topk(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
+    return R.dense(v, asked, "vec_id", "embedding", 10).select("query_id", "vec_id", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def dense_scope_filtered(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
+    return R.dense(v.where("label = 1"), asked, "vec_id", "embedding", 10).select("query_id", "vec_id", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+_DENSE_TOP = """SELECT query_id, vec_id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+  SELECT a.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(a.embedding, v.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS score FROM embeddings a, embeddings v WHERE a.vec_id < 10 {scope}) s) t WHERE rank <= 10"""
+
+
+def ir_metrics(spark, sf_dir):
+    """Rankings of the lexical route against the documents labelled good."""
+    ranking = bm25_topk(spark, sf_dir).select("query_id", F.col("doc_id").alias("item"), "rank")
+    gold = ranking.join(table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("item")), "item", "left_semi").where("item % 2 = 0").select("query_id", "item")
+    out = R.ir_metrics(ranking, gold, 10)
+    return out.select("query_id", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("query_id", "hit")], "hit")
+
+
+def fact_conflicts(spark, sf_dir):
+    """Pairs of first sentences with Jaccard similarity 0.55 or more, by an inverted index over rare terms."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower(F.substring_index("text", ".", 1)), F.lit("[a-z]+"), F.lit(0))).alias("t")).where("size(t) >= 4")
+    return memory.similar_pairs(docs, "doc_id", "t", 0.55)
+
+
+def memory_hybrid_score(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("vec_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q = v.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    rows = e.join(v, "vec_id").crossJoin(F.broadcast(q))  # one row
+    parts = rows.select("event_id", F.greatest(T.dot(F.col("embedding"), F.col("q")), F.lit(0.0)).alias("dense"), ((F.col("event_id") % 5) / 5.0).alias("lexical"), F.least(F.lit(1.0), F.col("value") / 100).alias("importance"), T.recency(F.lit("2024-02-01 00:00:00").cast("timestamp"), F.col("ts")).alias("recency"))
+    return memory.hybrid_score(parts).select("event_id", F.round("score", 5).alias("score"), F.size("routes").alias("n_routes"))
+
+
+def memory_mmr(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
+    pool = R.dense(v, asked, "vec_id", "embedding", 80).join(v.select("vec_id", "embedding"), "vec_id")
+    return memory.mmr(pool, "vec_id", "embedding", 8)
+
+
+def chunk_documents(spark, sf_dir):
+    return chunk(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def markdown_paths(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Top\n"), "text", F.lit("\n## Part\nx\n### Deep\ny\n## Next\nz")).alias("text"))
+    return markdown_sections(docs, "doc_id", "text").groupBy("path").agg(F.countDistinct("doc_id").alias("n"))
+
+
+def markdown_context(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Summary\n"), F.left("text", F.lit(1000)), F.lit("\n## Methods\nthe ation\n## Results\nerth")).alias("text"))
+    return select_context(docs, "doc_id", "text", QUESTIONS[1], 800)
+
+
+def term_sets(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.terms(F.col("text"))).cast("bigint").alias("n_terms"))
+
+
+def language_tags(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.language_tag(F.col("text")).alias("tag"))
+
+
+def text_normalised(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))).alias("h"))
+
+
+def inverted_index_to_text(spark, sf_dir):
+    """Words with their positions, and back: the round trip of an inverted index."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    index = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at"))
+    flat = index.select("doc_id", "word", F.explode("at").alias("pos")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("w"))
+    return flat.select("doc_id", F.md5(F.array_join(F.transform("w", lambda x: x["word"]), " ")).alias("h"))
+
+
+def evidence_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.evidence_token(b"example", F.lit("w1"), F.col("doc_id").cast("string")).alias("token"))
+
+
+def uuid5_ids(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.uuid5("6ba7b811-9dad-11d1-80b4-00c04fd430c8", F.col("doc_id").cast("string")).alias("uuid"))
+
+
+def question_router(spark, sf_dir):
+    from tessera.operators.routing import routed
+
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    return routed(turns, "text").select("conv_id", "turn", "question_type", F.round("confidence", 2).alias("confidence"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (bm25_topk, weighted_rrf, plain_rrf, rerank_blend, journal_prior, diverse_anchors, context_neighbors, context_budget, query_aware_neighbors, dense_topk, dense_scope_filtered, ir_metrics, fact_conflicts, memory_hybrid_score, memory_mmr, chunk_documents, markdown_paths, markdown_context,
+              term_sets, language_tags, text_normalised, inverted_index_to_text, evidence_tokens, uuid5_ids, question_router)
+}
+
+_IPAD, _OPAD = (bytes(b ^ p for b in b"example".ljust(64, b"\0")).hex() for p in (0x36, 0x5C))
+
+ORACLES: dict[str, str] = {
+    "bm25_topk": _BM25_TOP + " SELECT query_id, doc_id, score, rank FROM b WHERE rank <= 50",
+    "weighted_rrf": _FUSED + " SELECT query_id, doc_id, score, n_routes FROM f0",
+    "plain_rrf": _ROUTES + " SELECT query_id, doc_id, round(sum(1.0e0 / (60 + rank)), 9) AS score FROM r GROUP BY 1, 2",
+    "rerank_blend": _FUSED + """, o AS (SELECT *, CAST(n_chars % 97 AS DOUBLE) AS rr, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS old FROM f),
+h AS (SELECT *, min(score) OVER w AS s0, max(score) OVER w AS s1, min(rr) OVER w AS r0, max(rr) OVER w AS r1 FROM o WINDOW w AS (PARTITION BY query_id, old <= 20)),
+g AS (SELECT query_id, doc_id, old, CASE WHEN old <= 20 THEN 0.5e0 * (CASE WHEN s1 = s0 THEN 1 ELSE (score - s0) / (s1 - s0) END) + 0.5e0 * (CASE WHEN r1 = r0 THEN 1 ELSE (rr - r0) / (r1 - r0) END) ELSE score END AS blended FROM h)
+SELECT query_id, doc_id, round(blended, 6) AS blended, row_number() OVER (PARTITION BY query_id ORDER BY old <= 20 DESC, CASE WHEN old <= 20 THEN blended END DESC NULLS LAST, old) AS rank FROM g""",
+    "journal_prior": _FUSED + " SELECT query_id, doc_id, round(0.9e0 * score + 0.1e0 * max(score) OVER (PARTITION BY query_id) * coalesce(CASE WHEN n_chars % 3 > 0 THEN (n_chars % 11) / 10.0e0 END, 0), 9) AS score FROM f",
+    "context_neighbors": """WITH t AS (SELECT DISTINCT conv_id, turn, role FROM conversations), a AS (SELECT conv_id, turn FROM t WHERE role = 'user' AND turn % 3 = 0)
+SELECT a.conv_id, a.turn AS anchor, t.turn, CASE WHEN t.turn = a.turn THEN 'anchor' ELSE 'neighbor' END AS role, abs(t.turn - a.turn) AS distance FROM a JOIN t ON t.conv_id = a.conv_id AND abs(t.turn - a.turn) <= 1""",
+    "dense_topk": _DENSE_TOP.format(scope=""),
+    "dense_scope_filtered": _DENSE_TOP.format(scope="AND v.label = 1"),
+    "language_tags": r"SELECT doc_id, CASE WHEN regexp_matches(text, '[\x{3400}-\x{9fff}]') AND regexp_matches(text, '[A-Za-z]{2,}') THEN 'mixed' WHEN regexp_matches(text, '[\x{3400}-\x{9fff}]') THEN 'zh' ELSE 'en' END AS tag FROM documents",
+    "term_sets": r"SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9_./+-]{2,}'))) AS BIGINT) AS n_terms FROM documents",
+    "text_normalised": r"SELECT conv_id, turn, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS h FROM conversations",
+    "inverted_index_to_text": "SELECT doc_id, md5(text) AS h FROM documents",
+    "memory_hybrid_score": """SELECT event_id, round(0.45e0 * d + 0.2e0 * l + 0.2e0 * i + 0.15e0 * r, 5) AS score, CAST((d > 0.05) AS INT) + CAST((l > 0.05) AS INT) + CAST((i > 0.05) AS INT) + CAST((r > 0.05) AS INT) AS n_routes FROM (
+  SELECT event_id, greatest(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 0.0e0) AS d, (event_id % 5) / 5.0e0 AS l, least(1.0e0, value / 100) AS i, 1 / (1 + floor(epoch(TIMESTAMP '2024-02-01 00:00:00') - floor(epoch(ts))) / 86400.0e0 / 30) AS r
+  FROM events JOIN embeddings v ON user_id = v.vec_id JOIN (SELECT embedding FROM embeddings WHERE vec_id = 0) q ON TRUE) t""",
+}
+
+
+def _router_sql() -> str:
+    from tessera.operators.routing import FAMILIES
+
+    hit = {n: f"regexp_matches(text, '{p}')" for n, p in FAMILIES.items()}
+    n = " + ".join(f"CAST({h} AS INT)" for h in hit.values())
+    return f"SELECT conv_id, turn, CASE {' '.join(f'WHEN {h} THEN {n!r}' for n, h in hit.items())} ELSE 'factual' END AS question_type, round(CASE WHEN {n} = 0 THEN 0.72e0 ELSE least(0.97e0, 0.72e0 + 0.08e0 * ({n})) END, 2) AS confidence FROM conversations WHERE role = 'user'"
+
+
+ORACLES |= {
+    "question_router": _router_sql(),
+    "uuid5_ids": """SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab89ab89ab89ab'[strpos('0123456789abcdef', h[17:17])] || h[18:20] || '-' || h[21:32] AS uuid FROM (SELECT doc_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(CAST(doc_id AS VARCHAR))) AS h FROM documents) t""",
+    "evidence_tokens": f"""SELECT doc_id, 'ev1.w1.' || doc_id || '.' || rtrim(translate(to_base64(from_hex(substr(h, 1, 32))), '+/', '-_'), '=') AS token FROM (
+  SELECT doc_id, sha256(from_hex('{_OPAD}') || from_hex(sha256(from_hex('{_IPAD}') || encode('w1:' || doc_id)))) AS h FROM documents) t""",
+    "fact_conflicts": """WITH t AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(split_part(text, '.', 1)), '[a-z]+'))) AS s FROM documents), u AS (SELECT s, min(doc_id) AS id, list(doc_id) AS m FROM t WHERE len(s) >= 4 GROUP BY s)
+SELECT a, b, round(similarity, 6) AS similarity FROM (SELECT x.id AS a, y.id AS b, len(list_intersect(x.s, y.s)) / CAST(len(list_distinct(list_concat(x.s, y.s))) AS DOUBLE) AS similarity FROM u x JOIN u y ON x.id < y.id AND len(x.s) >= 0.55 * len(y.s) AND len(y.s) >= 0.55 * len(x.s)) p WHERE similarity >= 0.55
+UNION ALL SELECT id, b, 1.0e0 FROM (SELECT id, unnest(m) AS b FROM u WHERE len(m) > 1) z WHERE id <> b""",
+    "ir_metrics": _BM25_TOP + """, r AS (SELECT query_id, doc_id AS item, rank FROM b WHERE rank <= 50), g AS (SELECT query_id, item FROM r WHERE item % 2 = 0 AND item IN (SELECT doc_id FROM labels WHERE quality = 1)),
+m AS (SELECT r.*, CASE WHEN g.item IS NULL THEN 0 ELSE 1 END AS rel FROM r LEFT JOIN g USING (query_id, item)), x AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS seen FROM m),
+a AS (SELECT query_id, sum(CASE WHEN rank <= 10 THEN rel ELSE 0 END) AS hits, count(*) AS len, sum(CASE WHEN rel = 1 AND rank <= 10 THEN seen / CAST(rank AS DOUBLE) ELSE 0 END) AS ap, min(CASE WHEN rel = 1 THEN rank END) AS fst, sum(CASE WHEN rel = 1 AND rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, sum(rel) AS ng FROM x GROUP BY 1)
+SELECT query_id, round(hits / CAST(ng AS DOUBLE), 6) AS recall, round(hits / CAST(least(10, len) AS DOUBLE), 6) AS precision, CAST(hits > 0 AS INT) AS hit, round(ap / least(ng, 10), 6) AS average_precision, round(1.0e0 / fst, 6) AS reciprocal_rank, round(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= ng), 6) AS ndcg FROM a WHERE ng > 0""",
+}
