@@ -28,7 +28,7 @@ SAMPLES = 2
 #: Weight of a character that only bytes can spell, and scale of the weights (larger: less random).
 BYTES_WEIGHT, ALPHA = -14.0, 1.0
 #: Bytes of text worked on at once, and edges of lattices held before the store is emptied.
-STEP, HELD_EDGES = 1 << 19, 3_000_000
+STEP, HELD_EDGES = 1 << 20, 6_000_000
 
 
 class Vocabulary:
@@ -79,11 +79,21 @@ class Lattices:
 
     def clear(self) -> None:
         self.root: dict[int, int] = {}
-        self.nodes = 0
-        self.first = np.zeros(1, np.int64)  # first edge of each node, and the end
-        self.total = np.zeros(0)  # cumulated probability of a node's edges
-        self.logp, self.to = np.zeros(0), np.zeros(0, np.int64)
-        self.id_at, self.id_n, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.nodes = self.edges = 0
+        # by node: its first edge; by edge: cumulated probability, log-probability, that of the other edges, next node, ids
+        self.first = np.zeros(1 << 16, np.int32)
+        self.total, self.logp, self.rest = (np.zeros(1 << 16) for _ in range(3))
+        self.to, self.id_at, self.id_n = (np.zeros(1 << 16, np.int32) for _ in range(3))
+        self.pool, self.pooled = np.zeros(1 << 16, np.int32), 0
+
+    def put(self, name: str, at: int, values: np.ndarray) -> None:
+        """values at a place of a growing array."""
+        have = getattr(self, name)
+        if at + len(values) > len(have):
+            more = np.zeros(max(at + len(values), len(have) * 3 // 2), have.dtype)
+            more[: len(have)] = have
+            setattr(self, name, have := more)
+        have[at : at + len(values)] = values
 
     def add(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Lattices of new distinct units codes[start:end]."""
@@ -96,8 +106,10 @@ class Lattices:
         down = powers("down", n + 1)
         node, length, weight, piece = [], [], [], []
         single = np.zeros(n, bool)
+        reach = np.arange(n)
         for k in range(1, self.v.longest + 1):
-            at = np.flatnonzero(np.arange(n) + k <= end_of)
+            reach = reach[reach + k <= end_of[reach]]
+            at = reach
             if not len(at):
                 break
             h = mix((sums[at + k] - sums[at]) * down[at])
@@ -143,11 +155,14 @@ class Lattices:
         pool = np.repeat(piece, id_n)
         if spelt:
             pool[np.repeat(piece < 0, id_n)] = self.v.byte_ids[np.concatenate(spelt)]
-        self.id_at = np.concatenate([self.id_at, len(self.pool) + np.cumsum(id_n) - id_n])
-        self.id_n, self.pool = np.concatenate([self.id_n, id_n]), np.concatenate([self.pool, pool.astype(np.int32)])
-        self.first = np.concatenate([self.first, self.first[-1] + first[1:]])
-        self.total = np.concatenate([self.total, run])
-        self.logp, self.to = np.concatenate([self.logp, prob]), np.concatenate([self.to, to])
+        with np.errstate(divide="ignore"):
+            rest = np.where(prob > -1e-13, -np.inf, np.log(-np.expm1(np.minimum(prob, 0.0))))
+        at = self.edges
+        for name, values in (("total", run), ("logp", prob), ("rest", rest), ("to", to), ("id_at", self.pooled + np.cumsum(id_n) - id_n), ("id_n", id_n)):
+            self.put(name, at, values)
+        self.put("pool", self.pooled, pool)
+        self.put("first", self.nodes, at + first)
+        self.edges, self.pooled = at + len(prob), self.pooled + len(pool)
         self.root.update(zip(hashes.tolist(), (bounds[:-1] + self.nodes).tolist()))
         self.nodes += n
 
@@ -192,7 +207,7 @@ def units(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 def segmentations(lattices: Lattices, keys: np.ndarray, texts: list[str | None], k: int) -> Iterator[tuple[int, int, np.ndarray, float, float]]:
     """(text number, sample, edges, log-probability, inclusion score), samples of a text in the order drawn."""
     codes, starts, ends, first = units(texts)
-    if lattices.first[-1] > HELD_EDGES:
+    if lattices.edges > HELD_EDGES:
         lattices.clear()
     h = span_hashes(codes, starts, ends)
     known, at, index = np.unique(h, return_index=True, return_inverse=True)
@@ -226,20 +241,17 @@ def segmentations(lattices: Lattices, keys: np.ndarray, texts: list[str | None],
             before = np.concatenate([[0.0], np.cumsum(logp)])
             out.append((path, float(before[-1]), g))
             draw += 1
-            e = -np.log(uniform(t, draw, len(path)))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                other = np.log(-np.expm1(np.minimum(logp, 0.0)))
-                mass = before[:-1] + other
-                mass[logp > -1e-13] = -np.inf
+            # masses of the regions less their exponential draws: the order of the truncated bounds
+            mass = before[:-1] + lattices.rest[path]
+            if fixed:
                 mass[:fixed] = -np.inf
-                if barred:
-                    rest = -np.expm1(np.log(np.exp(lattices.logp[list(barred)]).sum()))
-                    mass[fixed - 1] = before[fixed - 1] + np.log(rest) if rest > 1e-13 else -np.inf
-                gs = -np.logaddexp(-g, np.log(e) - mass)
-            keep = np.flatnonzero(np.isfinite(mass))
-            best = keep[np.argsort(-gs[keep], kind="stable")[: k + 1]]
-            for d in best:
-                heapq.heappush(heap, (-float(gs[d]), (draw, int(d)), int(d), path, path_units, barred if barred and d == fixed - 1 else (int(path[d]),)))
+                rest = -np.expm1(np.log(np.exp(lattices.logp[list(barred)]).sum()))
+                mass[fixed - 1] = before[fixed - 1] + np.log(rest) if rest > 1e-13 else -np.inf
+            value = mass - np.log(-np.log(uniform(t, draw, len(path))))
+            best = np.argpartition(-value, k)[: k + 1] if len(value) > k + 1 else np.arange(len(value))
+            for d in best[np.isfinite(mass[best])].tolist():
+                bound = -float(np.logaddexp(-g, -value[d]))
+                heapq.heappush(heap, (-bound, (draw, d), d, path, path_units, barred if barred and d == fixed - 1 else (int(path[d]),)))
             if len(out) > k or not heap:
                 break
             minus, _, d, parent, parent_units, barred = heapq.heappop(heap)
@@ -249,7 +261,7 @@ def segmentations(lattices: Lattices, keys: np.ndarray, texts: list[str | None],
                 break
             draw += 1
             # the decision taken anew among the other edges of its node, then a free walk to the end
-            node = int(np.searchsorted(lattices.first, parent[d], "right")) - 1
+            node = int(np.searchsorted(lattices.first[: lattices.nodes + 1], parent[d], "right")) - 1
             s, f = int(lattices.first[node]), int(lattices.first[node + 1])
             options = np.setdiff1d(np.arange(s, f), barred)
             weights = np.cumsum(np.exp(lattices.logp[options]))
