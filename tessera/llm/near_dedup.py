@@ -28,8 +28,10 @@ ROWS = 4
 BANDS = BINS // ROWS
 WORDS = 5
 PERCENT = 75
-#: Bins that agree, at least, of a pair that may link: over four standard deviations under 75 %.
-MAY = 75
+#: Bins that agree, at least, of a pair that may link: three standard deviations under 75 %.
+MAY = 81
+#: Bytes of a row's signature: one of each bin, then four of each band's key.
+PACKED = BINS + 4 * BANDS
 #: Partners that one outside the largest component is paired with first.
 FIRST = 4
 #: Members of a bucket that one task compares; larger buckets are salted, and their centres meet again.
@@ -104,7 +106,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def profiles(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n, f, g, bands, sig): set size, two fingerprints of the set, bucket keys, a byte of each bin; a row for each row of documents."""
+    """(id, n, f, g, bands, sig): set size, two fingerprints of the set, bucket keys, and both packed; a row for each row of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
@@ -117,7 +119,8 @@ def profiles(documents: DataFrame, key: str, text: str) -> DataFrame:
             f, g = sums[bounds[1:]] - sums[bounds[:-1]], other[bounds[1:]] - other[bounds[:-1]]
             signature = signatures(values, owner, rows)
             keys = band_keys(signature)
-            low = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.arange(0, BINS * rows + 1, BINS, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(signature.astype(np.uint8)))])
+            low = np.concatenate([signature.astype(np.uint8), np.ascontiguousarray((keys >> np.uint64(32)).astype("<u4")).view(np.uint8)], axis=1)
+            low = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.arange(0, PACKED * rows + 1, PACKED, dtype=np.int32)), pa.py_buffer(low)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n.astype(np.int64)), pa.array(signed(f)), pa.array(signed(g)), lists(signed(keys.ravel()), np.arange(rows + 1) * BANDS), low], names=["id", "n", "f", "g", "bands", "sig"]
             )
@@ -155,8 +158,8 @@ def stars(phase: int):
 
     Phase 1 pairs each member with one centre; the centres of a salted bucket
     come back as (bucket, a). Phases 2 and 3 pair the members outside the
-    largest component with members of other components: the FIRST likeliest,
-    then all that may link. Sets whose sizes rule a link out aren't paired.
+    largest component with members of other components, in the first bucket
+    that they share: the FIRST likeliest, then all that may link. Sets whose sizes rule a link out aren't paired.
     """
 
     def out(bucket, a, b):
@@ -182,7 +185,7 @@ def stars(phase: int):
         if salted:
             yield out(bucket, np.array(centres), [None] * len(centres))
 
-    def outsiders(bucket, ids, n, signature, comp, outer, visitor, salted):
+    def outsiders(bucket, ids, n, signature, comp, outer, visitor, salted, keys, band):
         outside = outer
         if not salted:
             names, count = np.unique(comp, return_counts=True)
@@ -191,6 +194,7 @@ def stars(phase: int):
             others = np.flatnonzero((comp != comp[i]) & ~visitor & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
             same = (signature[others] == signature[i]).sum(axis=1)
             keep = np.flatnonzero(same >= MAY)
+            keep = keep[(keys[others[keep]] == keys[i]).argmax(axis=1) == band]
             if phase == 2:
                 keep = keep[np.argsort(-same[keep], kind="stable")[:FIRST]]
             if len(keep):
@@ -200,13 +204,14 @@ def stars(phase: int):
         t = pa.Table.from_batches(held).combine_chunks()
         bucket, salt = t.column("bucket").to_numpy(), t.column("salt").to_numpy()
         ids, n, comp, outer, visitor, salted = (t.column(c).to_numpy() for c in ("id", "n", "comp", "outer", "visitor", "salted"))
-        signature = flat(t.column("sig"))[0].reshape(len(bucket), BINS)
+        packed = flat(t.column("sig"))[0].reshape(len(bucket), PACKED)
+        signature, keys, band = packed[:, :BINS], np.ascontiguousarray(packed[:, BINS:]).view("<u4"), t.column("band_no").to_numpy()
         at = np.append(run_starts(bucket, salt), len(bucket))
         for s, e in zip(at[:-1], at[1:]):
             if phase == 1 and (e - s > 1 or salted[s]):
                 yield from first_stars(bucket[s], ids[s:e], n[s:e], signature[s:e], salted[s])
             elif phase > 1 and e - s > 1:
-                yield from outsiders(bucket[s], ids[s:e], n[s:e], signature[s:e], comp[s:e], outer[s:e], visitor[s:e], salted[s])
+                yield from outsiders(bucket[s], ids[s:e], n[s:e], signature[s:e], comp[s:e], outer[s:e], visitor[s:e], salted[s], keys[s:e], band[s])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -235,7 +240,7 @@ def stars(phase: int):
 
 
 def star_pairs(members: DataFrame, bands: DataFrame, phase: int) -> DataFrame:
-    """Pairs (a, b) over all buckets of members(bucket, id, n, sig, comp), once each.
+    """Pairs (a, b) over all buckets of members(bucket, band_no, id, n, sig, comp), once each.
 
     A bucket of over MOST members is dealt out by a salt. In phase 1 the
     centres of its parts meet in a next round, with one band more in the key,
@@ -244,7 +249,7 @@ def star_pairs(members: DataFrame, bands: DataFrame, phase: int) -> DataFrame:
     largest component visit every part.
     """
     pairs, turn = None, 0
-    rows = members.withColumn("band_no", F.lit(-1))
+    rows = members
     while True:
         turn += 1
         large = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.mode("comp", True).alias("main")).where((F.col("m") > MOST) & F.lit(turn <= ROUNDS))
@@ -252,7 +257,7 @@ def star_pairs(members: DataFrame, bands: DataFrame, phase: int) -> DataFrame:
         parts = F.coalesce(F.ceil(F.col("m") / MOST), F.lit(1))
         dealt = split.withColumn("own", F.pmod(F.xxhash64("id"), parts)).withColumn("outer", F.col("salted") & F.lit(phase > 1) & F.coalesce(F.col("comp") != F.col("main"), F.lit(False)))
         dealt = dealt.withColumn("salt", F.explode(F.when(F.col("outer"), F.sequence(F.lit(0).cast("bigint"), parts - 1)).otherwise(F.array("own"))))
-        dealt = dealt.withColumn("visitor", F.col("outer") & (F.col("salt") != F.col("own"))).select("bucket", "salt", "id", "n", "sig", "comp", "salted", "outer", "visitor")
+        dealt = dealt.withColumn("visitor", F.col("outer") & (F.col("salt") != F.col("own"))).select("bucket", "salt", "band_no", "id", "n", "sig", "comp", "salted", "outer", "visitor")
         dealt = dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "id")
         found = kept(dealt.mapInArrow(stars(phase), "bucket bigint, a bigint, b bigint").distinct())
         new = found.where("b is not null").select("a", "b")
@@ -261,7 +266,7 @@ def star_pairs(members: DataFrame, bands: DataFrame, phase: int) -> DataFrame:
         if phase > 1 or centres.isEmpty():
             return pairs.distinct()
         again = centres.join(rows, ["bucket", "id"]).join(bands, "id").select("bucket", "id", "n", "sig", "comp", "band_no", F.posexplode("bands").alias("i", "band"))
-        rows = again.where("i > band_no and band <> bucket").select(F.xxhash64("bucket", "band").alias("bucket"), "id", "n", "sig", "comp", F.col("i").alias("band_no"))
+        rows = again.where("i > band_no").select(F.xxhash64("bucket", "band").alias("bucket"), "id", "n", "sig", "comp", F.col("i").alias("band_no"))
 
 
 def star_edges(members: DataFrame, bands: DataFrame, sets: DataFrame) -> DataFrame:
@@ -294,7 +299,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     classes = rows.where("n > 0 and id is not null").groupBy("f", "g", "n").agg(F.min("id").alias("rep"))
     member = rows.select("id", "f", "g", "n").join(classes, ["f", "g", "n"], "left")
     reps = rows.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").where("n > 0")
-    entries = reps.select(F.explode("bands").alias("bucket"), "id", "n")
+    entries = reps.select("id", "n", F.posexplode("bands").alias("band_no", "bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
     members = kept(entries.join(shared, "bucket").join(rows.select("id", "sig"), "id"))
     wanted = rows.select("id", "f").join(members.select("id").distinct(), "id", "left_semi")
