@@ -8,8 +8,9 @@ embedded places as its key, find the items that a window may match. Candidates
 are confirmed by the exact edit distance.
 
 A window only enters the search if enough of its words occur in the items at
-all, and enough in few items: each other word costs an edit, and so does each
-such word of an item that is missing, so nothing within the distance is lost.
+all, and if it holds enough of the words of one item that stand in few items:
+each other word costs an edit, and so does each such word that is missing, so
+nothing within the distance is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.kernels import LOWER, flat, mix, slices, span_hashes, words
+from tessera.llm.kernels import LOWER, flat, mix, ranges, slices, span_hashes, words
 
 #: Edits in words that a match may have, as a share of the item's words.
 EDITS = 0.2
@@ -110,13 +111,19 @@ class Items:
         self.by_size: dict[int, list[int]] = {}
         for i, w in enumerate(self.words):
             self.by_size.setdefault(len(w), []).append(i)
-        marks = self.vocabulary[self.is_mark]
-        #: By number of words: the fewest marks that a match of such an item has.
-        self.least_marks = {n: min(int(np.isin(self.words[i], marks).sum()) for i in own) - int(EDITS * n) for n, own in self.by_size.items()}
+        size = np.array([len(w) for w in self.words], np.int64)
+        self.size, self.most = size, (EDITS * size).astype(np.int64)
+        place = [np.searchsorted(self.vocabulary, w) for w in self.words]
+        #: By item: the fewest marks that a match of it has; the others' windows are found by their words alone.
+        self.least_marks = np.array([int(self.is_mark[p].sum()) for p in place], np.int64) - self.most
+        self.unmarked = {n: [i for i in own if self.least_marks[i] < 2] for n, own in self.by_size.items()}
+        pairs = np.unique(np.array([(v, i) for i, p in enumerate(place) if self.least_marks[i] >= 2 for v in p[self.is_mark[p]]], np.int64).reshape(-1, 2), axis=0)
+        #: The items of each mark, one after the other, and where each word's begin.
+        self.items_of, self.items_at = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.vocabulary) + 1))
         #: For each repetition the sorted keys of all items, and the items.
         self.keys = []
         if len(use):
-            joined, size = np.concatenate(self.words), np.array([len(w) for w in self.words])
+            joined = np.concatenate(self.words)
             for r in range(REPETITIONS):
                 keys = walk_keys(joined, np.cumsum(size) - size, size, r)
                 order = np.argsort(keys, kind="stable")
@@ -130,24 +137,43 @@ class Items:
         near = np.flatnonzero(known)
         at = np.minimum(np.searchsorted(self.vocabulary, h[near]), len(self.vocabulary) - 1)
         known[near] = self.vocabulary[at] == h[near]
-        mark = np.zeros(len(h), bool)
-        mark[near] = known[near] & self.is_mark[at]
-        sums, marks = (np.concatenate([[0], np.cumsum(x)]) for x in (known, mark))
-        if not mark.any() and min(self.least_marks.values()) > 0:
-            return
+        sums = np.concatenate([[0], np.cumsum(known)])
         text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
         last = first[1:][text_of]
-        starts = np.flatnonzero(known)
-        full, sizes, seen = [], [], set()
-        for n, own in self.by_size.items():
+        full, sizes, seen = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], set()
+
+        def enter(start: np.ndarray, n: np.ndarray, own) -> None:
             # words of the window, or of what is left of the text where fewer are left but enough
-            end = np.minimum(starts + n, last[starts])
-            enough = (marks[end] - marks[starts] >= self.least_marks[n]) & (sums[end] - sums[starts] >= n - int(EDITS * n))
-            start, whole = starts[enough], (end - starts)[enough] == n
+            end = np.minimum(start + n, last[start])
+            enough = known[start] & (sums[end] - sums[start] >= n - (EDITS * n).astype(np.int64))
+            start, n, whole = start[enough], n[enough], (end - start)[enough] == n[enough]
             full.append(start[whole])
-            sizes.append(np.full(len(full[-1]), n))
-            # a walk must not run into the next text: the few short windows meet all items of their size
-            seen.update((int(s), i) for s in start[~whole] for i in own)
+            sizes.append(n[whole])
+            # a walk must not run into the next text: the few short windows meet the items of their size
+            for s, m in zip(start[~whole].tolist(), n[~whole].tolist()):
+                seen.update((s, i) for i in own(m))
+
+        # items with marks: as many of one item's marks as a match has at least, within the words of a match
+        found = near[known[near]]
+        v = at[known[near]]
+        count = self.items_at[v + 1] - self.items_at[v]
+        item, place = self.items_of[ranges(self.items_at[v], count)], np.repeat(found, count)
+        order = np.lexsort((place, item))
+        item, place = item[order], place[order]
+        k = np.arange(len(item))
+        ahead = k + self.least_marks[item] - 1
+        k, ahead = k[ahead < len(item)], ahead[ahead < len(item)]
+        reach = (self.size + self.most)[item[k]]
+        good = (item[ahead] == item[k]) & (place[ahead] - place[k] < reach) & (text_of[place[ahead]] == text_of[place[k]])
+        k, ahead, reach = k[good], ahead[good], reach[good]
+        low = np.maximum(place[ahead] - reach + 1, first[text_of[place[k]]])
+        run = place[k] - low + 1
+        windows = np.unique(np.stack([ranges(low, run), np.repeat(self.size[item[k]], run)]), axis=1)
+        enter(windows[0], windows[1], lambda m: self.by_size[m])
+        starts = np.flatnonzero(known)
+        for n, own in self.unmarked.items():
+            if own:
+                enter(starts, np.full(len(starts), n), lambda m: self.unmarked[m])
         full, sizes = np.concatenate(full), np.concatenate(sizes)
         for r in range(REPETITIONS if len(full) else 0):
             keys, own = self.keys[r]

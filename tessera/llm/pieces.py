@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.kernels import lists, mix, powers, slices, span_hashes
+from tessera.llm.kernels import lists, mix, powers, ranges, slices, span_hashes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = 0x2581
@@ -60,12 +60,6 @@ class Vocabulary:
         self.spelt_at = np.concatenate([[0], np.cumsum([len(s) for s in spelt])])
 
 
-def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The numbers start, start + 1, ... of each of many runs, one after the other."""
-    total = np.cumsum(counts)
-    return np.arange(total[-1] if len(total) else 0) + np.repeat(starts - (total - counts), counts)
-
-
 class Lattices:
     """The lattices of the distinct units seen so far; a unit is what no piece reaches across.
 
