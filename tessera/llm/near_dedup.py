@@ -7,7 +7,8 @@ signature are bucket keys. In a bucket documents form stars: a centre, the one
 most like the others, is paired with all that may link with it, then another
 for those that are left. Pairs are confirmed on full sets. Who isn't in the
 largest component of a bucket after that is paired with its likeliest partners
-of other components, and who still isn't with all that may link.
+of other components. Where some had more than these, they are paired with all
+that may link by a finer signature.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ WORDS = 5
 PERCENT = 75
 #: Bins that agree, at least, of a pair that may link: three standard deviations under 75 %.
 MAY = 81
+#: Bins of the finer signature that is compared last, and how many agree at least: three and a half standard deviations under 75 %.
+FINE, MAY_FINE = 512, 350
 #: Bytes of a row's signature: one of each bin, then four of each band's key.
 PACKED = BINS + 4 * BANDS
 #: Partners that one outside the largest component is paired with first.
@@ -70,24 +73,25 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple
     return values[at], owner[at]
 
 
-def donors() -> np.ndarray:
-    """donors[t, i]: the bin that the empty bin i asks at its attempt t; at the end all bins in turn."""
-    if "donors" not in _tables:
-        tries = 8 * BINS
-        asked = mix(np.arange(tries * BINS, dtype=np.uint64) + np.uint64(77)).reshape(tries, BINS) % np.uint64(BINS)
-        turn = (np.arange(BINS)[:, None] + np.arange(BINS)[None, :]) % BINS
-        _tables["donors"] = np.concatenate([asked.astype(np.int64), turn])
-    return _tables["donors"]
+def donors(size: int) -> np.ndarray:
+    """donors[t, i]: the bin of ``size`` that the empty bin i asks at its attempt t; at the end all bins in turn."""
+    name = f"donors {size}"
+    if name not in _tables:
+        tries = 8 * size
+        asked = mix(np.arange(tries * size, dtype=np.uint64) + np.uint64(77)).reshape(tries, size) % np.uint64(size)
+        turn = (np.arange(size)[:, None] + np.arange(size)[None, :]) % size
+        _tables[name] = np.concatenate([asked.astype(np.int64), turn])
+    return _tables[name]
 
 
-def signatures(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """(n, BINS) minima of each text's bins, densified; rows of empty sets mean nothing."""
-    bins = (values >> np.uint64(64 - 7)).astype(np.int64)
+def signatures(values: np.ndarray, owner: np.ndarray, n: int, size: int = BINS) -> np.ndarray:
+    """(n, size) minima of each text's bins, densified; rows of empty sets mean nothing. ``size`` is a power of two."""
+    bins = (values >> np.uint64(65 - size.bit_length())).astype(np.int64)
     at = run_starts(owner, bins)  # sorted values: the first of a bin is its minimum
-    signature, filled = np.zeros((n, BINS), np.uint64), np.zeros((n, BINS), bool)
+    signature, filled = np.zeros((n, size), np.uint64), np.zeros((n, size), bool)
     signature[owner[at], bins[at]], filled[owner[at], bins[at]] = values[at], True
     row, column = np.nonzero(~filled & filled.any(axis=1, keepdims=True))
-    for asked in donors():
+    for asked in donors(size):
         if not len(row):
             break
         donor = asked[column]
@@ -105,6 +109,12 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return mix(key + np.arange(BANDS, dtype=np.uint64))
 
 
+def rows_of_bytes(table: np.ndarray) -> pa.Array:
+    """A binary column of the rows of a table of bytes."""
+    rows, width = table.shape
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.arange(rows + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(np.ascontiguousarray(table))])
+
+
 def profiles(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(id, n, f, g, bands, sig): set size, two fingerprints of the set, bucket keys, and both packed; a row for each row of documents."""
 
@@ -120,7 +130,7 @@ def profiles(documents: DataFrame, key: str, text: str) -> DataFrame:
             signature = signatures(values, owner, rows)
             keys = band_keys(signature)
             low = np.concatenate([signature.astype(np.uint8), np.ascontiguousarray((keys >> np.uint64(32)).astype("<u4")).view(np.uint8)], axis=1)
-            low = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.arange(0, PACKED * rows + 1, PACKED, dtype=np.int32)), pa.py_buffer(low)])
+            low = rows_of_bytes(low)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n.astype(np.int64)), pa.array(signed(f)), pa.array(signed(g)), lists(signed(keys.ravel()), np.arange(rows + 1) * BANDS), low], names=["id", "n", "f", "g", "bands", "sig"]
             )
@@ -129,7 +139,7 @@ def profiles(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def full_sets(documents: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(id, hashes): the full set of each wanted(id, f), from the document with that fingerprint."""
+    """(id, hashes, fine): the full set of each wanted(id, f), from the document with that fingerprint, and its finer signature, a byte of each bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
@@ -138,11 +148,12 @@ def full_sets(documents: DataFrame, key: str, text: str, wanted: DataFrame) -> D
             bounds = np.concatenate([[0], np.cumsum(n)])
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
             same = signed(sums[bounds[1:]] - sums[bounds[:-1]]) == batch.column("f").to_numpy()
-            out = pa.RecordBatch.from_arrays([batch.column("id"), lists(signed(values), bounds)], names=["id", "hashes"])
+            fine = rows_of_bytes(signatures(values, owner, batch.num_rows, FINE).astype(np.uint8))
+            out = pa.RecordBatch.from_arrays([batch.column("id"), lists(signed(values), bounds), fine], names=["id", "hashes", "fine"])
             yield out.filter(pa.array(same))
 
     rows = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(wanted, "id")
-    return rows.select("id", "f", "t").mapInArrow(run, "id bigint, hashes array<bigint>").dropDuplicates(["id"])
+    return rows.select("id", "f", "t").mapInArrow(run, "id bigint, hashes array<bigint>, fine binary").dropDuplicates(["id"])
 
 
 def tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -159,7 +170,9 @@ def stars(phase: int):
     Phase 1 pairs each member with one centre; the centres of a salted bucket
     come back as (bucket, a). Phases 2 and 3 pair the members outside the
     largest component with members of other components, in the first bucket
-    that they share: the FIRST likeliest, then all that may link. Sets whose sizes rule a link out aren't paired.
+    that they share: the FIRST likeliest, then all that may link by the finer
+    signature too. Who has more than FIRST in phase 2 comes back as (bucket, a).
+    Sets whose sizes rule a link out aren't paired.
     """
 
     def out(bucket, a, b):
@@ -185,7 +198,7 @@ def stars(phase: int):
         if salted:
             yield out(bucket, np.array(centres), [None] * len(centres))
 
-    def outsiders(bucket, ids, n, signature, comp, outer, visitor, salted, keys, band):
+    def outsiders(bucket, ids, n, signature, comp, outer, visitor, salted, keys, band, fine):
         outside = outer
         if not salted:
             names, count = np.unique(comp, return_counts=True)
@@ -195,8 +208,11 @@ def stars(phase: int):
             same = (signature[others] == signature[i]).sum(axis=1)
             keep = np.flatnonzero(same >= MAY)
             keep = keep[(keys[others[keep]] == keys[i]).argmax(axis=1) == band]
-            if phase == 2:
+            if phase == 2 and len(keep) > FIRST:
                 keep = keep[np.argsort(-same[keep], kind="stable")[:FIRST]]
+                yield out(bucket, ids[i : i + 1], [None])
+            elif phase == 3:
+                keep = keep[(fine[others[keep]] == fine[i]).sum(axis=1) >= MAY_FINE]
             if len(keep):
                 yield out(bucket, *pair(ids[others[keep]], ids[i]))
 
@@ -204,14 +220,14 @@ def stars(phase: int):
         t = pa.Table.from_batches(held).combine_chunks()
         bucket, salt = t.column("bucket").to_numpy(), t.column("salt").to_numpy()
         ids, n, comp, outer, visitor, salted = (t.column(c).to_numpy() for c in ("id", "n", "comp", "outer", "visitor", "salted"))
-        packed = flat(t.column("sig"))[0].reshape(len(bucket), PACKED)
-        signature, keys, band = packed[:, :BINS], np.ascontiguousarray(packed[:, BINS:]).view("<u4"), t.column("band_no").to_numpy()
+        packed = flat(t.column("sig"))[0].reshape(len(bucket), -1)
+        signature, keys, fine, band = packed[:, :BINS], np.ascontiguousarray(packed[:, BINS:PACKED]).view("<u4"), packed[:, PACKED:], t.column("band_no").to_numpy()
         at = np.append(run_starts(bucket, salt), len(bucket))
         for s, e in zip(at[:-1], at[1:]):
             if phase == 1 and (e - s > 1 or salted[s]):
                 yield from first_stars(bucket[s], ids[s:e], n[s:e], signature[s:e], salted[s])
             elif phase > 1 and e - s > 1:
-                yield from outsiders(bucket[s], ids[s:e], n[s:e], signature[s:e], comp[s:e], outer[s:e], visitor[s:e], salted[s], keys[s:e], band[s])
+                yield from outsiders(bucket[s], ids[s:e], n[s:e], signature[s:e], comp[s:e], outer[s:e], visitor[s:e], salted[s], keys[s:e], band[s], fine[s:e])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -239,8 +255,8 @@ def stars(phase: int):
     return run
 
 
-def star_pairs(members: DataFrame, bands: DataFrame, phase: int) -> DataFrame:
-    """Pairs (a, b) over all buckets of members(bucket, band_no, id, n, sig, comp), once each.
+def star_pairs(members: DataFrame, bands: DataFrame, phase: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) over all buckets of members(bucket, band_no, id, n, sig, comp), once each; the buckets where phase 2 left some out.
 
     A bucket of over MOST members is dealt out by a salt. In phase 1 the
     centres of its parts meet in a next round, with one band more in the key,
@@ -264,7 +280,7 @@ def star_pairs(members: DataFrame, bands: DataFrame, phase: int) -> DataFrame:
         pairs = new if pairs is None else pairs.union(new)
         centres = found.where("b is null").select("bucket", F.col("a").alias("id"))
         if phase > 1 or centres.isEmpty():
-            return pairs.distinct()
+            return pairs.distinct(), centres.select("bucket").distinct()
         again = centres.join(rows, ["bucket", "id"]).join(bands, "id").select("bucket", "id", "n", "sig", "comp", "band_no", F.posexplode("bands").alias("i", "band"))
         rows = again.where("i > band_no").select(F.xxhash64("bucket", "band").alias("bucket"), "id", "n", "sig", "comp", F.col("i").alias("band_no"))
 
@@ -273,7 +289,7 @@ def star_edges(members: DataFrame, bands: DataFrame, sets: DataFrame) -> DataFra
     """Confirmed links (a, b): every two members of a bucket that may link end in one component, or were compared in full."""
     known, rows = None, members.withColumn("comp", F.col("id"))
     for phase in (1, 2, 3):
-        pairs = star_pairs(rows, bands, phase)
+        pairs, more = star_pairs(rows, bands, phase)
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         new = kept(tested(pairs, sets))
@@ -281,6 +297,8 @@ def star_edges(members: DataFrame, bands: DataFrame, sets: DataFrame) -> DataFra
         if phase < 3:
             roots = components(known.where("ok").select("a", "b"))
             rows = members.join(roots, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        if phase == 2:
+            rows = rows.join(more, "bucket", "left_semi").join(sets.select("id", "fine"), "id").withColumn("sig", F.concat("sig", "fine")).drop("fine")
     return known.where("ok").select("a", "b")
 
 
