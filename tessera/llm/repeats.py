@@ -1,12 +1,13 @@
-"""Repeated passages by a sparse suffix array.
-
-Suffixes are kept only where a k-word gram is the minimum of its window: the
-places depend on content alone, and every passage of ``MIN_WORDS`` words has
-one. Suffixes whose head stands in one document alone are left out by a grouped
-count; the others are sorted over the cluster by head and following words.
-Neighbours in that order are compared and their match is extended to the right
-and to the left; since the next kept suffix of a passage is at most a window
-away, bounded contexts are enough, and the spans of a document are joined.
+"""Repeated passages by minimisers and exact windows.
+
+Every passage of ``MIN_WORDS`` words (a window) has a head: the k-word gram in
+it that is the minimum. Equal windows have equal heads, so windows whose head
+stands in one document alone are left out by a grouped count. The others are
+dealt out by their heads, consecutive windows of one head as one row, and each
+window's hash is looked up among all of its head's. The windows of heads that
+are too common for one task are counted by grouped aggregates instead. No
+window goes without that, so every one that stands in two documents is found;
+the spans of a document are joined.
 """
 
 from __future__ import annotations
@@ -18,16 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.kernels import LOWER, flat, run_starts, signed, slices, span_hashes, words
+from tessera.llm.kernels import LOWER, flat, lists, run_starts, signed, slices, span_hashes, words
 from tessera.session import kept
 
-#: Words of the shortest passage that counts, of a suffix's head, and grams in a minimiser's window.
+#: Words of the shortest passage that counts, of a window's head, and grams in a window.
 MIN_WORDS, HEAD = 50, 25
 WINDOW = MIN_WORDS - HEAD + 1
-#: Words of context on each side of a head; more lie in the contexts of the next kept suffixes.
-CONTEXT = WINDOW - 1
-#: Neighbours on each side in sorted order that a suffix is compared with.
-NEIGHBOURS = 6
+#: Windows of one head that a task compares at once; those of more common heads are counted by aggregates.
+MOST = 1 << 18
+#: Parts that the documents of a common window are dealt out to.
+SALTS = 64
 
 
 def sliding(x: np.ndarray, width: int, choose) -> np.ndarray:
@@ -39,121 +40,130 @@ def sliding(x: np.ndarray, width: int, choose) -> np.ndarray:
     return choose(have[: len(have) - rest], have[rest:]) if rest else have
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place of each kept suffix among all words, its head's hash, word hashes, text number of each word)."""
+def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(head's hash, hash, text number, first word in its text) of each window, in order."""
     lowered = LOWER[data]
     starts, ends, doc = words(lowered, offsets)
     h = span_hashes(lowered, starts, ends)
-    none = np.zeros(0, np.int64)
     if len(h) < MIN_WORDS:
-        return none, none.astype(np.uint64), h, doc
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none.astype(np.uint64), none, none
     at = np.arange(len(h) - HEAD + 1)
-    gram = span_hashes(h, at, at + HEAD)
-    least = sliding(gram, WINDOW, np.minimum)
-    least[doc[: len(least)] != doc[MIN_WORDS - 1 :]] = 0
-    side = np.zeros(WINDOW - 1, np.uint64)
-    chosen = np.flatnonzero((gram == sliding(np.concatenate([side, least, side]), WINDOW, np.maximum)) & (gram > 0))
-    return chosen, gram[chosen], h, doc
-
-
-def fixed_binary(rows: np.ndarray) -> pa.Array:
-    width = rows.shape[1] * rows.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, width * len(rows) + 1, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
-
-
-def from_binary(column: pa.Array) -> np.ndarray:
-    _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(">u4").reshape(len(column), CONTEXT)
+    least = sliding(span_hashes(h, at, at + HEAD), WINDOW, np.minimum)
+    at = np.flatnonzero(doc[: len(least)] == doc[MIN_WORDS - 1 :])
+    owner = doc[at]
+    return least[at], span_hashes(h, at, at + MIN_WORDS), owner, at - np.searchsorted(doc, owner)
 
 
 def heads(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, h): each head of each document once."""
+    """(id, h, n): each head of each document once, and how many windows of the document have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
-            chosen, h, _, doc = anchors(*flat(batch.column("t")))
-            owner = doc[chosen]
+            h, _, owner, _ = windows(*flat(batch.column("t")))
+            at = run_starts(owner, h)
+            n, h, owner = np.diff(np.append(at, len(h))), h[at], owner[at]
             order = np.lexsort((h, owner))
-            at = order[run_starts(owner[order], h[order])]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner[at])), pa.array(signed(h[at]))], names=["id", "h"])
+            at = run_starts(owner[order], h[order])
+            n = np.add.reduceat(n[order], at) if len(at) else n
+            at = order[at]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner[at])), pa.array(signed(h[at])), pa.array(n)], names=["id", "h", "n"])
+
+    return documents.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id bigint, h bigint, n bigint")
 
-    return documents.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id bigint, h bigint")
 
+def candidates(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(h, id, first, windows, common): the windows whose head is in two documents or more.
 
-def suffixes(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(h, right, id, pos, left): the kept suffixes whose head is in two documents or more, with their contexts."""
+    A row has WINDOW consecutive windows of one head at most, the first of
+    which starts at the word ``first``; ``common`` marks heads of over MOST windows.
+    """
     entries = heads(documents, key, text)
-    shared = entries.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h")
-    wanted = entries.join(shared, "h").groupBy("id").agg(F.collect_set("h").alias("hs"))
+    shared = entries.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), (F.sum("n") > MOST).alias("common")).where("a < b").select("h", "common")
+    wanted = entries.join(shared, "h").groupBy("id").agg(F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("common"), F.col("h"))).alias("cs"))
+
+    def known(column: pa.Array) -> np.ndarray:
+        return np.unique(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = np.arange(CONTEXT)
         for batch in slices(batches, "t"):
-            chosen, h, word, doc = anchors(*flat(batch.column("t")))
-            known = np.unique(batch.column("hs").flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-            keep = np.isin(signed(h), known)
-            chosen, h = chosen[keep], h[keep]
-            if not len(chosen):
-                continue
-            owner = doc[chosen]
-            code = (word >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-            first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            right = chosen[:, None] + HEAD + span
-            left = chosen[:, None] - 1 - span
-            right_code = np.where(right < first[owner + 1][:, None], code[np.minimum(right, len(code) - 1)], 0).astype(">u4")
-            left_code = np.where(left >= first[owner][:, None], code[np.maximum(left, 0)], 0).astype(">u4")
+            h, w, owner, first = windows(*flat(batch.column("t")))
+            h = signed(h)
+            keep = np.isin(h, known(batch.column("hs")))
+            h, w, owner, first = h[keep], w[keep], owner[keep], first[keep]
+            # runs of neighbouring windows with one head, in pieces of WINDOW
+            at = run_starts(owner, h, first - np.arange(len(first)))
+            n = np.diff(np.append(at, len(h)))
+            at = run_starts(np.repeat(at, n), (np.arange(len(h)) - np.repeat(at, n)) // WINDOW)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(h)), fixed_binary(right_code), batch.column("id").take(pa.array(owner)), pa.array((chosen - first[owner]).astype(np.int32)), fixed_binary(left_code)], names=["h", "right", "id", "pos", "left"]
+                [pa.array(h[at]), batch.column("id").take(pa.array(owner[at])), pa.array(first[at].astype(np.int32)), lists(signed(w), np.append(at, len(w))), pa.array(np.isin(h[at], known(batch.column("cs"))))],
+                names=["h", "id", "first", "windows", "common"],
             )
 
-    rows = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(wanted, "id").select("id", "t", "hs")
-    return rows.mapInArrow(run, "h bigint, right binary, id bigint, pos int, left binary")
+    rows = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(wanted, "id").select("id", "t", "hs", "cs")
+    return rows.mapInArrow(run, "h bigint, id bigint, first int, windows array<bigint>, common boolean")
 
 
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes to the spans that match a neighbour's, and the first and last suffixes as they are.
-
-    The latter may have neighbours in the next task's rows.
-    """
-
-    def out(ids, first, last, other, h=None, right=None, left=None, pos=None):
-        n = len(ids)
-        no = pa.nulls(n, pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(other), pa.array(h) if h is not None else pa.nulls(n, pa.int64()), fixed_binary(right) if right is not None else no, fixed_binary(left) if left is not None else no, pa.array(pos) if pos is not None else pa.nulls(n, pa.int32())],
-            names=["id", "first", "last", "other", "h", "right", "left", "pos"],
-        )
-
-    held = None
-    started = False
+    """Candidates sorted by head to the spans of their windows that stand in another document too."""
+
+    def spans(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        ids, first = t.column("id").to_numpy(), t.column("first").to_numpy()
+        column = t.column("windows").combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        n = column.value_lengths().to_numpy()
+        w, row = column.flatten().to_numpy(), np.repeat(np.arange(len(ids)), n)
+        place = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+        order = np.lexsort((ids[row], w))
+        # each window of each document once, and the first two documents of each window
+        sorted_w, sorted_id = w[order], ids[row][order]
+        at = run_starts(sorted_w, sorted_id)
+        group = run_starts(sorted_w[at])
+        size = np.diff(np.append(group, len(at)))
+        one, two = sorted_id[at][group], sorted_id[at][np.minimum(group + 1, len(at) - 1)]
+        one, two, many = (np.repeat(x, size) for x in (one, two, size > 1))
+        partner = np.where(sorted_id[at] == one, two, one)
+        often = np.diff(np.append(at, len(w)))
+        hit = np.repeat(many, often)
+        found, partner = order[hit], np.repeat(partner, often)[hit]
+        row, place = row[found], place[found]
+        low, high, other = np.full(len(ids), WINDOW), np.full(len(ids), -1), np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(low, row, place)
+        np.maximum.at(high, row, place)
+        np.minimum.at(other, row, partner)
+        # windows of one row are less than WINDOW apart, so they overlap
+        good = high >= 0
+        return pa.RecordBatch.from_arrays([pa.array(ids[good]), pa.array((first + low)[good].astype(np.int32)), pa.array((first + high + MIN_WORDS)[good].astype(np.int32)), pa.array(other[good])], names=["id", "first", "last", "other"])
+
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        new = [batch.column("h").to_numpy(), batch.column("id").to_numpy(), batch.column("pos").to_numpy(), from_binary(batch.column("right")), from_binary(batch.column("left"))]
-        if not started:
-            h, ids, pos, right, left = (x[:NEIGHBOURS] for x in new)
-            yield out(ids, pos, pos, ids, h, right, left, pos)
-            started = True
-        h, ids, pos, right, left = new if held is None else [np.concatenate([a, b]) for a, b in zip(held, new)]
-        n = len(h)
-        to_left, to_right = np.full(n, -1), np.full(n, -1)
-        other = np.full(n, np.iinfo(np.int64).max)
-        for s in range(1, NEIGHBOURS + 1):
-            a = np.flatnonzero((h[s:] == h[:-s]) & (ids[s:] != ids[:-s]))
-            b = a + s
-            r = np.logical_and.accumulate((right[a] == right[b]) & (right[a] != 0), axis=1).sum(axis=1)
-            l = np.logical_and.accumulate((left[a] == left[b]) & (left[a] != 0), axis=1).sum(axis=1)
-            good = l + r + HEAD >= MIN_WORDS
-            for x, y in ((a[good], b[good]), (b[good], a[good])):
-                to_left[x], to_right[x] = np.maximum(to_left[x], l[good]), np.maximum(to_right[x], r[good])
-                other[x] = np.minimum(other[x], ids[y])
-        found = np.flatnonzero(to_left >= 0)
-        yield out(ids[found], pos[found] - to_left[found], pos[found] + HEAD + to_right[found], other[found])
-        held = [x[-NEIGHBOURS:] for x in (h, ids, pos, right, left)]
-    if held is not None:
-        h, ids, pos, right, left = held
-        yield out(ids, pos, pos, ids, h, right, left, pos)
+        # whole heads at a time: the last one may go on in the next batch
+        h = batch.column("h").to_numpy()
+        cut = int(np.searchsorted(h, h[-1]))
+        if cut or (held and last != h[0]):
+            held += [batch.slice(0, cut)] if cut else []
+            yield spans(held)
+            held = []
+        held.append(batch.slice(cut))
+        last = h[-1]
+    if held:
+        yield spans(held)
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """The same for the windows of common heads, by grouped aggregates over single windows."""
+    each = rows.select("id", "first", F.posexplode("windows").alias("i", "w")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    # the two smallest documents of each salt, then of each window
+    cells = each.groupBy("w", "salt").agg(F.min("id").alias("m"))
+    more = each.join(cells, ["w", "salt"]).where("id > m").groupBy("w", "salt").agg(F.min("id").alias("m"))
+    two = cells.union(more).groupBy("w").agg(F.sort_array(F.collect_list("m")).alias("m")).where(F.size("m") > 1).select("w", F.col("m")[0].alias("one"), F.col("m")[1].alias("two"))
+    both = cells.select("w", "salt").join(two, "w")
+    at = F.col("first") + F.col("i")
+    return each.join(both, ["w", "salt"]).select("id", at.alias("first"), (at + MIN_WORDS).alias("last"), F.when(F.col("id") == F.col("one"), F.col("two")).otherwise(F.col("one")).alias("other"))
 
 
 def repeats(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,19 +171,17 @@ def repeats(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Passages have MIN_WORDS words or more; words are runs of bytes that aren't
     white space, A-Z lower-cased, counted from 0, the end being after the last.
-    Overlapping passages are one span; ``other_doc`` is the smallest key it was
-    matched with. Repeats within one document don't count. Rows that repeat a
-    key are one document. Null and short texts, and rows without a key, give
-    no rows.
+    Overlapping passages are one span; ``other_doc`` is the smallest other key
+    that has MIN_WORDS words of it. Repeats within one document don't count.
+    Rows that repeat a key are one document. Null and short texts, and rows
+    without a key, give no rows.
     """
-    schema = "id bigint, first int, last int, other bigint, h bigint, right binary, left binary, pos int"
-    order = ["h", "right", "id", "pos"]
-    rows = suffixes(documents, key, text)
+    rows = kept(candidates(documents, key, text))
     sized = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = kept(rows.repartitionByRange(sized, *order).sortWithinPartitions(*order).mapInArrow(compared, schema))
-    # the ends of the tasks' rows, a few for each task, are compared once more among themselves
-    ends = found.where("h is not null").select("h", "right", "id", "pos", "left").repartition(1).sortWithinPartitions(*order).mapInArrow(compared, schema)
-    spans = found.where("h is null").union(ends.where("h is null")).select("id", "first", "last", "other")
+    spans = rows.where("not common").select("h", "id", "first", "windows").repartition(sized, "h").sortWithinPartitions("h").mapInArrow(compared, "id bigint, first int, last int, other bigint")
+    common = rows.where("common")
+    if not common.isEmpty():
+        spans = spans.union(counted(common))
     by_start = Window.partitionBy("id").orderBy("first", "last")
     reach = F.max("last").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("new", F.when(F.col("first") <= reach, 0).otherwise(1))

@@ -44,3 +44,34 @@ def test_against_brute_force(spark):
 def test_no_rows(spark):
     assert repeats(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
     assert repeats(spark.createDataFrame([(None, "a " * 60), (1, "a " * 60)], "doc_id bigint, text string")).collect() == []
+
+
+def partners(rows):
+    """(doc, window's first word) -> smallest other document that has the window."""
+    docs = {i: t.lower().split() for i, t in rows}
+    where = {}
+    for i, w in docs.items():
+        for k in range(len(w) - MIN_WORDS + 1):
+            where.setdefault(tuple(w[k : k + MIN_WORDS]), []).append(i)
+    return {(i, k): min((x for x in where[tuple(w[k : k + MIN_WORDS])] if x != i), default=None) for i, w in docs.items() for k in range(len(w) - MIN_WORDS + 1)}
+
+
+def test_passages_that_repeat_within_a_document_too(spark, monkeypatch):
+    import tessera.llm.repeats as module
+
+    r = random.Random(8)
+    words = lambda n: ["v%d" % r.randrange(5000) for _ in range(n)]
+    spam, long = words(60), words(120)
+    rows = [(1, spam * 40), (2, words(30) + spam * 40 + words(30)), (3, spam * 20 + long), (4, long * 15)]
+    # one head, many halves: the partner of a whole window is far away in any order of the suffixes
+    rows += [(10 + i, words(45) + long[40:66] + words(45)) for i in range(40)]
+    rows += [(60 + i, words(30) + long[20:90] + words(30)) for i in range(3)]
+    r.shuffle(rows)
+    rows = [(i, " ".join(w)) for i, w in rows]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    other = partners(rows)
+    for most in (module.MOST, 100, 0):
+        monkeypatch.setattr(module, "MOST", most)
+        got = [tuple(x) for x in repeats(df).collect()]
+        assert {(i, s, e) for i, s, e, _, _ in got} == brute(rows)
+        assert all(o == min(filter(None, (other[i, k] for k in range(s, e - MIN_WORDS + 1)))) for i, s, e, _, o in got)
