@@ -3,7 +3,10 @@
 A document is the set of its distinct word shingles. One permutation deals the
 shingles into bins, whose minima are the signature; empty bins borrow from a
 bin chosen by a hash of their own number (optimal densification). Bands of the
-signature are bucket keys. In a bucket documents form stars: a centre, the one
+signature are bucket keys. Sets of up to SMALL shingles, of which a signature
+says too little, have as keys those of their shingles of which two linking sets
+share one at least, and a bitmap in place of the signature, which never rules
+out a pair that links. In a bucket documents form stars: a centre, the one
 most like the others, is paired with all that may link with it, then another
 for those that are left. Pairs are confirmed on full sets. Who isn't in the
 largest component of a bucket after that is paired with its likeliest partners
@@ -29,11 +32,14 @@ ROWS = 4
 BANDS = BINS // ROWS
 WORDS = 5
 PERCENT = 75
-#: Bins that agree, at least, of a pair that may link: three standard deviations under 75 %.
-MAY = 81
-#: Bins of the finer signature that is compared last, and how many agree at least: three and a half standard deviations under 75 %.
-FINE, MAY_FINE = 512, 350
-#: Bytes of a row's signature: one of each bin, then four of each band's key.
+#: Sets of up to SMALL shingles have prefix keys; those over BOTH have bands (too), so a pair has both kinds or one in common.
+SMALL = 124
+BOTH = PERCENT * SMALL // 100
+#: Bins that agree, at least, of a pair that may link: six standard deviations (4.9 measured at 94 shingles) under 75 %.
+MAY = 66
+#: Bins of the finer signature that is compared last, and how many agree at least: six standard deviations (11.2 measured) under 75 %.
+FINE, MAY_FINE = 512, 316
+#: Bytes of a row's signature: one of each bin, then four of each key. A small set has a bitmap of as many bytes for the bins.
 PACKED = BINS + 4 * BANDS
 #: Partners that one outside the largest component is paired with first.
 FIRST = 4
@@ -109,6 +115,25 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return mix(key + np.arange(BANDS, dtype=np.uint64))
 
 
+def prefixes(values: np.ndarray, owner: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place among all values, text number, place in its text) of the prefix keys of the small sets.
+
+    Of sets that link, each shares at least PERCENT of its own shingles; so both
+    have one of the shared ones among the smallest that are left beside those.
+    """
+    size = np.where((n > 0) & (n <= SMALL), n + 1 + -PERCENT * n // 100, 0)
+    place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+    at = np.flatnonzero(place < np.repeat(size, n))
+    return at, owner[at], place[at]
+
+
+def bitmaps(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """(n, BINS) bytes: a bit for each value of a text, several may have the same."""
+    bits = np.zeros((n, 8 * BINS), bool)
+    bits[owner, (values >> np.uint64(10)).astype(np.int64) % (8 * BINS)] = True
+    return np.packbits(bits, axis=1)
+
+
 def rows_of_bytes(table: np.ndarray) -> pa.Array:
     """A binary column of the rows of a table of bytes."""
     rows, width = table.shape
@@ -116,7 +141,10 @@ def rows_of_bytes(table: np.ndarray) -> pa.Array:
 
 
 def profiles(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n, f, g, bands, sig): set size, two fingerprints of the set, bucket keys, and both packed; a row for each row of documents."""
+    """(id, n, f, g, bands, sig, small): set size, two fingerprints of the set, bucket keys, and both packed for each kind of key; a row for each row of documents.
+
+    Keys of bands are even and stand before those of prefixes, which are odd.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
@@ -130,12 +158,21 @@ def profiles(documents: DataFrame, key: str, text: str) -> DataFrame:
             signature = signatures(values, owner, rows)
             keys = band_keys(signature)
             low = np.concatenate([signature.astype(np.uint8), np.ascontiguousarray((keys >> np.uint64(32)).astype("<u4")).view(np.uint8)], axis=1)
-            low = rows_of_bytes(low)
+            at, text_no, place = prefixes(values, owner, n)
+            tokens = mix(values[at] + np.uint64(7))
+            packed = np.zeros((rows, BANDS), "<u4")
+            packed[text_no, place] = tokens >> np.uint64(32)
+            small = np.concatenate([bitmaps(values, owner, rows), packed.view(np.uint8)], axis=1)
+            banded = np.flatnonzero(n > BOTH)
+            every = np.concatenate([(keys[banded] & ~np.uint64(1)).ravel(), tokens | np.uint64(1)])
+            whose = np.concatenate([np.repeat(banded, BANDS), text_no])
+            every = every[np.argsort(whose, kind="stable")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n.astype(np.int64)), pa.array(signed(f)), pa.array(signed(g)), lists(signed(keys.ravel()), np.arange(rows + 1) * BANDS), low], names=["id", "n", "f", "g", "bands", "sig"]
+                [batch.column("id"), pa.array(n.astype(np.int64)), pa.array(signed(f)), pa.array(signed(g)), lists(signed(every), np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=rows))])), rows_of_bytes(low), rows_of_bytes(small)],
+                names=["id", "n", "f", "g", "bands", "sig", "small"],
             )
 
-    return documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id bigint, n bigint, f bigint, g bigint, bands array<bigint>, sig binary")
+    return documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id bigint, n bigint, f bigint, g bigint, bands array<bigint>, sig binary, small binary")
 
 
 def full_sets(documents: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -178,10 +215,22 @@ def stars(phase: int):
     def out(bucket, a, b):
         return pa.RecordBatch.from_pydict({"bucket": pa.array(np.full(len(a), bucket), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    def fits(signature, n, small, i, others):
+        """(of the others: whether a link with i isn't ruled out, likeness)"""
+        sized = 100 * np.minimum(n[others], n[i]) >= PERCENT * np.maximum(n[others], n[i])
+        if not small:
+            same = (signature[others] == signature[i]).sum(axis=1)
+            return sized & (same >= MAY), same
+        # what one has and the other lacks, at least; a link leaves room for so many
+        lacks = np.bitwise_count(signature[i] & ~signature[others]).sum(axis=1, dtype=np.int64)
+        extra = np.bitwise_count(signature[others] & ~signature[i]).sum(axis=1, dtype=np.int64)
+        shared = -(-PERCENT * (n[others] + n[i]) // (100 + PERCENT))
+        return sized & (lacks <= n[i] - shared) & (extra <= n[others] - shared), -lacks - extra
+
     def pair(x, y):
         return np.maximum(x, y), np.minimum(x, y)
 
-    def first_stars(bucket, ids, n, signature, salted):
+    def first_stars(bucket, ids, n, signature, salted, small):
         free, centres = np.arange(len(ids)), []
         while len(free):
             own = signature[free]
@@ -189,7 +238,7 @@ def stars(phase: int):
             k = int((own == modal).sum(axis=1).argmax()) if len(free) > 2 else 0
             c = free[k]
             centres.append(ids[c])
-            near = ((own == signature[c]).sum(axis=1) >= MAY) & (100 * np.minimum(n[free], n[c]) >= PERCENT * np.maximum(n[free], n[c]))
+            near, _ = fits(signature, n, small, c, free)
             near[k] = False
             if near.any():
                 yield out(bucket, *pair(ids[free[near]], ids[c]))
@@ -198,20 +247,27 @@ def stars(phase: int):
         if salted:
             yield out(bucket, np.array(centres), [None] * len(centres))
 
-    def outsiders(bucket, ids, n, signature, comp, outer, visitor, salted, keys, band, fine):
+    def met_before(keys, place, i, others, small):
+        """Of the others: whether a bucket of an earlier key is shared too."""
+        if not small:
+            return (keys[others] == keys[i]).argmax(axis=1) != place[i]
+        earlier = keys[i, : place[i]]
+        return np.array([np.isin(earlier, keys[o]).any() for o in others], bool)
+
+    def outsiders(bucket, ids, n, signature, comp, outer, visitor, salted, keys, place, fine, small):
         outside = outer
         if not salted:
             names, count = np.unique(comp, return_counts=True)
             outside = comp != names[count.argmax()]
         for i in np.flatnonzero(outside):
-            others = np.flatnonzero((comp != comp[i]) & ~visitor & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
-            same = (signature[others] == signature[i]).sum(axis=1)
-            keep = np.flatnonzero(same >= MAY)
-            keep = keep[(keys[others[keep]] == keys[i]).argmax(axis=1) == band]
+            others = np.flatnonzero((comp != comp[i]) & ~visitor)
+            near, same = fits(signature, n, small, i, others)
+            keep = np.flatnonzero(near)
+            keep = keep[~met_before(keys, place, i, others[keep], small)]
             if phase == 2 and len(keep) > FIRST:
                 keep = keep[np.argsort(-same[keep], kind="stable")[:FIRST]]
                 yield out(bucket, ids[i : i + 1], [None])
-            elif phase == 3:
+            elif phase == 3 and not small:
                 keep = keep[(fine[others[keep]] == fine[i]).sum(axis=1) >= MAY_FINE]
             if len(keep):
                 yield out(bucket, *pair(ids[others[keep]], ids[i]))
@@ -221,13 +277,14 @@ def stars(phase: int):
         bucket, salt = t.column("bucket").to_numpy(), t.column("salt").to_numpy()
         ids, n, comp, outer, visitor, salted = (t.column(c).to_numpy() for c in ("id", "n", "comp", "outer", "visitor", "salted"))
         packed = flat(t.column("sig"))[0].reshape(len(bucket), -1)
-        signature, keys, fine, band = packed[:, :BINS], np.ascontiguousarray(packed[:, BINS:PACKED]).view("<u4"), packed[:, PACKED:], t.column("band_no").to_numpy()
+        signature, keys, fine = packed[:, :BINS], np.ascontiguousarray(packed[:, BINS:PACKED]).view("<u4"), packed[:, PACKED:]
+        place = t.column("band_no").to_numpy() - np.where((bucket & 1 == 1) & (n > BOTH), BANDS, 0)
         at = np.append(run_starts(bucket, salt), len(bucket))
         for s, e in zip(at[:-1], at[1:]):
             if phase == 1 and (e - s > 1 or salted[s]):
-                yield from first_stars(bucket[s], ids[s:e], n[s:e], signature[s:e], salted[s])
+                yield from first_stars(bucket[s], ids[s:e], n[s:e], signature[s:e], salted[s], bucket[s] & 1)
             elif phase > 1 and e - s > 1:
-                yield from outsiders(bucket[s], ids[s:e], n[s:e], signature[s:e], comp[s:e], outer[s:e], visitor[s:e], salted[s], keys[s:e], band[s], fine[s:e])
+                yield from outsiders(bucket[s], ids[s:e], n[s:e], signature[s:e], comp[s:e], outer[s:e], visitor[s:e], salted[s], keys[s:e], place[s:e], fine[s:e], bucket[s] & 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -282,7 +339,8 @@ def star_pairs(members: DataFrame, bands: DataFrame, phase: int) -> tuple[DataFr
         if phase > 1 or centres.isEmpty():
             return pairs.distinct(), centres.select("bucket").distinct()
         again = centres.join(rows, ["bucket", "id"]).join(bands, "id").select("bucket", "id", "n", "sig", "comp", "band_no", F.posexplode("bands").alias("i", "band"))
-        rows = again.where("i > band_no").select(F.xxhash64("bucket", "band").alias("bucket"), "id", "n", "sig", "comp", F.col("i").alias("band_no"))
+        kind = F.col("bucket").bitwiseAND(F.lit(1).cast("bigint"))
+        rows = again.where("i > band_no").select(F.xxhash64("bucket", "band").bitwiseAND(F.lit(-2).cast("bigint")).bitwiseOR(kind).alias("bucket"), "id", "n", "sig", "comp", F.col("i").alias("band_no"))
 
 
 def star_edges(members: DataFrame, bands: DataFrame, sets: DataFrame) -> DataFrame:
@@ -312,14 +370,15 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     a key are one document (if their texts differ, that of the smallest
     fingerprint); a null key gives one row that links with nothing and is kept.
     """
-    rows = kept(profiles(documents, key, text).groupBy("id").agg(F.min(F.struct("f", "g", "n", "bands", "sig")).alias("p")).select("id", "p.*"))
+    rows = kept(profiles(documents, key, text).groupBy("id").agg(F.min(F.struct("f", "g", "n", "bands", "sig", "small")).alias("p")).select("id", "p.*"))
     # equal sets are one class, represented by its smallest document
     classes = rows.where("n > 0 and id is not null").groupBy("f", "g", "n").agg(F.min("id").alias("rep"))
     member = rows.select("id", "f", "g", "n").join(classes, ["f", "g", "n"], "left")
     reps = rows.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").where("n > 0")
     entries = reps.select("id", "n", F.posexplode("bands").alias("band_no", "bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    members = kept(entries.join(shared, "bucket").join(rows.select("id", "sig"), "id"))
+    packed = F.when(F.col("bucket").bitwiseAND(F.lit(1).cast("bigint")) == 1, F.col("small")).otherwise(F.col("sig")).alias("sig")
+    members = kept(entries.join(shared, "bucket").join(rows.select("id", "sig", "small"), "id").select("id", "bucket", "n", "band_no", packed))
     wanted = rows.select("id", "f").join(members.select("id").distinct(), "id", "left_semi")
     sets = kept(full_sets(documents, key, text, wanted))
     roots = components(star_edges(members, reps.select("id", "bands"), sets))

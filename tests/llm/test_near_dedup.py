@@ -70,3 +70,16 @@ def test_nulls_and_no_rows(spark):
 def test_sets_stay_in_their_text():
     values, owner = shingle_sets(*flat(pa.array(["a b c d e", None, "a b", "c d e f g", "b c d e"])))
     assert np.bincount(owner, minlength=5).tolist() == [1, 0, 1, 1, 1] and len(set(values.tolist())) == 4
+
+
+def test_short_pairs_at_the_threshold(spark):
+    rows, n = [], 0
+    for size, more, times in ((3, 1, 2000), (6, 2, 2000), (9, 3, 1000), (30, 10, 500), (69, 23, 500), (90, 30, 500)):
+        for _ in range(times):
+            # the second text has all shingles of the first, and ``more`` others: 75 % exactly
+            words = ["q%d.%d" % (n, i) for i in range(size + 4 + more)]
+            rows += [(2 * n, " ".join(words[: size + 4])), (2 * n + 1, " ".join(words))]
+            n += 1
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {i: c for i, _, c, _ in near_duplicates(df).collect()}
+    assert [i for i in range(n) if not got[2 * i] == got[2 * i + 1] == 2 * i] == []
