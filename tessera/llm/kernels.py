@@ -17,7 +17,16 @@ SLICE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+
+
+class Tables(dict):
+    """Tables that each process computes for itself: functions that are sent to the executors take them along empty."""
+
+    def __reduce__(self):
+        return Tables, ()
+
+
+_powers = Tables()
 
 #: White space as bytes: space and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)

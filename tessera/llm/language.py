@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.kernels import mix, run_starts, slices
+from tessera.llm.kernels import Tables, mix, run_starts, slices
 
 DIMENSIONS = 512
 SEED = 20250
-_tables: dict[str, np.ndarray] = {}
+_tables = Tables()
 
 
 def letters() -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.kernels import LOWER, flat, lists, mix, run_starts, signed, slices, span_hashes, words
+from tessera.llm.kernels import LOWER, Tables, flat, lists, mix, run_starts, signed, slices, span_hashes, words
 from tessera.session import kept
 
 BINS = 128
@@ -47,7 +47,7 @@ FIRST = 4
 MOST, ROUNDS = 8192, 3
 #: Added to the hash of a word by its place in a shingle.
 PLACE = np.cumsum(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
-_tables: dict[str, np.ndarray] = {}
+_tables = Tables()
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
