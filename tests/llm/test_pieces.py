@@ -85,3 +85,21 @@ def test_round_trip(spark):
         assert r["exact"] == (None if want is None else "▁" not in want)
         assert back[r["doc_id"], r["sample"]] == (want if r["exact"] in (True, None) else " ")
     assert encode(df.limit(0)).collect() == []
+
+
+def test_samples_depend_on_key_and_text_alone(vocabulary):
+    r = np.random.default_rng(5)
+    words = ["".join(chr(97 + c) for c in r.integers(0, 26, r.integers(1, 12))) for _ in range(300)]
+    texts = [" ".join(words[i] for i in r.integers(0, 300, r.integers(0, 60))) for _ in range(60)]
+    keys = list(range(60))
+
+    def rows(groups):
+        found = {}
+        for own in groups:
+            lattices = Lattices(vocabulary)
+            for t, i, path, lp, inc in segmentations(lattices, np.array([keys[j] for j in own], np.int64), [texts[j] for j in own], 3):
+                ids = [int(x) for e in path for x in lattices.pool[lattices.id_at[e] : lattices.id_at[e] + lattices.id_n[e]]]
+                found[own[t], i] = (ids, lp, inc)
+        return found
+
+    assert rows([range(60)]) == rows([[j] for j in reversed(range(60))])
