@@ -1,11 +1,14 @@
 """Line dedup with a fixed-depth tree of log templates.
 
 A line goes down the tree by its number of tokens, then by its leading tokens;
-the leaf holds its templates. A token with a digit is a variable field. In the
-rest of a longer line one of a few segments may vary as well: the line then
-falls under one generalised template for each segment that is left open.
-Templates are 64-bit keys, counted over documents by a grouped aggregate, so a
-template that every document carries costs a row a task, not a group.
+the leaf holds its templates. Tokens with a digit are variable fields, as long
+as words are at least as many. Behind the leading tokens a leaf's templates
+leave more fields open: one or two tokens of a short line, one or two of a few
+segments of a longer one, one segment of a long one. A line falls under each
+template that it matches, whole or generalised. Templates are 64-bit keys,
+counted over documents by a grouped aggregate, so a template that every
+document carries costs a row a task, not a group; what a field is comes out of
+the count, as only templates that really recur get over the bound.
 """
 
 from __future__ import annotations
@@ -20,51 +23,80 @@ from pyspark.sql import functions as F
 
 from tessera.llm.kernels import LOWER, flat, lists, mix, run_starts, signed, slices, span_hashes, words
 
-#: Leading tokens that every template keeps.
-DEPTH = 3
-#: Parts of the rest of a line, one of which a generalised template leaves open.
+#: Leading tokens that every template keeps: of lines of LONG tokens or more, and of shorter ones.
+DEPTH, SHORT_DEPTH = 3, 1
+#: Tokens from which on a line is generalised by tokens, by segments, and by single segments alone.
+SHORT, LONG, LONGEST = 4, 12, 25
+#: Parts of the rest of a longer line.
 SEGMENTS = 4
-#: Tokens from which on a line is generalised.
-LONG = 12
-#: A template is recurring from so many documents on.
-MIN_DOCS = 3
+#: Of a short line's tokens so many in five may be fields.
+OPEN_OF_FIVE = 2
+#: A template is recurring from so many documents on; one with open tokens, of a short line, from more. A line that two
+#: documents share is mostly part of a pair of copies, which near-dedup removes whole.
+MIN_DOCS, MIN_DOCS_OPEN = 3, 5
 FIELD = np.uint64(0xF1E1D)
 PLACE = np.uint64(0x9E3779B97F4A7C15)
+ONE = np.uint64(1)
 
 
-def line_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, text number, line start, line end): a row of 1 + SEGMENTS keys for each line with a token.
+def line_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, line of each key, and by line: text number, start, end) of the lines with a token.
 
-    Of a short line all keys are the same one.
+    Keys of templates with open tokens are odd, all others even.
     """
     lowered = LOWER[data]
     starts, ends, doc = words(lowered, offsets)
     if not len(starts):
-        return np.zeros((0, 1 + SEGMENTS), np.uint64), doc, starts, ends
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), doc, starts, ends
     h = span_hashes(lowered, starts, ends)
     digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
-    h[digits[ends] > digits[starts]] = FIELD
+    field = digits[ends] > digits[starts]
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
     line = breaks[starts] + doc
     first = run_starts(line)
     n = np.diff(np.append(first, len(line)))
+    fields = np.add.reduceat(field, first, dtype=np.int64)
+    field &= np.repeat(2 * fields <= n, n)  # a line of more numbers than words has its own tokens
+    h[field] = FIELD
     place = np.arange(len(line)) - np.repeat(first, n)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + place.astype(np.uint64) * PLACE), dtype=np.uint64)])
-    whole = sums[first + n] - sums[first]
+    term = mix(h + place.astype(np.uint64) * PLACE)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(term, dtype=np.uint64)])
     size = mix(n.astype(np.uint64))
-    keys = np.repeat(mix(whole + size)[:, None], 1 + SEGMENTS, axis=1)
-    long = n >= LONG
+    whole = sums[first + n] - sums[first] + size
+    keys, whose = [mix(whole) & ~ONE], [np.arange(len(n))]
+    # segments of longer lines
+    long = np.flatnonzero(n >= LONG)
+    parts = [first[long] + DEPTH + (n[long] - DEPTH) * j // SEGMENTS for j in range(SEGMENTS + 1)]
+    part = [sums[parts[j + 1]] - sums[parts[j]] for j in range(SEGMENTS)]
+    brief = n[long] < LONGEST
     for i in range(SEGMENTS):
-        a, b = (first + DEPTH + (n - DEPTH) * j // SEGMENTS for j in (i, i + 1))
-        a, b = a[long], b[long]
-        keys[long, i + 1] = mix(whole[long] - (sums[b] - sums[a]) + size[long] + np.uint64(i + 1) * FIELD)
+        keys.append(mix(whole[long] - part[i] + np.uint64(i + 1) * FIELD) & ~ONE)
+        whose.append(long)
+        for j in range(i + 1, SEGMENTS):
+            keys.append(mix((whole[long] - part[i] - part[j])[brief] + np.uint64((i + 1) * 64 + j + 1) * FIELD) & ~ONE)
+            whose.append(long[brief])
+    # tokens of short ones
+    for m in range(SHORT, LONG):
+        own = np.flatnonzero(n == m)
+        if not len(own):
+            continue
+        at = first[own][:, None] + np.arange(m)
+        terms, fixed = term[at], ~field[at]
+        given = m - fixed.sum(axis=1)
+        for i in range(SHORT_DEPTH, m):
+            for j in range(i, m):
+                more = 1 if i == j else 2
+                use = fixed[:, i] & fixed[:, j] & (5 * (given + more) <= OPEN_OF_FIVE * m)
+                left_out = terms[use, i] + (terms[use, j] if j > i else np.uint64(0))
+                keys.append(mix(whole[own][use] - left_out + np.uint64((i + 1) * 64 + j + 1) * FIELD) | ONE)
+                whose.append(own[use])
     at = doc[first]
     # the line's own bounds: from after the break before its first token to the break after its last
     newlines = np.concatenate([np.flatnonzero(data == 10), [len(data)]])
     before = np.searchsorted(newlines, starts[first]) - 1
     left = np.maximum(np.where(before >= 0, newlines[np.maximum(before, 0)] + 1, 0), offsets[at])
     right = np.minimum(newlines[np.searchsorted(newlines, starts[first])], offsets[at + 1])
-    return keys, at, left, right
+    return np.concatenate(keys), np.concatenate(whose), at, left, right
 
 
 def templates(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -72,26 +104,27 @@ def templates(documents: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
-            keys, doc, _, _ = line_keys(*flat(batch.column("t")))
-            flat_keys, owner = keys.ravel(), np.repeat(doc, 1 + SEGMENTS)
-            order = np.lexsort((flat_keys, owner))
-            at = order[run_starts(owner[order], flat_keys[order])]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner[at])), pa.array(signed(flat_keys[at]))], names=["id", "template"])
+            keys, whose, doc, _, _ = line_keys(*flat(batch.column("t")))
+            owner = doc[whose]
+            order = np.lexsort((keys, owner))
+            at = order[run_starts(owner[order], keys[order])]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner[at])), pa.array(signed(keys[at]))], names=["id", "template"])
 
     return documents.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {dict(documents.dtypes)[key]}, template bigint")
 
 
-def recurring(documents: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring(documents: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_docs_open: int = MIN_DOCS_OPEN) -> DataFrame:
     """(id, drop array<bigint>): the recurring templates of each document that isn't their first carrier."""
     entries = templates(documents, key, text)
-    known = entries.groupBy("template").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last")).where((F.col("n") >= min_docs) & (F.col("last") > F.col("first"))).select("template", "first")
+    least = F.when(F.col("template") % 2 == 0, min_docs).otherwise(min_docs_open)
+    known = entries.groupBy("template").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last")).where((F.col("n") >= least) & (F.col("last") > F.col("first"))).select("template", "first")
     return entries.join(known, "template").where("id <> first").groupBy("id").agg(F.collect_set("template").alias("drop"))
 
 
-def without_recurring_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, dropped: str | None = None) -> DataFrame:
-    """Documents without the lines whose template recurs in ``min_docs`` documents or more.
+def without_recurring_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_docs_open: int = MIN_DOCS_OPEN, dropped: str | None = None) -> DataFrame:
+    """Documents without the lines of a template that recurs in ``min_docs`` documents or more.
 
-    The document with the smallest key keeps its lines: of copies one stays
+    Templates with open tokens count from ``min_docs_open`` on. The document with the smallest key keeps its lines: of copies one stays
     whole. Lines are compared with A-Z lower-cased and by tokens between white
     space; blank lines stay. A document that loses every line keeps its row,
     with an empty text. Null texts stay null, rows without a key stay as they
@@ -100,7 +133,7 @@ def without_recurring_lines(documents: DataFrame, key: str = "doc_id", text: str
     """
     columns = documents.columns
     schema = ", ".join(f"`{c}` {k}" for c, k in documents.dtypes) + ", `\u0001drop` array<bigint>, `\u0001lines` int"
-    lost = recurring(documents, key, text, min_docs).select(F.col("id").alias(key), F.col("drop").alias("\u0001drop"))
+    lost = recurring(documents, key, text, min_docs, min_docs_open).select(F.col("id").alias(key), F.col("drop").alias("\u0001drop"))
     rows = documents.join(lost, key, "left").select(*[F.col(f"`{c}`") for c in columns], "\u0001drop", F.lit(0).alias("\u0001lines"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,15 +146,16 @@ def without_recurring_lines(documents: DataFrame, key: str = "doc_id", text: str
             if not batch.num_rows:
                 continue
             data, offsets = flat(batch.column(text))
-            keys, doc, left, right = line_keys(data, offsets)
+            keys, whose, doc, left, right = line_keys(data, offsets)
             drop = batch.column("\u0001drop")
             bad = signed(drop.flatten().to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64)
             owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(drop).to_numpy(zero_copy_only=False))
             # (row, key) pairs that are to go, looked up by one mixed number
             wanted = np.sort(mix(bad + mix(owner.astype(np.uint64))))
-            have = mix(keys + mix(doc.astype(np.uint64))[:, None])
+            have = mix(keys + mix(doc.astype(np.uint64))[whose])
             at = np.searchsorted(wanted, have)
-            hit = (wanted[np.minimum(at, len(wanted) - 1)] == have).any(axis=1)
+            hit = np.zeros(len(doc), bool)
+            hit[whose[wanted[np.minimum(at, len(wanted) - 1)] == have]] = True
             gone = np.zeros(len(data) + 1, np.int32)
             # a line goes with the break after it, the last line with the break before it
             a, b = left[hit].copy(), right[hit].copy()
