@@ -317,19 +317,29 @@ def star_pairs(members: DataFrame, bands: DataFrame, phase: int) -> tuple[DataFr
 
     A bucket of over MOST members is dealt out by a salt. In phase 1 the
     centres of its parts meet in a next round, with one band more in the key,
-    so that what only happens to share a band comes apart; what is left after
-    ROUNDS rounds is compared whole. In the later phases those outside the
-    largest component visit every part.
+    so that what only happens to share a band comes apart; in buckets that are
+    large after ROUNDS rounds every two parts meet. In the later phases those
+    outside the largest component visit every part.
     """
     pairs, turn = None, 0
     rows = members
     while True:
         turn += 1
-        large = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.mode("comp", True).alias("main")).where((F.col("m") > MOST) & F.lit(turn <= ROUNDS))
-        split = rows.join(large, "bucket", "left").withColumn("salted", F.col("m").isNotNull())
-        parts = F.coalesce(F.ceil(F.col("m") / MOST), F.lit(1))
+        last = phase == 1 and turn > ROUNDS
+        if phase == 1:
+            large = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.lit(None).cast("bigint").alias("main")).where(F.col("m") > MOST)
+        else:
+            counted = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+            large = counted.groupBy("bucket").agg(F.sum("c").alias("m"), F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main")).where(F.col("m") > MOST)
+        split = rows.join(large, "bucket", "left").withColumn("salted", F.col("m").isNotNull() & F.lit(not last))
+        parts = F.coalesce(F.ceil(F.col("m") / (MOST // 2 if last else MOST)), F.lit(1))
         dealt = split.withColumn("own", F.pmod(F.xxhash64("id"), parts)).withColumn("outer", F.col("salted") & F.lit(phase > 1) & F.coalesce(F.col("comp") != F.col("main"), F.lit(False)))
-        dealt = dealt.withColumn("salt", F.explode(F.when(F.col("outer"), F.sequence(F.lit(0).cast("bigint"), parts - 1)).otherwise(F.array("own"))))
+        every = F.sequence(F.lit(0).cast("bigint"), parts - 1)
+        if last:
+            salts = F.transform(every, lambda q: F.least(F.col("own"), q) * parts + F.greatest(F.col("own"), q))
+        else:
+            salts = F.when(F.col("outer"), every).otherwise(F.array("own"))
+        dealt = dealt.withColumn("salt", F.explode(salts))
         dealt = dealt.withColumn("visitor", F.col("outer") & (F.col("salt") != F.col("own"))).select("bucket", "salt", "band_no", "id", "n", "sig", "comp", "salted", "outer", "visitor")
         dealt = dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "id")
         found = kept(dealt.mapInArrow(stars(phase), "bucket bigint, a bigint, b bigint").distinct())
