@@ -10,7 +10,8 @@ are confirmed by the exact edit distance.
 A window only enters the search if enough of its words occur in the items at
 all, and if it holds enough of the words of one item that stand in few items:
 each other word costs an edit, and so does each such word that is missing, so
-nothing within the distance is lost.
+nothing within the distance is lost. Items too short for an edit are looked up
+word by word.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ EDITS = 0.2
 REPETITIONS, SAMPLE = 24, 3
 #: Items whose words are sent to the tasks at once: the bound of what is broadcast. More items take more passes.
 ITEM_BLOCK = 20_000
-#: Items of fewer words match too easily to mean anything and are left out.
-LEAST_WORDS = 5
+#: Items of fewer words leave no room for an edit.
+WALKED = 5
 SEED = 4711
 #: Bytes of text whose windows are embedded together.
 STEP_BYTES = 2 << 20
@@ -94,13 +95,29 @@ def best_end(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def spans(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each place on."""
+    out = np.zeros(len(at), np.uint64)
+    for j in range(n):
+        out += mix(h[at + j] + np.uint64(j * 2_654_435_761 + n))
+    return mix(out)
+
+
 class Items:
     """The items of a block: their words, and the keys of their embeddings by number of words."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         h, first = word_hashes(pa.array(texts, pa.string()))
         size = np.diff(first)
-        use = np.flatnonzero(size >= LEAST_WORDS)
+        #: By number of words, up to WALKED: the sorted hashes of the short items, and their ids.
+        self.exact: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(1, WALKED):
+            own = np.flatnonzero(size == n)
+            if len(own):
+                whole = spans(h, first[own], n)
+                order = np.argsort(whole, kind="stable")
+                self.exact[n] = whole[order], np.array([ids[i] for i in own[order]], np.int64)
+        use = np.flatnonzero(size >= WALKED)
         self.ids, self.words = [ids[i] for i in use], [h[first[i] : first[i + 1]] for i in use]
         self.vocabulary = np.unique(np.concatenate(self.words)) if len(use) else np.zeros(0, np.uint64)
         items_of = np.unique(np.concatenate([np.unique(w) for w in self.words]), return_counts=True) if len(use) else (self.vocabulary, self.vocabulary)
@@ -129,8 +146,23 @@ class Items:
                 order = np.argsort(keys, kind="stable")
                 self.keys.append((keys[order], order))
 
+    def short_matches(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text number, item id, start, words, 0) of the first place of each short item in each text."""
+        text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        for n, (known, ids) in self.exact.items():
+            at = np.flatnonzero(text_of[: len(h) - n + 1] == text_of[n - 1 :]) if len(h) >= n else np.zeros(0, np.int64)
+            got = spans(h, at, n)
+            a, b = np.searchsorted(known, got, "left"), np.searchsorted(known, got, "right")
+            hit = np.flatnonzero(b > a)
+            # the first of each text and item: places are in order
+            _, one = np.unique(np.stack([text_of[at[hit]], a[hit]]), axis=1, return_index=True)
+            for k in hit[one].tolist():
+                for i in ids[a[k] : b[k]].tolist():
+                    yield int(text_of[at[k]]), i, int(at[k] - first[text_of[at[k]]]), n, 0
+
     def matches(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text number, item number, start, words, edits) of each window start that matches."""
+        """(text number, item id, start, words, edits) of each window start that matches."""
+        yield from self.short_matches(h, first)
         if not len(self.vocabulary) or not len(h):
             return
         known = self.bits[(h >> np.uint64(44)).astype(np.int64)]
@@ -189,7 +221,7 @@ class Items:
                 continue
             edits, size = best_end(self.words[i], text, most)
             if edits <= most:
-                yield int(text_of[s]), i, int(s - first[text_of[s]]), size, edits
+                yield int(text_of[s]), self.ids[i], int(s - first[text_of[s]]), size, edits
 
 
 def item_blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[Items]:
@@ -207,8 +239,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     A match is a stretch of the document within EDITS x words of the item, in
     words inserted, deleted or changed; words are runs of bytes that aren't
     white space, A-Z lower-cased. It starts at a word of the item's
-    vocabulary. Null texts and items, items of under LEAST_WORDS words and
-    rows without a key match nothing; repeated rows count once.
+    vocabulary. Items of under WALKED words match where they stand unchanged.
+    Null texts and items, items without a word and rows without a key match
+    nothing; repeated rows count once. Other columns, whatever their names,
+    aren't read; an empty table gives no rows.
     """
     rows = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
     schema = "id bigint, item bigint, start int, size int, edits int"
@@ -223,7 +257,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
                 if got:
                     doc, i, start, size, edits = zip(*got)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("id").take(pa.array(doc)), pa.array([block.ids[x] for x in i], pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(edits, pa.int32())], names=["id", "item", "start", "size", "edits"]
+                        [batch.column("id").take(pa.array(doc)), pa.array(i, pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(edits, pa.int32())], names=["id", "item", "start", "size", "edits"]
                     )
 
         new = rows.mapInArrow(run, schema)
