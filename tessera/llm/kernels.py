@@ -50,7 +50,7 @@ def powers(kind: str, n: int) -> np.ndarray:
     """The first n powers of the hash base ("up") or of its inverse ("down")."""
     have = _powers.get(kind)
     if have is None or len(have) < n:
-        have = np.full(max(n, 2 * SLICE_BYTES), _BASE if kind == "up" else _BASE_INVERSE, np.uint64)
+        have = np.full(max(n, 1 << 18, 0 if have is None else 3 * len(have) // 2), _BASE if kind == "up" else _BASE_INVERSE, np.uint64)
         have[0] = 1
         _powers[kind] = have = np.cumprod(have, dtype=np.uint64)
     return have[:n]

@@ -28,12 +28,21 @@ BLANK = 0x2581
 SAMPLES = 2
 #: Weight of a character that only bytes can spell, and scale of the weights (larger: less random).
 BYTES_WEIGHT, ALPHA = -14.0, 1.0
-#: Bytes of text worked on at once, and edges of lattices held before the store is emptied.
-STEP, HELD_EDGES = 1 << 20, 5_000_000
+#: Bytes of text worked on at once, characters whose lattices are built at once, edges of lattices held before the store is emptied.
+STEP, ADDED, HELD_EDGES = 1 << 19, 1 << 16, 4_000_000
+
+
+def sums_of(codes: np.ndarray) -> np.ndarray:
+    """Running sums of which a difference, times an inverse power, is a hash of the codes between."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers("up", len(codes)), dtype=np.uint64)])
+
+
+#: Brings all bits of a hash to its top.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Vocabulary:
-    """Pieces by hash, and the bytes that each id stands for."""
+    """Pieces and their beginnings by hash, and the bytes that each id stands for."""
 
     def __init__(self, model: bytes):
         import sentencepiece
@@ -42,14 +51,20 @@ class Vocabulary:
         ids = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         pieces = [sp.id_to_piece(i) for i in ids]
         codes = [np.frombuffer(p.encode("utf-32-le"), np.uint32) for p in pieces]
-        ends = np.cumsum([len(c) for c in codes])
-        h = span_hashes(np.concatenate(codes), np.concatenate([[0], ends[:-1]]), ends)
-        order = np.argsort(h)
-        self.hashes, self.ids = h[order], np.array(ids)[order]
-        self.weights = -ALPHA * np.log(2.0 + np.array(ids) - ids[0])[order]
-        #: By the top bits of a hash: a piece with these, or -1 where there is none.
+        size = np.array([len(c) for c in codes])
+        begin = np.cumsum(size) - size
+        joined = np.concatenate(codes)
+        # every beginning of every piece, so that a longer match is only looked for where a shorter one may go on
+        starts = np.repeat(begin, size)
+        ends = np.arange(len(joined)) + 1
+        sums = sums_of(joined)
+        self.hashes, at = np.unique((sums[ends] - sums[starts]) * powers("down", len(joined) + 1)[starts], return_index=True)
+        whole = np.searchsorted(self.hashes, (sums[begin + size] - sums[begin]) * powers("down", len(joined) + 1)[begin])
+        self.ids, self.weights = np.full(len(self.hashes), -1), np.zeros(len(self.hashes))
+        self.ids[whole], self.weights[whole] = ids, -ALPHA * np.log(2.0 + np.array(ids) - ids[0])
+        #: By the top bits of a spread hash: a beginning with these, or -1 where there is none.
         self.slot = np.full(1 << 21, -1, np.int32)
-        self.slot[(self.hashes >> np.uint64(43)).astype(np.int64)] = np.arange(len(ids))
+        self.slot[(self.hashes * SPREAD >> np.uint64(43)).astype(np.int64)] = np.arange(len(self.hashes))
         self.longest = max(map(len, codes))
         self.byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         spelt = [b""] * sp.vocab_size()
@@ -101,8 +116,7 @@ class Lattices:
         by_left = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
         node_of = np.empty(n, np.int64)
         node_of[by_left] = np.arange(n)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((own.astype(np.uint64) + np.uint64(1)) * powers("up", n), dtype=np.uint64)])
-        down = powers("down", n + 1)
+        sums, down = sums_of(own), powers("down", n + 1)
         # the pieces that begin at each place, by length
         found = []
         count = np.zeros(n, np.int64)
@@ -111,14 +125,16 @@ class Lattices:
             reach = reach[left[reach] >= k]
             if not len(reach):
                 break
-            h = mix((sums[reach + k] - sums[reach]) * down[reach])
-            i = self.v.slot[(h >> np.uint64(43)).astype(np.int64)]
+            h = (sums[reach + k] - sums[reach]) * down[reach]
+            i = self.v.slot[(h * SPREAD >> np.uint64(43)).astype(np.int64)]
             likely = np.flatnonzero(i >= 0)
-            at, h, i = reach[likely], h[likely], i[likely]
+            reach, h, i = reach[likely], h[likely], i[likely]
             other = np.flatnonzero(self.v.hashes[i] != h)
             i[other] = np.minimum(np.searchsorted(self.v.hashes, h[other]), len(self.v.hashes) - 1)
             hit = self.v.hashes[i] == h
-            at, i = at[hit], i[hit]
+            reach, i = reach[hit], i[hit]
+            piece = self.v.ids[i] >= 0
+            at, i = reach[piece], i[piece]
             if k == 1:
                 loose = np.ones(n, bool)
                 loose[at] = False
@@ -239,8 +255,10 @@ def segmentations(lattices: Lattices, keys: np.ndarray, texts: list[str | None],
     h = span_hashes(codes, starts, ends)
     known, at, index = np.unique(h, return_index=True, return_inverse=True)
     missing = np.array([i for i, x in enumerate(known.tolist()) if x not in lattices.root], np.int64)
-    if len(missing):
-        lattices.add(known[missing], codes, starts[at[missing]], ends[at[missing]])
+    size = np.cumsum((ends - starts)[at[missing]])
+    for part in np.split(missing, np.searchsorted(size, np.arange(ADDED, size[-1], ADDED))) if len(missing) else ():
+        if len(part):
+            lattices.add(known[part], codes, starts[at[part]], ends[at[part]])
     roots = np.array([lattices.root[x] for x in known.tolist()], np.int64)[index] if len(h) else np.zeros(0, np.int64)
     n = len(texts)
     text_of = np.repeat(np.arange(n), np.diff(first))
