@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.kernels import LOWER, flat, run_starts, slices, span_hashes, words
 
-#: Kinds of bytes: lower case, upper case, digit, white space, sentence marks, other marks, beyond ASCII, exclamation mark, bar.
+#: Kinds of bytes: lower case, upper case, digit, white space, sentence marks, other marks, beyond ASCII.
 KINDS = np.full(256, 5, np.uint8)
 KINDS[97:123], KINDS[65:91], KINDS[48:58], KINDS[128:] = 0, 1, 2, 6
 KINDS[[9, 10, 11, 12, 13, 32]] = 3
-KINDS[[ord(c) for c in ".,;:?'\"()-"]] = 4
-KINDS[ord("!")], KINDS[ord("|")] = 7, 8
-WIDTH = 14
+KINDS[[ord(c) for c in ".,;:?!'\"()-"]] = 4
+N_KINDS = 7
+WIDTH = 8 + N_KINDS - 1
 #: Weight of the pooled diagonal in a class covariance.
 SHRINKAGE = 0.02
 #: Added to the sizes that counts are divided by, so that a mark or two don't decide on a short text.
@@ -36,7 +36,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     size = np.diff(offsets)
     owner = np.repeat(np.arange(n), size)
-    kinds = np.bincount(owner * 9 + KINDS[data], minlength=9 * n).reshape(n, 9).astype(float)
+    kinds = np.bincount(owner * N_KINDS + KINDS[data], minlength=N_KINDS * n).reshape(n, N_KINDS).astype(float)
     lines = 1 + np.bincount(owner[data == 10], minlength=n)
     starts, ends, doc = words(data, offsets)
     lowered = LOWER[data]
@@ -50,6 +50,12 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     length = (ends - starts).astype(float)
     mean = np.bincount(doc, length, n) / np.maximum(count, 1)
     square = np.bincount(doc, length**2, n) / np.maximum(count, 1)
+    # marks that follow one of their own kind, and words of marks alone
+    mark = (KINDS[data] == 4) | (KINDS[data] == 5)
+    again = np.flatnonzero(mark[1:] & (data[1:] == data[:-1])) + 1
+    doubled = np.bincount(owner[again], minlength=n)
+    marks = np.concatenate([[0], np.cumsum(mark)])
+    bare = np.bincount(doc[marks[ends] - marks[starts] == ends - starts], minlength=n)
     share = np.sqrt(kinds / (size + PRIOR_BYTES)[:, None])
     out = np.column_stack(
         [
@@ -59,7 +65,9 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             np.log1p(distinct) / np.log1p(np.maximum(count, 1)) * (count > 0),
             np.sqrt(repeated / (count + PRIOR_WORDS)),
             np.log1p(count / lines),
-            share[:, [1, 2, 3, 4, 5, 6, 7, 8]],
+            np.sqrt(doubled / (size + PRIOR_BYTES)),
+            np.sqrt(bare / (count + PRIOR_WORDS)),
+            share[:, 1:],
         ]
     )
     out[size == 0] = 0
@@ -120,27 +128,19 @@ def fit(features: DataFrame, labels: DataFrame, key: str = "doc_id", label: str
     """Class moments over all labelled rows whose crc32(key) mod 3 is not 1.
 
     Of several labels of a key the smallest counts; a null label is none. The
-    moments are 2 x (1 + WIDTH + WIDTH^2) sums, whatever the number of rows.
+    moments are 2 x (1 + WIDTH + WIDTH (WIDTH + 1) / 2) sums, whatever the number of rows.
     """
     marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(key).agg(F.min(label).cast("int").alias("c"))
-    rows = features.join(marks, key).select("c", "features")
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            c = batch.column("c").to_numpy(zero_copy_only=False)
-            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(len(c), WIDTH)
-            for k in np.unique(c):
-                own = x[c == k]
-                sums[int(k)] = sums.get(int(k), 0) + np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
-        for k, v in sums.items():
-            yield pa.RecordBatch.from_pydict({"c": pa.array([k], pa.int32()), "sums": pa.array([v.tolist()], pa.list_(pa.float64()))})
-
-    added = rows.mapInArrow(partial, "c int, sums array<double>").select("c", F.posexplode("sums").alias("i", "v")).groupBy("c", "i").agg(F.sum("v").alias("v"))
-    table: dict[int, np.ndarray] = {}
-    for r in added.collect():
-        table.setdefault(r["c"], np.zeros(1 + WIDTH + WIDTH**2))[r["i"]] = r["v"]
-    return Discriminant({c: (v[0], v[1 : 1 + WIDTH], v[1 + WIDTH :].reshape(WIDTH, WIDTH)) for c, v in table.items() if c in (0, 1)}, shrinkage)
+    rows = features.join(marks, key).select("c", *[F.element_at("features", i + 1).alias(f"x{i}") for i in range(WIDTH)])
+    pairs = [(i, j) for i in range(WIDTH) for j in range(i, WIDTH)]
+    sums = rows.groupBy("c").agg(F.count("*").alias("n"), F.array(*[F.sum(f"x{i}") for i in range(WIDTH)]).alias("s"), F.array(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]).alias("q"))
+    moments = {}
+    for r in sums.where("c in (0, 1)").collect():
+        squares = np.zeros((WIDTH, WIDTH))
+        for (i, j), v in zip(pairs, r["q"]):
+            squares[i, j] = squares[j, i] = v
+        moments[r["c"]] = (r["n"], np.array(r["s"]), squares)
+    return Discriminant(moments, shrinkage)
 
 
 def held_out(key: str):
@@ -148,18 +148,6 @@ def held_out(key: str):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
 
 
-def scored(features: DataFrame, model: Discriminant, key: str = "doc_id") -> DataFrame:
-    """(key, score) of each row of features."""
-    kind = dict(features.dtypes)[key]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, WIDTH)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(model.score(x))], names=["k", "score"])
-
-    return features.mapInArrow(run, f"k {kind}, score double").withColumnRenamed("k", key)
-
-
 def classify(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.5) -> DataFrame:
     """(key, held_out, score, predicted) of each row of documents.
 
@@ -168,9 +156,14 @@ def classify(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     not read. Without labels of both classes the score is 0.5, or the only
     class's.
     """
-    features = with_statistics(documents, key, text)
-    model = fit(features, labels, key, label)
-    out = scored(features, model, key)
+    model = fit(with_statistics(documents, key, text), labels, key, label)
+    kind = dict(documents.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t"):
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(model.score(statistics(*flat(batch.column("t")))))], names=["k", "score"])
+
+    out = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, score double").withColumnRenamed("k", key)
     return out.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
