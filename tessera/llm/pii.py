@@ -5,7 +5,9 @@ of an address, the day of a date. A keyed Feistel network over the two halves
 of the list permutes all values of the same format, so that equal values get
 equal pseudonyms in every document and different values different ones. What
 is validated stays valid: card numbers keep a right check digit, addresses
-their octets up to 255, dates remain dates of the calendar.
+their octets up to 255, dates remain dates of the calendar, and social
+security numbers keep to the ranges in use. A number whose check digit is wrong
+is no such value and stays as it is.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+#: A domain has at most 127 labels of 63 characters; a local part is only tried from its beginning.
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,125}\.[A-Za-z]{2,63}"
 SECRET = r"\bAKIA[0-9A-Z]{16}\b"
 #: The value after the sign is permuted, in letters and digits.
 ASSIGNED = r"(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)[0-9A-Za-z]{8,}"
@@ -56,9 +59,8 @@ def _digits_of(value: str) -> str:
 
 def _refilled(value: str, symbols: str, pattern: str, render: str) -> str:
     """SQL: the value with its n-th character of the pattern replaced by the n-th symbol."""
-    return f"""transform(array(named_struct('c', split({value}, ''), 'n', {symbols})), u ->
-      array_join(transform(u.c, (c, i) -> IF(c rlike '{pattern}',
-        transform(array(u.n[size(filter(slice(u.c, 1, i + 1), z -> z rlike '{pattern}')) - 1]), w -> {render})[0], c)), ''))[0]"""
+    new = f"zip_with(regexp_extract_all({value}, '{pattern}', 0), {symbols}, (c, w) -> {render})"
+    return f"array_join(zip_with(split({value}, '{pattern}', -1), concat({new}, array('')), (a, b) -> concat(a, b)), '')"
 
 
 def pseudonym(value: str, key: str) -> str:
@@ -80,7 +82,12 @@ def pseudonym(value: str, key: str) -> str:
     body = f"transform(slice({_digits_of(value)}, 1, size({_digits_of(value)}) - 1), c -> cast(c as bigint))"
     checked = f"""transform(array({permuted(body, f"transform({body}, c -> 10L)", key, "card")}), g ->
       concat(g, array((10 - aggregate(transform(g, (x, i) -> IF((size(g) - i) % 2 = 0, x, IF(x > 4, 2 * x - 9, 2 * x))), 0L, (a, x) -> a + x) % 10) % 10)))[0]"""
-    card = f"IF({luhn} = 0, {_refilled(value, checked, '[0-9]', 'cast(w as string)')}, {digits(value, 'number')})"
+    card = f"IF({luhn} = 0, {_refilled(value, checked, '[0-9]', 'cast(w as string)')}, {value})"
+    # areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999
+    area = f"cast(substr({value}, 1, 3) as bigint)"
+    parts = f"array({area} - IF({area} > 666, 2, 1), cast(substr({value}, 5, 2) as bigint) - 1, cast(substr({value}, 8, 4) as bigint) - 1)"
+    social = f"""transform(array({permuted(parts, "array(898L, 99L, 9999L)", key, "ssn")}), p ->
+      concat_ws('-', lpad(cast(p[0] + IF(p[0] >= 665, 2, 1) as string), 3, '0'), lpad(cast(p[1] + 1 as string), 2, '0'), lpad(cast(p[2] + 1 as string), 4, '0')))[0]"""
     octets = permuted(f"transform(split({value}, '[.]'), c -> cast(c as bigint))", "array(256L, 256L, 256L, 256L)", key, "ip")
     a, b = DAY_RADICES
     spelt = f"IF({value} like '____-%', 'yyyy-MM-dd', concat('dd', substr({value}, 3, 1), 'MM', substr({value}, 6, 1), 'yyyy'))"
@@ -96,13 +103,13 @@ def pseudonym(value: str, key: str) -> str:
       WHEN {value} rlike '[=:]' THEN concat(substr({value}, 1, length({value}) - length({secret})), {alphanumeric(secret, "secret")})
       WHEN {value} rlike '^([0-9]+[.]){{3}}[0-9]+$' THEN array_join(transform({octets}, o -> cast(o as string)), '.')
       WHEN {value} rlike '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}[/.][0-9]{{2}}[/.][0-9]{{4}})$' THEN {date}
-      WHEN {value} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN {digits(value, "ssn")}
+      WHEN {value} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN {social}
       WHEN length(regexp_replace({value}, '[^0-9]', '')) >= 13 AND {value} not like '+%' AND {value} not like '(%' THEN {card}
       ELSE concat({country}, {digits(f"substr({value}, length({country}) + 1)", "phone")}) END"""
 
 
 def pseudonymise(documents: DataFrame, key: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text, n_values): each document with its values replaced, and how many were found.
+    """(id, text, n_values): each document with its values replaced, and how many were.
 
     Emails keep their domain, phone numbers their country code, assigned
     secrets their name. A text without such values comes back unchanged, null
@@ -114,6 +121,7 @@ def pseudonymise(documents: DataFrame, key: str, id: str = "doc_id", text: str =
     found = F.when(value.rlike("[0-9@]|(?i:password|passwd|pwd|secret|token|api_?key)"), F.regexp_extract_all(value, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
     rows = documents.select(F.col(id).alias("i"), F.col(text).alias("t")).withColumn("found", F.coalesce(found, F.array().cast("array<string>")))
     rows = rows.withColumn("other", F.when(F.size("found") > 0, F.split("t", "|".join(KINDS.values()), -1)))
-    new = F.expr(f"transform(found, m -> {pseudonym('m', key)})")
-    joined: Column = F.array_join(F.zip_with("other", F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    return rows.select(F.col("i").alias(id), F.when(F.size("found") > 0, joined).otherwise(value).alias(text), F.size("found").alias("n_values"))
+    rows = rows.withColumn("new", F.expr(f"transform(found, m -> {pseudonym('m', key)})"))
+    joined: Column = F.array_join(F.zip_with("other", F.concat("new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    changed = F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x))
+    return rows.select(F.col("i").alias(id), F.when(F.size("found") > 0, joined).otherwise(value).alias(text), changed.alias("n_values"))
