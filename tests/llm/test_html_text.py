@@ -1,3 +1,5 @@
+import time
+
 from tessera.llm.html_text import extract, to_text
 
 
@@ -33,3 +35,33 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None), (2, "u", "")], "page_id bigint, text string, html string")
     assert sorted(map(tuple, extract(df).collect()), key=str) == [(1, "a"), (1, "a"), (2, ""), (None, None)]
     assert extract(df.limit(0)).collect() == []
+
+
+def test_visible_text_in_odd_places():
+    assert to_text("<head><title>no</title>text in head<p>more") == "text in head\n\nmore"
+    assert to_text("<head><meta charset=x><body>shown") == "shown"
+    assert to_text("<head><span><font>all</font></span>") == "all"
+    assert to_text('<p class="nav hidden md:flex" title="a hidden gem">a<p hidden>b<p style="DISPLAY : none">c') == "a"
+    assert to_text('<p aria-hidden="true">a</p><select><option>x<option>y</select><svg><text>z</text></svg>') == "a\n\nx\ny\nz"
+    assert to_text("<a title=don't>text one</a> and we can't <b>stop</b>") == "text one and we can't stop"
+    assert to_text("<table><form><tr><td>hello</form><td>you</table>") == "hello | you"
+    assert to_text("<table><tr><form><td>hello</td></form></tr></table>") == "hello"
+    assert to_text("<table>loose<div>block</div><tr>stray<td>cell</table>") == "loose\nblock\nstray\n\ncell"
+    assert to_text("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>") == "a | b\n  | c"
+    assert to_text("<table><tr><td colspan=2>a<td>b<tr><td>1<td>2<td>3</table>") == "a |   | b\n1 | 2 | 3"
+    assert to_text("<p>x<xmp><b></xmp><textarea>&lt;y</textarea><input type=submit value=Go>") == "x\n\n<b>\n<y Go"
+    assert to_text("<body hidden>x") == ""
+
+
+def test_hostile_pages_of_a_megabyte():
+    start, n = time.time(), 1 << 20
+    assert to_text("<a " * (n // 3)).startswith("<a <a")
+    assert to_text("<a b='" * (n // 6)) is not None
+    assert to_text("<!" * (n // 2)).startswith("<!")
+    assert to_text("<script>" + "</script " * (n // 9)) == ""
+    assert to_text("<div>" * (n // 10) + "</p>" * (n // 8) + "x") == "x"
+    assert to_text("<p><table><td>" + "<div>" * (n // 5) + "x").strip() == "x"
+    assert to_text("<table><tr><td>" * 10_000 + "deep" + "</table>" * 10_000).strip() == "deep"
+    assert to_text("<b>x</b>" * (n // 8)) == "x" * (n // 8)
+    assert len(to_text("<ul><li>" * 1000 + "y")) > 0
+    assert time.time() - start < 60
