@@ -29,9 +29,12 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Existing rows, and the new ones (the first of each key) whose keys aren't there."""
-    return existing.unionByName(new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti").select(*existing.columns))
+def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Existing rows, and the new ones whose keys aren't there: of each key the first by ``order``, then by all columns."""
+    rest = [F.col(order)] if order else []
+    first = Window.partitionBy(*keys).orderBy(*rest, *[c for c in new.columns if c not in keys], *keys)
+    new = new.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    return existing.unionByName(new.join(existing.select(*keys), keys, "left_anti").select(*existing.columns))
 
 
 def overwrite(existing: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:

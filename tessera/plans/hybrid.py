@@ -98,7 +98,7 @@ def diverse_anchors(spark, sf_dir):
 
 def _turn_anchors(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").dropDuplicates(["conv_id", "turn"])
-    return turns, turns.where("role = 'user' and turn % 3 = 0").select(F.lit(1).alias("query_id"), "conv_id", "turn")
+    return turns, turns.where("role = 'user'").select(F.lit(1).alias("query_id"), "conv_id", "turn")
 
 
 def context_neighbors(spark, sf_dir):
@@ -120,31 +120,31 @@ def query_aware_neighbors(spark, sf_dir):
 
 def dense_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return R.dense(v, asked, "vec_id", "embedding", 10).select("query_id", "vec_id", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def dense_scope_filtered(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return R.dense(v.where("label = 1"), asked, "vec_id", "embedding", 10).select("query_id", "vec_id", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 _DENSE_TOP = """SELECT query_id, vec_id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
-  SELECT a.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(a.embedding, v.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS score FROM embeddings a, embeddings v WHERE a.vec_id < 10 {scope}) s) t WHERE rank <= 10"""
+  SELECT a.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(a.embedding, v.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS score FROM embeddings a, embeddings v WHERE a.vec_id % 100 = 0 {scope}) s) t WHERE rank <= 10"""
 
 
 def ir_metrics(spark, sf_dir):
     """Rankings of the lexical route against the documents labelled good."""
     ranking = bm25_topk(spark, sf_dir).select("query_id", F.col("doc_id").alias("item"), "rank")
-    gold = ranking.join(table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("item")), "item", "left_semi").where("item % 2 = 0").select("query_id", "item")
+    gold = ranking.join(table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("item")), "item", "left_semi").select("query_id", "item")
     out = R.ir_metrics(ranking, gold, 10)
     return out.select("query_id", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("query_id", "hit")], "hit")
 
 
 def fact_conflicts(spark, sf_dir):
-    """Pairs of first sentences with Jaccard similarity 0.55 or more, by an inverted index over rare terms."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower(F.substring_index("text", ".", 1)), F.lit("[a-z]+"), F.lit(0))).alias("t")).where("size(t) >= 4")
+    """Pairs of documents with Jaccard similarity 0.55 or more of their words, by an inverted index over rare terms."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("t")).where("size(t) >= 4")
     return memory.similar_pairs(docs, "doc_id", "t", 0.55)
 
 
@@ -159,7 +159,7 @@ def memory_hybrid_score(spark, sf_dir):
 
 def memory_mmr(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     pool = R.dense(v, asked, "vec_id", "embedding", 80).join(v.select("vec_id", "embedding"), "vec_id")
     return memory.mmr(pool, "vec_id", "embedding", 8)
 
@@ -174,7 +174,7 @@ def markdown_paths(spark, sf_dir):
 
 
 def markdown_context(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Summary\n"), F.left("text", F.lit(1000)), F.lit("\n## Methods\nthe ation\n## Results\nerth")).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Summary\n"), "text", F.lit("\n## Methods\nthe ation\n## Results\nerth")).alias("text"))
     return select_context(docs, "doc_id", "text", QUESTIONS[1], 800)
 
 
@@ -187,7 +187,7 @@ def language_tags(spark, sf_dir):
 
 
 def text_normalised(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))).alias("h"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(T.normalised(F.col("text"))).alias("h"))
 
 
 def inverted_index_to_text(spark, sf_dir):
@@ -230,7 +230,7 @@ h AS (SELECT *, min(score) OVER w AS s0, max(score) OVER w AS s1, min(rr) OVER w
 g AS (SELECT query_id, doc_id, old, CASE WHEN old <= 20 THEN 0.5e0 * (CASE WHEN s1 = s0 THEN 1 ELSE (score - s0) / (s1 - s0) END) + 0.5e0 * (CASE WHEN r1 = r0 THEN 1 ELSE (rr - r0) / (r1 - r0) END) ELSE score END AS blended FROM h)
 SELECT query_id, doc_id, round(blended, 6) AS blended, row_number() OVER (PARTITION BY query_id ORDER BY old <= 20 DESC, CASE WHEN old <= 20 THEN blended END DESC NULLS LAST, old) AS rank FROM g""",
     "journal_prior": _FUSED + " SELECT query_id, doc_id, round(0.9e0 * score + 0.1e0 * max(score) OVER (PARTITION BY query_id) * coalesce(CASE WHEN n_chars % 3 > 0 THEN (n_chars % 11) / 10.0e0 END, 0), 9) AS score FROM f",
-    "context_neighbors": """WITH t AS (SELECT DISTINCT conv_id, turn, role FROM conversations), a AS (SELECT conv_id, turn FROM t WHERE role = 'user' AND turn % 3 = 0)
+    "context_neighbors": """WITH t AS (SELECT DISTINCT conv_id, turn, role FROM conversations), a AS (SELECT conv_id, turn FROM t WHERE role = 'user')
 SELECT a.conv_id, a.turn AS anchor, t.turn, CASE WHEN t.turn = a.turn THEN 'anchor' ELSE 'neighbor' END AS role, abs(t.turn - a.turn) AS distance FROM a JOIN t ON t.conv_id = a.conv_id AND abs(t.turn - a.turn) <= 1""",
     "dense_topk": _DENSE_TOP.format(scope=""),
     "dense_scope_filtered": _DENSE_TOP.format(scope="AND v.label = 1"),
@@ -257,10 +257,10 @@ ORACLES |= {
     "uuid5_ids": """SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab89ab89ab89ab'[strpos('0123456789abcdef', h[17:17])] || h[18:20] || '-' || h[21:32] AS uuid FROM (SELECT doc_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(CAST(doc_id AS VARCHAR))) AS h FROM documents) t""",
     "evidence_tokens": f"""SELECT doc_id, 'ev1.w1.' || doc_id || '.' || rtrim(translate(to_base64(from_hex(substr(h, 1, 32))), '+/', '-_'), '=') AS token FROM (
   SELECT doc_id, sha256(from_hex('{_OPAD}') || from_hex(sha256(from_hex('{_IPAD}') || encode('w1:' || doc_id)))) AS h FROM documents) t""",
-    "fact_conflicts": """WITH t AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(split_part(text, '.', 1)), '[a-z]+'))) AS s FROM documents), u AS (SELECT s, min(doc_id) AS id, list(doc_id) AS m FROM t WHERE len(s) >= 4 GROUP BY s)
+    "fact_conflicts": """WITH t AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS s FROM documents), u AS (SELECT s, min(doc_id) AS id, list(doc_id) AS m FROM t WHERE len(s) >= 4 GROUP BY s)
 SELECT a, b, round(similarity, 6) AS similarity FROM (SELECT x.id AS a, y.id AS b, len(list_intersect(x.s, y.s)) / CAST(len(list_distinct(list_concat(x.s, y.s))) AS DOUBLE) AS similarity FROM u x JOIN u y ON x.id < y.id AND len(x.s) >= 0.55 * len(y.s) AND len(y.s) >= 0.55 * len(x.s)) p WHERE similarity >= 0.55
 UNION ALL SELECT id, b, 1.0e0 FROM (SELECT id, unnest(m) AS b FROM u WHERE len(m) > 1) z WHERE id <> b""",
-    "ir_metrics": _BM25_TOP + """, r AS (SELECT query_id, doc_id AS item, rank FROM b WHERE rank <= 50), g AS (SELECT query_id, item FROM r WHERE item % 2 = 0 AND item IN (SELECT doc_id FROM labels WHERE quality = 1)),
+    "ir_metrics": _BM25_TOP + """, r AS (SELECT query_id, doc_id AS item, rank FROM b WHERE rank <= 50), g AS (SELECT query_id, item FROM r WHERE item IN (SELECT doc_id FROM labels WHERE quality = 1)),
 m AS (SELECT r.*, CASE WHEN g.item IS NULL THEN 0 ELSE 1 END AS rel FROM r LEFT JOIN g USING (query_id, item)), x AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS seen FROM m),
 a AS (SELECT query_id, sum(CASE WHEN rank <= 10 THEN rel ELSE 0 END) AS hits, count(*) AS len, sum(CASE WHEN rel = 1 AND rank <= 10 THEN seen / CAST(rank AS DOUBLE) ELSE 0 END) AS ap, min(CASE WHEN rel = 1 THEN rank END) AS fst, sum(CASE WHEN rel = 1 AND rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, sum(rel) AS ng FROM x GROUP BY 1)
 SELECT query_id, round(hits / CAST(ng AS DOUBLE), 6) AS recall, round(hits / CAST(least(10, len) AS DOUBLE), 6) AS precision, CAST(hits > 0 AS INT) AS hit, round(ap / least(ng, 10), 6) AS average_precision, round(1.0e0 / fst, 6) AS reciprocal_rank, round(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= ng), 6) AS ndcg FROM a WHERE ng > 0""",

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.operators import linkage as L, tables as M
+from tessera.operators import linkage as L, ordering, tables as M
 from tessera.session import shared_folder
 from tessera.sources.tables import table
 from tessera.streaming import events as S
@@ -14,11 +14,16 @@ from tessera.streaming import events as S
 
 def record_merge(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", F.md5(F.left(F.lower("text"), F.lit(60))).alias("k"), "text", "lang", (F.col("n_chars") > 2000).alias("is_long"), F.array("source").alias("sources"))
+    rows = docs.select("doc_id", F.md5(F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))).alias("k"), "text", "lang", (F.col("n_chars") > 2000).alias("is_long"), F.array("source").alias("sources"))
     out = L.merge_records(rows, "k", "doc_id", ["text"], ["lang"], ["is_long"], ["sources"])
     return out.select("k", "first_seen", "n_records", F.length("text").cast("bigint").alias("longest"), "lang", "is_long", F.array_join(F.array_sort("sources"), ",").alias("sources"))
 
 
+def round_robin_interleave(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return ordering.interleaved(docs, "source", ["doc_id"])
+
+
 def stale_index(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
     index = docs.where("doc_id % 3 <> 0").withColumn("h", F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(F.col("h")))
@@ -43,7 +48,7 @@ def upsert_overwrite(spark, sf_dir):
 
 def _markdown(spark, sf_dir):
     """A Markdown table of each supplier's lines, from the tables' rows."""
-    l = table(spark, sf_dir, "lineitem").where("l_quantity >= 48")
+    l = table(spark, sf_dir, "lineitem")
     row = F.concat_ws(" | ", F.lit("|").substr(1, 0), F.date_format("l_shipdate", "yyyy-MM-dd"), "l_returnflag", F.col("l_quantity").cast("string"), F.concat((F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%")))
     body = l.groupBy("l_suppkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("| "), F.ltrim(F.regexp_replace(row, r"^ \| ", "")), F.lit(" |")))), "\n").alias("rows"))
     return body.select("l_suppkey", F.concat(F.lit("text\n| date | flag | quantity | discount |\n|---|:-:|--:|---|\n"), "rows", F.lit("\nmore")).alias("text"))
@@ -79,31 +84,33 @@ def _stream(spark, sf_dir):
 def stream_tumbling(spark, sf_dir):
     stream, folder = _stream(spark, sf_dir)
     counts = S.windowed(stream, "ts", ["event_type"], "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
-    return S.replay(counts, "t" + uuid.uuid4().hex, f"{folder}/c", "complete")
+    return S.replay(counts, folder, "complete")
 
 
 def stream_sessions(spark, sf_dir):
     stream, folder = _stream(spark, sf_dir)
-    return S.replay(S.sessions(stream, "ts", "user_id", "30 minutes").select("user_id", "n"), "t" + uuid.uuid4().hex, f"{folder}/c", "complete").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
+    return S.replay(S.sessions(stream, "ts", "user_id", "30 minutes").select("user_id", "n"), folder, "complete").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
 
 
 def stream_dedup(spark, sf_dir):
     stream, folder = _stream(spark, sf_dir)
     twice = stream.unionByName(stream)
-    return S.replay(S.deduplicated(twice, "ts", ["event_id"], "60 days").select("event_id", "event_type"), "t" + uuid.uuid4().hex, f"{folder}/c")
+    return S.replay(S.deduplicated(twice, "ts", ["event_id"], "60 days").select("event_id", "event_type"), folder)
 
 
-QUERIES = {f.__name__: f for f in (record_merge, stale_index, priority_links, upsert_ignore, upsert_overwrite, table_rows, table_type_inference, chart_choice, html_sections, stream_tumbling, stream_sessions, stream_dedup)}
+QUERIES = {f.__name__: f for f in (record_merge, round_robin_interleave, stale_index, priority_links, upsert_ignore, upsert_overwrite, table_rows, table_type_inference, chart_choice, html_sections, stream_tumbling, stream_sessions, stream_dedup)}
 
 ORACLES = {
-    "record_merge": """SELECT k, min(doc_id) AS first_seen, count(*) AS n_records, max(length(text)) AS longest, arg_min(lang, doc_id) AS lang, bool_or(n_chars > 2000) AS is_long, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM (SELECT *, md5(substr(lower(text), 1, 60)) AS k FROM documents) t GROUP BY k""",
+    "record_merge": """SELECT k, min(doc_id) AS first_seen, count(*) AS n_records, max(length(text)) AS longest, arg_min(lang, doc_id) AS lang, bool_or(n_chars > 2000) AS is_long, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM (SELECT *, md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS k FROM documents) t GROUP BY k""",
+    "round_robin_interleave": """SELECT doc_id, source, CAST(row_number() OVER (ORDER BY pos, source) AS BIGINT) AS place FROM (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents) t""",
     "stale_index": "SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 3 = 0 OR doc_id % 7 = 0",
     "priority_links": "SELECT p_partkey, s_suppkey, matched_on FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY p, s_suppkey) AS rn FROM (SELECT p_partkey, s_suppkey, 'k1' AS matched_on, 0 AS p FROM part JOIN supplier ON p_partkey = s_suppkey UNION ALL SELECT p_partkey, s_suppkey, 'k2', 1 FROM part JOIN supplier ON p_size = s_nationkey) u) t WHERE rn = 1",
     "upsert_ignore": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE lower(c_name) END AS c_name FROM customer",
     "upsert_overwrite": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS version FROM customer",
-    "table_rows": "SELECT l_suppkey, count(*) AS n, round(sum(l_quantity), 4) AS quantity, round(sum(CAST(trunc(l_discount * 100) AS INT) / 100.0e0), 4) AS discount FROM lineitem WHERE l_quantity >= 48 GROUP BY 1",
-    "table_type_inference": "SELECT name, kind, n FROM (SELECT count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_quantity >= 48) c CROSS JOIN (VALUES ('date', 'temporal'), ('flag', 'categorical'), ('quantity', 'numeric'), ('discount', 'numeric')) v(name, kind)",
-    "chart_choice": "SELECT 'line' AS chart, count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_quantity >= 48",
+    "table_rows": "SELECT l_suppkey, count(*) AS n, round(sum(l_quantity), 4) AS quantity, round(sum(CAST(trunc(l_discount * 100) AS INT) / 100.0e0), 4) AS discount FROM lineitem GROUP BY 1",
+    "table_type_inference": "SELECT name, kind, n FROM (SELECT count(DISTINCT l_suppkey) AS n FROM lineitem) c CROSS JOIN (VALUES ('date', 'temporal'), ('flag', 'categorical'), ('quantity', 'numeric'), ('discount', 'numeric')) v(name, kind)",
+    "chart_choice": "SELECT 'line' AS chart, count(DISTINCT l_suppkey) AS n FROM lineitem",
     "stream_tumbling": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "stream_sessions": "SELECT user_id, CAST(sum(new) AS BIGINT) AS sessions, count(*) AS n FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events) a GROUP BY user_id",
     "stream_dedup": "SELECT event_id, event_type FROM events",

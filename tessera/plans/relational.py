@@ -57,7 +57,8 @@ FROM supplier LEFT JOIN (SELECT l_suppkey, max(l_extendedprice) AS top FROM line
 SQL["nulls_last_order_limit"] = """
 SELECT c_custkey, last_order, place FROM (
   SELECT c_custkey, last_order, CAST(row_number() OVER (ORDER BY last_order DESC NULLS LAST, c_custkey) AS BIGINT) AS place
-  FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last_order FROM orders GROUP BY 1) o ON c_custkey = o_custkey) t WHERE place <= 200"""
+  FROM (SELECT c_custkey, last_order FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last_order FROM orders GROUP BY 1) o ON c_custkey = o_custkey
+        ORDER BY last_order DESC NULLS LAST, c_custkey LIMIT 200) c) t"""
 SQL["group_counts_with_zero"] = "SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS n_orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey"
 SQL["facet_counts"] = """
 SELECT p_brand, n, CAST(row_number() OVER (ORDER BY n DESC, p_brand) AS BIGINT) AS place FROM (
@@ -91,9 +92,6 @@ SQL["latest_version"] = "SELECT conv_id, turn, role FROM (SELECT conv_id, turn,
 SQL["restore_as_copy"] = """
 SELECT conv_id, CAST(turn AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS parent FROM conversations
 UNION ALL SELECT conv_id, CAST(max(turn) + 1 AS BIGINT), CAST(min(turn) AS BIGINT) FROM conversations GROUP BY conv_id"""
-SQL["round_robin_interleave"] = """
-SELECT doc_id, source, CAST(row_number() OVER (ORDER BY pos, source) AS BIGINT) AS place FROM (
-  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents) t"""
 SQL["union_distinct_keep_best"] = """
 SELECT k, max(score) AS score FROM (SELECT l_partkey AS k, l_discount AS score FROM lineitem UNION ALL SELECT l_partkey, l_tax FROM lineitem) u GROUP BY k"""
 SQL["set_difference"] = "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'"
@@ -106,10 +104,11 @@ WHERE purge_after <= TIMESTAMP '1996-03-01 00:00:00'"""
 SQL["calendar_days"] = """
 SELECT coalesce(n.d, t.d) AS d, CAST(coalesce(notes, 0) AS BIGINT) AS notes, CAST(coalesce(tasks, 0) AS BIGINT) AS tasks, CAST(coalesce(done, 0) AS BIGINT) AS done
 FROM (SELECT CAST(ts AS DATE) AS d, count(*) AS notes FROM events WHERE event_type = 'signup' GROUP BY 1) n
-FULL OUTER JOIN (SELECT CAST(ts AS DATE) AS d, count(*) AS tasks, count(CASE WHEN value > 20 THEN 1 END) AS done FROM events WHERE event_type = 'click' AND user_id < 5 GROUP BY 1) t ON n.d = t.d"""
+FULL OUTER JOIN (SELECT CAST(ts AS DATE) AS d, count(*) AS tasks, count(CASE WHEN value > 20 THEN 1 END) AS done FROM events WHERE event_type = 'click' GROUP BY 1) t ON n.d = t.d"""
 SQL["month_range"] = "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1996-12-01 00:00:00' AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00'"
 SQL["task_order"] = """
-SELECT o_orderkey, place FROM (SELECT o_orderkey, CAST(row_number() OVER (ORDER BY CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END, o_orderdate NULLS LAST, o_orderpriority, o_orderkey DESC) AS BIGINT) AS place FROM orders) t WHERE place <= 300"""
+SELECT o_orderkey, place FROM (SELECT o_orderkey, CAST(row_number() OVER (ORDER BY CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END, o_orderdate NULLS LAST, o_orderpriority, o_orderkey DESC) AS BIGINT) AS place FROM (
+  SELECT * FROM orders ORDER BY CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END, o_orderdate NULLS LAST, o_orderpriority, o_orderkey DESC LIMIT 300) o) t"""
 SQL["top_per_key"] = "SELECT l_orderkey, l_linenumber, place FROM (SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS BIGINT) AS place FROM lineitem) t WHERE place <= 8"
 SQL["zscore_columns"] = """
 SELECT p_partkey, round((p_retailprice - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS z FROM part CROSS JOIN (SELECT avg(p_retailprice) AS m, stddev_pop(p_retailprice) AS s FROM part) t"""

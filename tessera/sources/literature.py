@@ -155,11 +155,10 @@ def interleaved(batches: list[DataFrame], order: str) -> DataFrame:
     """Rows of several sources in turn: the first of each, then the second of each; adds place."""
     from functools import reduce
 
-    from pyspark.sql import Window
+    from tessera.operators import ordering
 
-    numbered = [b.withColumn("_b", F.lit(i)).withColumn("_p", F.row_number().over(Window.orderBy(order))) for i, b in enumerate(batches)]
-    both = reduce(lambda a, b: a.unionByName(b), numbered)
-    return both.withColumn("place", F.row_number().over(Window.orderBy("_p", "_b"))).drop("_b", "_p")
+    both = reduce(lambda a, b: a.unionByName(b), [b.withColumn("_source", F.lit(i)) for i, b in enumerate(batches)])
+    return ordering.interleaved(both, "_source", [order]).drop("_source")
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read(spark: SparkSession, folder: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -33,11 +34,22 @@ def deduplicated(events: DataFrame, time: str, keys: list[str], late: str = "1 h
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def replay(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now and gives its result."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def replay(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there now, writing below ``folder``, and reads its result back.
+
+    Appended rows go to a Parquet sink; a complete result is written batch by
+    batch, and the newest batch is read.
+    """
+    spark, out = stream.sparkSession, f"{folder}/out"
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(f"{out}/batch=-1")
+    if mode == "append":
+        writer = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/batch=0")
+    else:
+        writer = stream.writeStream.outputMode(mode).foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).parquet(out)
+    newest = rows.agg(F.max("batch")).first()[0]
+    return rows.where(F.col("batch") == (-1 if newest is None else newest)).drop("batch")
 
 
 def incremental(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> None:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import chunking, graph, linkage, memory, retrieval as R, tables
+from tessera.operators import chunking, graph, linkage, memory, ordering, retrieval as R, tables
 from tessera.operators.routing import merged, routed
 from tessera.streaming import events as S
 
@@ -57,12 +57,27 @@ def test_budget_skips_but_keeps_the_first(spark):
     assert rows(out.select("g", "keep")) == [(1, 1), (2, 1), (2, 3)]
 
 
-def test_dense_checks_its_batch(spark):
-    v = spark.createDataFrame([(1, [0.8, 0.2]), (2, [1.0, 0.0]), (3, [float("nan"), 0.0]), (4, [1.0])], "id int, v array<float>")
-    q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id int, v array<float>")
-    assert [r["id"] for r in R.dense(v, q, "id", "v", 5).orderBy("rank").collect()] == [2, 1]
-    with pytest.raises(ValueError):
-        R.dense(v, q.union(q), "id", "v", 5, most_queries=1)
+def test_dense_works_in_blocks(spark):
+    odd = spark.createDataFrame([(1, [0.8, 0.2]), (2, [1.0, 0.0]), (3, [float("nan"), 0.0]), (4, [1.0])], "id int, v array<float>")
+    asked = spark.createDataFrame([(9, [1.0, 0.0])], "query_id int, v array<float>")
+    assert [r["id"] for r in R.dense(odd, asked, "id", "v", 5).orderBy("rank").collect()] == [2, 1]
+    v = spark.createDataFrame([(i, [float(i % 5), float(i % 3)]) for i in range(40)], "vec_id int, v array<double>")
+    q = v.select(F.col("vec_id").alias("query_id"), "v")
+    rows = lambda n: sorted(map(tuple, R.dense(v, q, "vec_id", "v", 3, most_queries=n).collect()))
+    assert rows(7) == rows(1000) and len(rows(7)) == 120
+
+
+def test_numbering_and_turns(spark):
+    rows = spark.createDataFrame([(s, i) for s, n in (("a", 1), ("b", 40), (None, 3)) for i in range(n)], "s string, i int").repartition(5)
+    assert sorted((r["place"], r["i"]) for r in ordering.numbered(rows.where("s = 'b'"), ["i"]).collect()) == [(i + 1, i) for i in range(40)]
+    got = [(r["s"], r["i"]) for r in ordering.interleaved(rows, "s", ["i"]).orderBy("place").collect()]
+    assert got[:5] == [(None, 0), ("a", 0), ("b", 0), (None, 1), ("b", 1)] and len(got) == 44
+
+
+def test_components_of_a_hot_vertex_and_a_chain(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(40)] + [(9000, 9000)]
+    got = dict(graph.connected_components(spark.createDataFrame(edges, "src int, dst int")).select("id", "component").collect())
+    assert got == {i: 0 if i < 3000 else 9000 if i == 9000 else 5000 for i in [*range(3000), *range(5000, 5041), 9000]}
 
 
 def test_bm25_by_hand(spark):
@@ -209,9 +224,9 @@ def test_late_events_are_dropped_and_doubles_too(spark, tmp_path):
     for i, batch in enumerate(([(1, "2024-01-01 00:10:00"), (2, "2024-01-01 05:00:00")], [(3, "2024-01-01 00:20:00"), (2, "2024-01-01 05:00:00"), (4, "2024-01-01 09:00:00")], [(5, "2024-01-01 20:00:00")])):
         spark.createDataFrame([(k, t, 1.0) for k, t in batch], "id int, t string, value double").select("id", F.to_timestamp("t").alias("ts"), "value").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = S.read(spark, str(tmp_path / "in"), schema)
-    once = S.replay(S.deduplicated(stream, "ts", ["id"], "60 days"), "once", str(tmp_path / "c2"))
+    once = S.replay(S.deduplicated(stream, "ts", ["id"], "60 days"), str(tmp_path / "c2"))
     assert sorted(r["id"] for r in once.collect()) == [1, 2, 3, 4, 5]
-    counts = S.replay(S.windowed(stream, "ts", [], "1 hour", late="1 hour"), "counts", str(tmp_path / "c1"))
+    counts = S.replay(S.windowed(stream, "ts", [], "1 hour", late="1 hour"), str(tmp_path / "c1"))
     assert sum(r["n"] for r in counts.collect()) <= 6
     seen = []
     S.incremental(stream, lambda df, _: seen.append(df.count()), str(tmp_path / "c3"))
