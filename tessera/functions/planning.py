@@ -163,3 +163,10 @@ def followups(question: Column, gaps: Column, existing: Column, limit: int = 2)
 def retrieval_mode(routes: Column, identifier: Column) -> Column:
     """How candidates with these routes were found."""
     return F.when(identifier, "identifier").when(F.exists(routes, lambda r: r.startswith("dense_")), "hybrid-dense").otherwise("hybrid-sparse")
+
+
+def planned_routes(identifier: Column, english: Column, simple: Column, vectors: Column) -> Column:
+    """The routes that answer a question: an identifier alone is looked up; else the routes of each form of the question that there is."""
+    some = lambda c, *names: F.when(c, F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>"))
+    found = F.concat(some(english, "fts_english", "metadata", "mesh"), some(simple, "simple"), F.transform(F.coalesce(vectors, F.array().cast("array<string>")), lambda v: F.concat(F.lit("dense_"), v)))
+    return F.when(F.coalesce(identifier != "", F.lit(False)), F.array(F.lit("exact"))).otherwise(found)

@@ -19,12 +19,13 @@ def questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(QUESTIONS.items()), "query_id int, terms array<string>")
 
 
-def bm25_scores(spark, sf_dir):
-    return R.bm25(table(spark, sf_dir, "documents"), questions(spark), "doc_id", "text")
+def _tokens(spark, sf_dir):
+    return R.asked_tokens(table(spark, sf_dir, "documents"), questions(spark), "doc_id", "text")
 
 
-def bm25_topk(spark, sf_dir):
-    return R.ranked(bm25_scores(spark, sf_dir).withColumn("score", F.round("score", 6)), "doc_id", 50).withColumn("rank", F.col("rank").cast("bigint"))
+def bm25_topk(spark, sf_dir, tokens=None):
+    scores = R.bm25(table(spark, sf_dir, "documents"), questions(spark), "doc_id", "text", tokens=tokens)
+    return R.ranked(scores.withColumn("score", F.round("score", 6)), "doc_id", 50).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 _BM25 = f"""
@@ -38,20 +39,13 @@ s AS (SELECT query_id, doc_id, sum(greatest(ln((n - df + 0.5e0) / (df + 0.5e0)),
 _BM25_TOP = _BM25 + ", t AS (SELECT query_id, doc_id, round(score, 6) AS score FROM s), b AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM t)"
 
 
-def coverage(spark, sf_dir):
-    """(query_id, doc_id, score): the share of the question's terms that a document holds as terms."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("tokens"))
-    asked = questions(spark).select("query_id", F.size("terms").alias("m"), F.explode("terms").alias("term"))
-    hits = docs.select("doc_id", F.explode("tokens").alias("term")).join(asked, "term")
-    return hits.groupBy("query_id", "doc_id", "m").agg(F.count("*").alias("n")).select("query_id", "doc_id", F.round(F.col("n") / F.col("m"), 6).alias("score"))
-
-
 _COVER = ", c0 AS (SELECT query_id, doc_id, round(count(DISTINCT term) / CAST(3 AS DOUBLE), 6) AS score FROM tf JOIN q USING (term) GROUP BY 1, 2), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c0)"
 
 
 def routes(spark, sf_dir):
-    lexical = bm25_topk(spark, sf_dir).select("query_id", F.lit("bm25").alias("route"), "doc_id", "rank")
-    covered = R.ranked(coverage(spark, sf_dir), "doc_id", 50).select("query_id", F.lit("coverage").alias("route"), "doc_id", "rank")
+    tokens = _tokens(spark, sf_dir)
+    lexical = bm25_topk(spark, sf_dir, tokens).select("query_id", F.lit("bm25").alias("route"), "doc_id", "rank")
+    covered = R.ranked(R.coverage(questions(spark), "doc_id", tokens), "doc_id", 50).select("query_id", F.lit("coverage").alias("route"), "doc_id", "rank")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = vectors.where(F.col("doc_id").isin(*QUESTIONS)).select(F.col("doc_id").cast("int").alias("query_id"), "embedding")
     near = R.dense(vectors.withColumnRenamed("doc_id", "doc_id"), asked, "doc_id", "embedding", 50).select("query_id", F.lit("dense").alias("route"), "doc_id", "rank")

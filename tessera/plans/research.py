@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import planning as P
-from tessera.operators import plots, workflow as W
+from tessera.operators import plots, retrieval as R, workflow as W
 from tessera.sources.tables import table
 
 IGNORED = ["the", "and", "is", "of", "what", "how"]
@@ -210,7 +210,38 @@ def paired_series(spark, sf_dir):
     return out.select("l_partkey", "n", F.array_join(F.transform("series", lambda x: x["l_returnflag"]), ",").alias("conditions"), F.round(F.aggregate("series", F.lit(0.0), lambda s, x: s + x["v"]), 4).alias("total"))
 
 
-_FUNCTIONS = (term_lists, prefix_overlaps, route_failures, repaired_lines, clean_titles, budget_formulae, canonical_digests, vector_checks, neighbour_cosines, topic_breaks, evidence_eligibility, plan_relevance, depth_budgets, field_completeness, tree_parents, scope_edges, supported_claims, reference_links,
+ASKED = ["1", "part", "brass", "steel", "ring"]
+
+
+def _lines(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"))
+
+
+def metadata_route(spark, sf_dir):
+    """Parts by BM25 over name, brand and type, and the lines of each."""
+    asked = spark.createDataFrame([(1, ASKED)], "query_id int, terms array<string>")
+    docs = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
+    scores = R.bm25(docs, asked, "p_partkey", "text").withColumn("score", F.round("score", 6))
+    return R.fanned_out(scores, _lines(spark, sf_dir), "p_partkey", "chunk_id", 3000)
+
+
+def label_route(spark, sf_dir):
+    """Types of parts by BM25 over their labels, with a bonus for large parts, and the lines of each."""
+    asked = spark.createDataFrame([(1, ASKED)], "query_id int, terms array<string>")
+    part = table(spark, sf_dir, "part")
+    labels = part.select("p_type").distinct().withColumn("label", F.lower("p_type"))
+    scores = R.bm25(labels, asked, "p_type", "label").join(part.select("p_partkey", "p_type", "p_size"), "p_type")
+    scores = scores.select("query_id", "p_partkey", F.round(F.col("score") + F.when(F.col("p_size") > 25, 0.1).otherwise(0.0), 6).alias("score"))
+    return R.fanned_out(scores, _lines(spark, sf_dir), "p_partkey", "chunk_id", 3000)
+
+
+def route_plans(spark, sf_dir):
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    routes = P.planned_routes(F.regexp_extract("text", r"10\.[0-9]{4,}/[^ ]+", 0), F.size(words) > 0, F.col("text").rlike("[0-9]"), F.when(F.col("role") == "user", F.array(F.lit("original"))))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.array_join(routes, ",").alias("routes"))
+
+
+_FUNCTIONS = (metadata_route, label_route, route_plans, term_lists, prefix_overlaps, route_failures, repaired_lines, clean_titles, budget_formulae, canonical_digests, vector_checks, neighbour_cosines, topic_breaks, evidence_eligibility, plan_relevance, depth_budgets, field_completeness, tree_parents, scope_edges, supported_claims, reference_links,
               relation_sides, plan_changes, node_edges, community_leaders, round_trace, verified_claims, metadata_fusion, superseded_facts, cascade_delete, recovered_jobs, open_hypotheses, chunk_hits, global_search, run_snapshots, wide_to_long, error_bars, replicate_warnings, paired_series)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -226,7 +257,20 @@ def _any(markers: list[str]) -> str:
 _LIKE = "(SELECT a.label, a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
 _WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-z]+'))"
 _GROUPS = "(SELECT l_partkey, l_returnflag, count(*) AS n, avg(l_quantity) AS mean, CASE WHEN count(*) > 1 THEN stddev_samp(l_quantity) END AS sd FROM lineitem GROUP BY 1, 2)"
+
+
+def _bm25_sql(docs: str) -> str:
+    """CTEs up to s(k, score) over docs(k, text)."""
+    return f"""tok AS (SELECT k, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens FROM ({docs}) d), st AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM tok),
+tf AS (SELECT term, k, dl, count(*) AS tf FROM (SELECT k, len(tokens) AS dl, unnest(tokens) AS term FROM tok) e WHERE term IN ({_quoted(ASKED)}) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT k, sum(greatest(ln((n - df + 0.5e0) / (df + 0.5e0)), 1e-6) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / mean))) AS score FROM tf JOIN df USING (term) CROSS JOIN st GROUP BY 1)"""
+
+
+_FAN = "c AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, p_partkey, chunk_id) AS pos FROM p JOIN (SELECT l_partkey AS p_partkey, l_orderkey * 10 + l_linenumber AS chunk_id FROM lineitem) l USING (p_partkey)), o AS (SELECT chunk_id, arg_min(score, pos) AS score, min(at) AS pos FROM c WHERE pos <= 3000 GROUP BY 1) SELECT 1 AS query_id, chunk_id, score, row_number() OVER (ORDER BY pos) AS rank FROM o"
 ORACLES = {
+    "metadata_route": f"WITH {_bm25_sql("SELECT p_partkey AS k, concat_ws(' ', p_name, p_brand, p_type) AS text FROM part")}, p AS (SELECT k AS p_partkey, round(score, 6) AS score FROM s), {_FAN}",
+    "label_route": f"WITH {_bm25_sql("SELECT DISTINCT p_type AS k, lower(p_type) AS text FROM part")}, p AS (SELECT p_partkey, round(score + CASE WHEN p_size > 25 THEN 0.1e0 ELSE 0 END, 6) AS score FROM s JOIN part ON p_type = k), {_FAN}",
+    "route_plans": "SELECT conv_id, turn, role, CASE WHEN regexp_matches(text, '10\\.[0-9]{4,}/[^ ]+') THEN 'exact' ELSE array_to_string(list_concat(list_concat(CASE WHEN regexp_matches(lower(text), '[a-z]{3,}') THEN ['fts_english', 'metadata', 'mesh'] ELSE [] END, CASE WHEN regexp_matches(text, '[0-9]') THEN ['simple'] ELSE [] END), CASE WHEN role = 'user' THEN ['dense_original'] ELSE [] END), ',') END AS routes FROM conversations",
     "term_lists": f"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z0-9_./+-]+'), lambda x: length(x) > 1 AND NOT list_contains([{_quoted(IGNORED)}], lower(x))))), ' ') AS terms FROM conversations",
     "prefix_overlaps": r"""WITH t AS (SELECT DISTINCT conv_id, turn, text FROM conversations), p AS (SELECT *, list_transform(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) >= 4)), lambda w: w[1:4]) AS f FROM t)
 SELECT a.conv_id, a.turn, CAST(coalesce(list_sum(list_transform(a.f, lambda x: len(list_filter(b.f, lambda y: y = x)))), 0) AS BIGINT) AS n FROM p a JOIN p b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""",
