@@ -170,3 +170,22 @@ def planned_routes(identifier: Column, english: Column, simple: Column, vectors:
     some = lambda c, *names: F.when(c, F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>"))
     found = F.concat(some(english, "fts_english", "metadata", "mesh"), some(simple, "simple"), F.transform(F.coalesce(vectors, F.array().cast("array<string>")), lambda v: F.concat(F.lit("dense_"), v)))
     return F.when(F.coalesce(identifier != "", F.lit(False)), F.array(F.lit("exact"))).otherwise(found)
+
+
+def joined_text(*parts: Column, most: int) -> Column:
+    """The parts that aren't blank, a line each, cut to ``most`` characters."""
+    return F.left(F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull() & (F.trim(x) != "")), "\n"), F.lit(most))
+
+
+def importance(evidence: Column, base: float = 0.45, step: float = 0.08) -> Column:
+    """How much a step with so many pieces of evidence counts, 1 at most."""
+    return F.least(F.lit(1.0), base + step * evidence)
+
+
+def compaction_tier(occupancy: Column) -> Column:
+    """0 to 3: how far a context that is filled to this share has to be shortened."""
+    return F.when(occupancy < 0.5, 0).when(occupancy < 0.7, 1).when(occupancy < 0.85, 2).otherwise(3)
+
+
+def last_characters(text: Column, most: int) -> Column:
+    return F.right(text, F.lit(most))

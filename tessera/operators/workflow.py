@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.planning import retry_advice
+
 
 def tree_parents(terms: DataFrame, key: str, numbers: str, separator: str = ".") -> DataFrame:
     """(child, parent): terms whose tree number is another's less its last part; of terms with one number the largest key has it."""
@@ -134,3 +136,33 @@ def snapshot(results: DataFrame, by: str, order: str, *columns: str, most: int =
     """(by, results): the first ``most`` results of a run as one JSON text, for keeping."""
     ranked = results.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_n") <= most)
     return ranked.groupBy(by).agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("_n", F.struct(*columns).alias("r")))), lambda x: x["r"])).alias("results"))
+
+
+def merged_items(left: DataFrame, right: DataFrame, by: str, key: str, most: int) -> DataFrame:
+    """By group the left side's items, then those of the right side whose key isn't there, ``most`` at most, with their place."""
+    both = left.withColumn("_side", F.lit(0)).unionByName(right.withColumn("_side", F.lit(1)))
+    once = both.withColumn("_n", F.row_number().over(Window.partitionBy(by, key).orderBy("_side"))).where("_n = 1").drop("_n")
+    return once.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("_side", key))).where(F.col("place") <= most).drop("_side")
+
+
+def resolved(references: DataFrame, papers: DataFrame, key: str, identifiers: list[str], found: str) -> DataFrame:
+    """(key, found, matched_on): the paper of each reference by the first identifier that finds one, the smallest of several."""
+    hits = None
+    for place, name in enumerate(identifiers):
+        to = papers.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("_i")).agg(F.min(found).alias(found))
+        own = references.select(key, F.col(name).alias("_i")).join(to, "_i").select(key, F.struct(F.lit(place).alias("p"), F.lit(name).alias("name"), F.col(found).alias("id")).alias("h"))
+        hits = own if hits is None else hits.union(own)
+    return hits.groupBy(key).agg(F.min("h").alias("h")).select(key, F.col("h.id").alias(found), F.col("h.name").alias("matched_on"))
+
+
+def padded(groups: DataFrame, key: str, have: str, least: int, most: int) -> DataFrame:
+    """(key, position): the entries that each group lacks to have ``least`` of them, up to position ``most``."""
+    short = groups.where(F.col(have) < min(least, most))
+    return short.select(key, F.explode(F.sequence(F.col(have) + 1, F.lit(min(least, most)).cast("bigint"))).alias("position"))
+
+
+def failed_routes(routes: DataFrame, error: str, hits: str) -> DataFrame:
+    """The routes with an error, or without hits, with status and whether to try again."""
+    status = F.when(F.col(error).isNotNull(), "failed").when(F.coalesce(F.col(hits), F.lit(0)) == 0, "empty")
+    bad = routes.withColumn("status", status).where("status is not null")
+    return bad.withColumn("_a", retry_advice(F.col(error), F.col("status"))).withColumn("retryable", F.col("_a.retryable")).withColumn("advice", F.col("_a.advice")).drop("_a")

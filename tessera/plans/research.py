@@ -210,7 +210,7 @@ def paired_series(spark, sf_dir):
     return out.select("l_partkey", "n", F.array_join(F.transform("series", lambda x: x["l_returnflag"]), ",").alias("conditions"), F.round(F.aggregate("series", F.lit(0.0), lambda s, x: s + x["v"]), 4).alias("total"))
 
 
-ASKED = ["1", "part", "brass", "steel", "ring"]
+ASKED = ["small", "red", "ring", "economy", "promo"]
 
 
 def _lines(spark, sf_dir):
@@ -241,7 +241,65 @@ def route_plans(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.array_join(routes, ",").alias("routes"))
 
 
-_FUNCTIONS = (metadata_route, label_route, route_plans, term_lists, prefix_overlaps, route_failures, repaired_lines, clean_titles, budget_formulae, canonical_digests, vector_checks, neighbour_cosines, topic_breaks, evidence_eligibility, plan_relevance, depth_budgets, field_completeness, tree_parents, scope_edges, supported_claims, reference_links,
+def memory_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(P.joined_text(F.col("source"), F.col("lang"), F.col("text"), most=12_000)).alias("h"))
+
+
+def step_importance(spark, sf_dir):
+    per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    return per.select("l_orderkey", F.round(P.importance(F.col("n")), 6).alias("importance"))
+
+
+def merged_plans(spark, sf_dir):
+    """Each customer's open orders before all of the customer's orders, 12 at most."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return W.merged_items(o.where("o_orderstatus = 'O'"), o.withColumn("o_orderstatus", F.lower("o_orderstatus")), "o_custkey", "o_orderkey", 12).withColumn("place", F.col("place").cast("bigint"))
+
+
+def year_ranges(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("y"))
+    return o.groupBy("o_custkey").agg(F.min("y").alias("first_year"), F.max("y").alias("last_year"))
+
+
+def label_vocabulary(spark, sf_dir):
+    part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    return part.join(line, F.col("p_partkey") == F.col("l_partkey"), "left_semi").select(F.col("p_name").alias("label")).distinct().orderBy("label").limit(500)
+
+
+def import_results(spark, sf_dir):
+    """By part the earliest line's flag and the sum of all lines."""
+    l = table(spark, sf_dir, "lineitem").withColumn("o", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return l.groupBy("l_partkey").agg(F.min_by("l_returnflag", "o").alias("first_flag"), F.round(F.sum("l_quantity"), 2).alias("total"))
+
+
+def resolved_references(spark, sf_dir):
+    """Customers named by orders through one key, or through another where that one finds none."""
+    refs = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("pmid"), F.col("o_custkey").alias("doi"))
+    papers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("pmid"), F.col("c_custkey").alias("doi"))
+    return W.resolved(refs, papers, "o_orderkey", ["pmid", "doi"], "id")
+
+
+def counter_evidence(spark, sf_dir):
+    """The entries that each order lacks to have three lines."""
+    per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    return W.padded(per, "l_orderkey", "n", 3, 20)
+
+
+def compaction_tiers(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", P.compaction_tier(F.col("p_size") / 50.0).alias("tier"))
+
+
+def rolling_summaries(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(P.last_characters(F.concat("text", F.lit(" end")), 40_000)).alias("h"))
+
+
+def retryable_routes(spark, sf_dir):
+    """Events as routes: those that failed or were empty, and whether to try again."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("value") > 30, "timeout").alias("error"), F.floor("value").alias("hits"))
+    return W.failed_routes(e, "error", "hits").select("event_id", "status", "retryable")
+
+
+_FUNCTIONS = (memory_texts, step_importance, merged_plans, year_ranges, label_vocabulary, import_results, resolved_references, counter_evidence, compaction_tiers, rolling_summaries, retryable_routes, metadata_route, label_route, route_plans, term_lists, prefix_overlaps, route_failures, repaired_lines, clean_titles, budget_formulae, canonical_digests, vector_checks, neighbour_cosines, topic_breaks, evidence_eligibility, plan_relevance, depth_budgets, field_completeness, tree_parents, scope_edges, supported_claims, reference_links,
               relation_sides, plan_changes, node_edges, community_leaders, round_trace, verified_claims, metadata_fusion, superseded_facts, cascade_delete, recovered_jobs, open_hypotheses, chunk_hits, global_search, run_snapshots, wide_to_long, error_bars, replicate_warnings, paired_series)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -266,8 +324,19 @@ tf AS (SELECT term, k, dl, count(*) AS tf FROM (SELECT k, len(tokens) AS dl, unn
 s AS (SELECT k, sum(greatest(ln((n - df + 0.5e0) / (df + 0.5e0)), 1e-6) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / mean))) AS score FROM tf JOIN df USING (term) CROSS JOIN st GROUP BY 1)"""
 
 
-_FAN = "c AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, p_partkey, chunk_id) AS pos FROM p JOIN (SELECT l_partkey AS p_partkey, l_orderkey * 10 + l_linenumber AS chunk_id FROM lineitem) l USING (p_partkey)), o AS (SELECT chunk_id, arg_min(score, pos) AS score, min(at) AS pos FROM c WHERE pos <= 3000 GROUP BY 1) SELECT 1 AS query_id, chunk_id, score, row_number() OVER (ORDER BY pos) AS rank FROM o"
+_FAN = "c AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, p_partkey, chunk_id) AS pos FROM p JOIN (SELECT l_partkey AS p_partkey, l_orderkey * 10 + l_linenumber AS chunk_id FROM lineitem) l USING (p_partkey)), o AS (SELECT chunk_id, arg_min(score, pos) AS score, min(pos) AS pos FROM c WHERE pos <= 3000 GROUP BY 1) SELECT 1 AS query_id, chunk_id, score, row_number() OVER (ORDER BY pos) AS rank FROM o"
 ORACLES = {
+    "memory_texts": "SELECT doc_id, md5(left(array_to_string(list_filter([source, lang, text], lambda x: x IS NOT NULL AND trim(x, ' ') <> ''), chr(10)), 12000)) AS h FROM documents",
+    "step_importance": "SELECT l_orderkey, round(least(1, 0.45e0 + 0.08e0 * count(*)), 6) AS importance FROM lineitem GROUP BY 1",
+    "merged_plans": "SELECT o_custkey, o_orderkey, o_orderstatus, place FROM (SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'O' ELSE lower(o_orderstatus) END AS o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus = 'O' DESC, o_orderkey) AS place FROM orders) t WHERE place <= 12",
+    "year_ranges": "SELECT o_custkey, CAST(min(year(o_orderdate)) AS INT) AS first_year, CAST(max(year(o_orderdate)) AS INT) AS last_year FROM orders GROUP BY 1",
+    "label_vocabulary": "SELECT DISTINCT p_name AS label FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY 1 LIMIT 500",
+    "import_results": "SELECT l_partkey, arg_min(l_returnflag, l_orderkey * 10 + l_linenumber) AS first_flag, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1",
+    "resolved_references": "SELECT o_orderkey, coalesce(a.c_custkey, b.c_custkey) AS id, CASE WHEN a.c_custkey IS NOT NULL THEN 'pmid' ELSE 'doi' END AS matched_on FROM orders LEFT JOIN customer a ON o_orderstatus <> 'P' AND a.c_custkey = o_custkey LEFT JOIN customer b ON b.c_custkey = o_custkey WHERE coalesce(a.c_custkey, b.c_custkey) IS NOT NULL",
+    "counter_evidence": "SELECT l_orderkey, CAST(unnest(range(n + 1, 4)) AS BIGINT) AS position FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) t WHERE n < 3",
+    "compaction_tiers": "SELECT p_partkey, CASE WHEN p_size / 50.0e0 < 0.5e0 THEN 0 WHEN p_size / 50.0e0 < 0.7e0 THEN 1 WHEN p_size / 50.0e0 < 0.85e0 THEN 2 ELSE 3 END AS tier FROM part",
+    "rolling_summaries": "SELECT doc_id, md5(right(text || ' end', 40000)) AS h FROM documents",
+    "retryable_routes": "SELECT event_id, CASE WHEN value > 30 THEN 'failed' ELSE 'empty' END AS status, value > 30 AS retryable FROM events WHERE value > 30 OR floor(value) = 0",
     "metadata_route": f"WITH {_bm25_sql("SELECT p_partkey AS k, concat_ws(' ', p_name, p_brand, p_type) AS text FROM part")}, p AS (SELECT k AS p_partkey, round(score, 6) AS score FROM s), {_FAN}",
     "label_route": f"WITH {_bm25_sql("SELECT DISTINCT p_type AS k, lower(p_type) AS text FROM part")}, p AS (SELECT p_partkey, round(score + CASE WHEN p_size > 25 THEN 0.1e0 ELSE 0 END, 6) AS score FROM s JOIN part ON p_type = k), {_FAN}",
     "route_plans": "SELECT conv_id, turn, role, CASE WHEN regexp_matches(text, '10\\.[0-9]{4,}/[^ ]+') THEN 'exact' ELSE array_to_string(list_concat(list_concat(CASE WHEN regexp_matches(lower(text), '[a-z]{3,}') THEN ['fts_english', 'metadata', 'mesh'] ELSE [] END, CASE WHEN regexp_matches(text, '[0-9]') THEN ['simple'] ELSE [] END), CASE WHEN role = 'user' THEN ['dense_original'] ELSE [] END), ',') END AS routes FROM conversations",
