@@ -54,7 +54,7 @@ def connected_components(spark, sf_dir):
 
 
 def weighted_degree_hubs(spark, sf_dir):
-    return G.weighted_degree(edges_of(spark, sf_dir)).select("id", F.round("degree", 6).alias("degree"), F.round("centrality", 6).alias("centrality"), "hub")
+    return G.weighted_degree(edges_of(spark, sf_dir)).select("id", F.round("degree", 6).alias("degree"), F.round(F.col("centrality") + 1e-9, 6).alias("centrality"), "hub")
 
 
 def community_labels(spark, sf_dir):
@@ -109,6 +109,6 @@ ORACLES = {
     "relation_histogram": f"WITH {_GRAPH} SELECT relation, count(*) AS n, round(avg(confidence), 6) AS mean FROM g GROUP BY 1",
     "citation_neighbors_k": f"WITH {_BOTH}, h1 AS (SELECT DISTINCT dst AS id FROM b WHERE src = 0), h2 AS (SELECT DISTINCT dst AS id FROM b JOIN h1 ON src = h1.id WHERE dst <> 0 AND dst NOT IN (SELECT id FROM h1)) SELECT CAST(0 AS BIGINT) AS id, CAST(0 AS BIGINT) AS distance UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2",
     "connected_components": f"WITH {_SPARSE}, {_ROUNDS} SELECT id, c AS component FROM l{_LAST}",
-    "weighted_degree_hubs": f"WITH {_BOTH}, d AS (SELECT src AS id, sum(weight) AS degree FROM b GROUP BY 1) SELECT id, round(degree, 6) AS degree, round(degree / m, 6) AS centrality, degree / m >= 0.75 AS hub FROM d CROSS JOIN (SELECT greatest(max(degree), 1.0e0) AS m FROM d) t",
+    "weighted_degree_hubs": f"WITH {_BOTH}, d AS (SELECT src AS id, sum(weight) AS degree FROM b GROUP BY 1) SELECT id, round(degree, 6) AS degree, round(degree / m + 1e-9, 6) AS centrality, degree / m >= 0.75 AS hub FROM d CROSS JOIN (SELECT greatest(max(degree), 1.0e0) AS m FROM d) t",
     "node_match": "SELECT p_partkey, round(n / 2.0e0, 6) AS score FROM (SELECT p_partkey, len(list_intersect(string_split(lower(p_name), ' '), ['red', 'ring'])) AS n FROM part) t WHERE n > 0 ORDER BY score DESC, p_partkey DESC LIMIT 20",
 }
