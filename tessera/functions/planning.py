@@ -68,9 +68,9 @@ def lines_repaired(text: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
-def clean_title(text: Column, fallback: Column) -> Column:
-    """A heading without Markdown marks, list number and end marks, of 300 characters at most; the fallback where nothing is left."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"[*_`#]+", "")
+def clean_title(text: Column, fallback: Column, marks: str = r"[*_`#]+") -> Column:
+    """A heading without Markdown ``marks``, list number and end marks, of 300 characters at most; the fallback where nothing is left."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), marks, "")
     bare = F.regexp_replace(bare, r"^\s*(?:\d+[.)\u3001]|[-+])\s*", "")
     bare = F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r"^[\uff1a:\u3002.\- ]+|[\uff1a:\u3002.\- ]+$", "")
     return F.left(F.when(bare != "", bare).otherwise(fallback), F.lit(300))
