@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.planning import long_tokens
+from tessera.functions.text import evidence_token
 from tessera.operators import graph
 from tessera.session import kept
 
@@ -71,8 +72,7 @@ def payload_facts(answers: DataFrame, key: str, payload: str, most: int = 80) ->
     """
     parts: dict[str, dict[str, str]] = {}
     for part, field, category, many in FACT_FIELDS:
-        kind = "array<struct<title: string, purpose: string, approach: string, evidence_ids: array<string>>>" if category == "work_package" else "array<string>" if many else "string"
-        parts.setdefault(part, {})[field] = kind
+        parts.setdefault(part, {})[field] = "array<string>" if many else "string"
     schema = ", ".join(f"{p} struct<{', '.join(f'{f}: {k}' for f, k in fields.items())}>" for p, fields in parts.items())
     parsed = answers.select(key, F.from_json(payload, f"{schema}, selected_direction_id string, preference_profile map<string, variant>").alias("_p"))
     no_ids = F.array().cast("array<string>")
@@ -89,7 +89,9 @@ def payload_facts(answers: DataFrame, key: str, payload: str, most: int = 80) ->
         value = F.col(f"_p.{part}.{field}")
         if category == "work_package":
             text = lambda x: F.array_join(F.filter(F.array(_plain(x["title"]), _plain(x["purpose"]), _plain(x["approach"])), lambda v: v != ""), " — ")
-            found.append(each(value, category, f"{part}.{field}", text, lambda x: x["evidence_ids"]))
+            # each by itself, so that one that is no object doesn't spoil the others
+            packages = F.transform(value, lambda x: F.from_json(x, "title string, purpose string, approach string, evidence_ids array<string>"))
+            found.append(each(packages, category, f"{part}.{field}", text, lambda x: x["evidence_ids"]))
         elif many:
             found.append(each(value, category, f"{part}.{field}", _plain))
         else:
@@ -234,3 +236,65 @@ def drift(edges: DataFrame, labels: DataFrame, seeds: DataFrame, depth: int, lim
     best = mine.where("community is not null").groupBy("community").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "community").limit(most)
     wide = labels.join(F.broadcast(best), "community", "left_semi").select("id").union(mine.where("community is null").select("id")).distinct()
     return graph.local_search(edges, wide, depth, limit)
+
+
+#: Groups of routes with their weights that an ablation compares, and which of them rerank.
+ABLATIONS = {
+    "G0_pure_dense": {"dense_original": 1.0},
+    "G1_pure_lexical": {"fts_english": 1.0, "simple": 0.5},
+    "G2_naive_hybrid": {"dense_original": 1.0, "fts_english": 1.0},
+    "G3_with_query_planning": {"dense_original": 1.0, "dense_translated": 0.9, "fts_english": 1.0},
+    "G4_with_mesh_expansion": {"dense_original": 1.0, "dense_translated": 0.9, "fts_english": 1.0, "mesh": 0.7},
+    "G5_7_route_weighted_rrf": {"exact": 1.2, "dense_original": 1.0, "dense_translated": 0.9, "fts_english": 0.8, "mesh": 0.7, "metadata": 0.6, "graph_local": 0.3},
+    "G6_full_with_reranker": {"exact": 1.2, "dense_original": 1.0, "dense_translated": 0.9, "fts_english": 0.8, "mesh": 0.7, "metadata": 0.6, "graph_local": 0.3},
+}
+RERANKED = ["G6_full_with_reranker"]
+
+
+def ablations(routes: DataFrame, item: str, groups: dict[str, dict[str, float]] | None = None, reranks: DataFrame | None = None, share: float = 0.65, k: int = 60, keep: int | None = None) -> DataFrame:
+    """(config, query_id, item, score, rank): routes(query_id, route, item, rank) fused by the weights of each group, all groups in one pass.
+
+    In the groups of RERANKED, reranks(query_id, item, relevance), from 0 to 1,
+    are blended in by ``share`` with scores over the query's best. Routes
+    without a weight in a group take no part in it.
+    """
+    groups = ABLATIONS if groups is None else groups
+    rows = F.explode(F.array(*[F.struct(F.lit(g).alias("config"), F.lit(r).alias("route"), F.lit(float(w)).alias("weight")) for g, some in groups.items() for r, w in some.items()])).alias("w")
+    weights = routes.sparkSession.range(1).select(rows).select("w.*")
+    fused = routes.join(F.broadcast(weights), "route").groupBy("config", "query_id", item).agg(F.sum(F.col("weight") / (k + F.col("rank"))).alias("score"))
+    if reranks is not None:
+        best = F.max("score").over(Window.partitionBy("config", "query_id"))
+        relative = F.col("score") / best
+        blended = F.when(F.col("config").isin(RERANKED) & F.col("relevance").isNotNull(), share * F.col("relevance") + (1 - share) * relative).otherwise(F.when(F.col("config").isin(RERANKED), (1 - share) * relative).otherwise(F.col("score")))
+        fused = fused.join(reranks.select("query_id", item, "relevance"), ["query_id", item], "left").withColumn("score", blended).drop("relevance")
+    rank = F.row_number().over(Window.partitionBy("config", "query_id").orderBy(F.desc(F.round("score", 12)), item))
+    out = fused.select("config", "query_id", item, "score").withColumn("rank", rank)
+    return out if keep is None else out.where(F.col("rank") <= keep)
+
+
+def replayed(requests: DataFrame, stored: DataFrame, key: bytes) -> DataFrame:
+    """(request_id, digest, hit, position, item, token): stored(digest, revision, position, item) results of requests(request_id, workflow, digest, revision).
+
+    A result of another revision is no hit; tokens are signed anew for the
+    request's own workflow. A miss is one row without an item.
+    """
+    found = requests.join(stored, ["digest", "revision"], "left")
+    token = F.when(F.col("item").isNotNull(), evidence_token(key, F.col("workflow").cast("string"), F.col("item").cast("string")))
+    return found.select("request_id", "digest", F.col("item").isNotNull().alias("hit"), "position", "item", token.alias("token"))
+
+
+def graph_snapshot(edges: DataFrame, nodes: DataFrame, communities: DataFrame, limit: int, node: Column | None = None) -> DataFrame:
+    """(part, place, id, other): up to ``limit`` (1 to 500) edges (src, dst), at ``node`` if given, the nodes(id) they join, and communities(key, level), deepest level first."""
+    most = max(1, min(limit, 500))
+    near = edges if node is None else edges.where((F.col("src") == node) | (F.col("dst") == node))
+    shown = near.select("src", "dst").orderBy("src", "dst").limit(most)
+    ends = shown.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    some = nodes.join(F.broadcast(ends), "id", "left_semi").select("id").orderBy("id").limit(most)
+    groups = communities.orderBy(F.desc("level"), "key").limit(most)
+
+    def part(rows: DataFrame, name: str, order: list, id_: str, other: Column) -> DataFrame:
+        # of at most 500 rows
+        place = F.row_number().over(Window.orderBy(*order))
+        return rows.select(F.lit(name).alias("part"), place.alias("place"), F.col(id_).cast("string").alias("id"), other.cast("string").alias("other"))
+
+    return part(shown, "edge", ["src", "dst"], "src", F.col("dst")).union(part(some, "node", ["id"], "id", F.lit(None))).union(part(groups, "community", [F.desc("level"), "key"], "key", F.col("level")))

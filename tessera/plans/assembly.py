@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import extraction as X
@@ -120,7 +121,46 @@ def drift_search(spark, sf_dir):
     return A.drift(edges, s.select(node, F.col("s_nationkey").alias("community")), s.where("s_acctbal < 1000").select(node), 1, 1000, 3).select("id", "score", "distance")
 
 
-QUERIES = {f.__name__: f for f in (english_forms, label_expansion, extractive_summaries, keyword_lists, message_tasks, parser_fallbacks, recovered_objects, payload_facts, session_summaries, context_packs, auto_tags, audit_trails, outline_changes, manuscripts, snapshot_sources, drift_search)}
+def direction_records(spark, sf_dir):
+    items = F.array(
+        F.struct(F.col("p_name").alias("name"), F.lit(" why ").alias("reason"), F.col("p_brand").alias("risks"), F.array(F.lit("https://a"), F.lit("http://b")).alias("urls"), F.lit(None).cast("string").alias("id")),
+        F.struct(F.lit(" ").alias("name"), F.lit("x").alias("reason"), F.lit(None).cast("string").alias("risks"), F.array(F.lit("y")).alias("urls"), F.lit("n").alias("id")),
+        F.struct(F.lit("T").alias("name"), F.col("p_type").alias("reason"), F.lit("[").alias("risks"), F.array().cast("array<string>").alias("urls"), F.lit(" k ").alias("id")),
+    )
+    p = table(spark, sf_dir, "part").select("p_partkey", F.explode(X.directions(F.to_json(F.struct(items.alias("directions"))))).alias("d"))
+    return p.select("p_partkey", "d.title", "d.rationale", "d.direction_id", F.array_join("d.key_risks", ",").alias("risks"), F.array_join("d.web_sources", ",").alias("links"))
+
+
+def tei_divisions(spark, sf_dir):
+    tei = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div><head>1 <b>'), F.col("p_brand"), F.lit("</b></head><p>a  "), F.col("p_name"), F.lit("</p><note>no</note><p/><figure>f</figure></div><div><p>"), F.col("p_type"), F.lit("</p></div><div><head>none</head></div></body></text></TEI>"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(X.tei_sections(tei)).alias("s")).select("p_partkey", "s.*")
+
+
+def ablation_groups(spark, sf_dir):
+    """Suppliers of each part by quantity, discount and tax as three routes."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("query_id"), F.col("l_suppkey").alias("item")).agg(F.max("l_quantity").alias("q"), F.max("l_discount").alias("d"), F.max("l_tax").alias("t"))
+    by = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), "item"))
+    ranks = li.select("query_id", "item", by("q").alias("dense_original"), by("d").alias("fts_english"), by("t").alias("mesh"))
+    routes = ranks.unpivot(["query_id", "item"], ["dense_original", "fts_english", "mesh"], "route", "rank")
+    reranks = li.where("q > 20").select("query_id", "item", (F.col("d") * 10).alias("relevance"))
+    return A.ablations(routes, "item", reranks=reranks, keep=5).select("config", "query_id", "item", F.round("score", 8).alias("score"))
+
+
+def cache_replay(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    requests = o.select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("workflow"), F.sha2(F.col("o_orderpriority"), 256).alias("digest"), (F.col("o_orderkey") % 3).alias("revision"))
+    stored = table(spark, sf_dir, "nation").select(F.sha2(F.when(F.col("n_nationkey") < 5, "1-URGENT").otherwise("5-LOW"), 256).alias("digest"), F.lit(1).cast("bigint").alias("revision"), F.col("n_nationkey").alias("position"), F.col("n_nationkey").alias("item")).where("item < 8")
+    return A.replayed(requests, stored, b"key").select("request_id", "hit", F.col("position").cast("bigint").alias("position"), F.length("token").cast("bigint").alias("size"))
+
+
+def graph_snapshots(spark, sf_dir):
+    edges = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
+    nodes = table(spark, sf_dir, "part").select((F.col("p_partkey") * 2 + 1).alias("id"))
+    groups = table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").alias("level"))
+    return A.graph_snapshot(edges, nodes, groups, 200).select("part", F.col("place").cast("bigint").alias("place"), "id", "other")
+
+
+QUERIES = {f.__name__: f for f in (english_forms, label_expansion, extractive_summaries, keyword_lists, message_tasks, parser_fallbacks, recovered_objects, payload_facts, session_summaries, context_packs, auto_tags, audit_trails, outline_changes, manuscripts, snapshot_sources, drift_search, direction_records, tei_divisions, ablation_groups, cache_replay, graph_snapshots)}
 
 
 def _rounds(n: int) -> str:
@@ -191,4 +231,15 @@ SELECT c_custkey AS k, md5(concat_ws(chr(10) || chr(10), '# ' || c_name, body, s
     "snapshot_sources": "SELECT source, sha256(text) AS digest, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1, 2",
     "drift_search": """WITH c AS (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal < 1000 GROUP BY 1 ORDER BY n DESC, 1 LIMIT 3), m AS (SELECT s_suppkey * 2 AS id FROM supplier JOIN c USING (s_nationkey)),
 f AS (SELECT id, 1.0e0 AS score, 0 AS distance FROM m UNION ALL SELECT DISTINCT l_partkey * 2 + 1, 0.25e0, 1 FROM lineitem JOIN m ON l_suppkey * 2 = id) SELECT id, score, distance FROM f ORDER BY score DESC, id LIMIT 1000""",
+    "direction_records": "SELECT p_partkey, p_name AS title, 'why' AS rationale, 'direction-1-' || left(sha256(p_name || chr(10) || ' why '), 12) AS direction_id, p_brand AS risks, 'https://a' AS links FROM part UNION ALL SELECT p_partkey, 'T', p_type, 'k', '[', '' FROM part",
+    "tei_divisions": "SELECT p_partkey, unnest([0, 1]) AS ordinal, unnest(['1 ' || p_brand, 'Section 2']) AS title, unnest(['a ' || p_name || chr(10) || chr(10) || 'f', p_type]) AS text FROM part",
+    "ablation_groups": f"""WITH l AS (SELECT l_partkey AS query_id, l_suppkey AS item, max(l_quantity) AS q, max(l_discount) AS d, max(l_tax) AS t FROM lineitem GROUP BY 1, 2),
+r AS ({' UNION ALL '.join(f"SELECT query_id, item, '{r}' AS route, row_number() OVER (PARTITION BY query_id ORDER BY {c} DESC, item) AS rank FROM l" for r, c in (("dense_original", "q"), ("fts_english", "d"), ("mesh", "t")))}),
+w(config, route, weight) AS (VALUES {', '.join(f"('{g}', '{r}', {w}e0)" for g, some in A.ABLATIONS.items() for r, w in some.items())}),
+f AS (SELECT config, query_id, item, sum(weight / (60 + rank)) AS s FROM r JOIN w USING (route) GROUP BY 1, 2, 3),
+b AS (SELECT f.config, f.query_id, f.item, CASE WHEN config = '{A.RERANKED[0]}' THEN 0.65e0 * coalesce(CASE WHEN q > 20 THEN d * 10 END, 0) + (1 - 0.65e0) * s / max(s) OVER (PARTITION BY config, f.query_id) ELSE s END AS s FROM f JOIN l ON l.query_id = f.query_id AND l.item = f.item)
+SELECT config, query_id, item, round(s, 8) AS score FROM (SELECT *, row_number() OVER (PARTITION BY config, query_id ORDER BY round(s, 12) DESC, item) AS n FROM b) x WHERE n <= 5""",
+    "cache_replay": "WITH s AS (SELECT CASE WHEN n_nationkey < 5 THEN '1-URGENT' ELSE '5-LOW' END AS p, n_nationkey AS i FROM nation WHERE n_nationkey < 8) SELECT o_orderkey AS request_id, i IS NOT NULL AS hit, CAST(i AS BIGINT) AS position, length('ev1.' || o_custkey || '.' || i || '.') + 22 AS size FROM orders LEFT JOIN s ON p = o_orderpriority AND o_orderkey % 3 = 1",
+    "graph_snapshots": """WITH e AS (SELECT DISTINCT l_suppkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM lineitem ORDER BY 1, 2 LIMIT 200), n AS (SELECT p_partkey * 2 + 1 AS id FROM part WHERE p_partkey * 2 + 1 IN (SELECT dst FROM e) ORDER BY 1 LIMIT 200)
+SELECT 'edge' AS part, row_number() OVER (ORDER BY src, dst) AS place, CAST(src AS VARCHAR) AS id, CAST(dst AS VARCHAR) AS other FROM e UNION ALL SELECT 'node', row_number() OVER (ORDER BY id), CAST(id AS VARCHAR), NULL FROM n UNION ALL SELECT 'community', row_number() OVER (ORDER BY n_regionkey DESC, n_name), n_name, CAST(n_regionkey AS VARCHAR) FROM nation""",
 }

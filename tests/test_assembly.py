@@ -35,6 +35,8 @@ def test_tasks(spark):
     assert [(d["title"], d["source_section"]) for d in found] == [("B x", "B x"), ("C", "B x > C"), ("D", "B x > D"), ("E", "E")]
     assert [d["title"] for d in one(spark, X.task_drafts(F.lit("no json"), F.lit("# Only\n# Top")))] == ["Only", "Top"]
     assert [d["source_section"] for d in one(spark, X.task_drafts(F.lit("{}"), F.lit(None).cast("string")))] == ["完整协调输出"]
+    mixed = json.dumps({"experiment_agent": {"work_packages": ["text", {"title": "x"}, None]}})
+    assert [d["title"] for d in one(spark, X.task_drafts(F.lit(mixed), F.lit("")))] == ["x"]
     many = json.dumps({"experiment_agent": {"work_packages": [{"title": f"t{i}"} for i in range(40)]}})
     assert len(one(spark, X.task_drafts(F.lit(many), F.lit("## H")))) == 30
 
@@ -49,7 +51,7 @@ def test_recovered(spark):
 def test_facts(spark):
     payload = {
         "question_agent": {"hypothesis": " H  one ", "predictions": ["p", "P ", "", None, "q"]},
-        "experiment_agent": {"work_packages": [{"title": "T", "approach": "A", "evidence_ids": ["e1"]}, {}]},
+        "experiment_agent": {"work_packages": [{"title": "T", "approach": "A", "evidence_ids": ["e1"]}, {}, "text"]},
         "selected_direction_id": 7,
         "preference_profile": {"a": ["x"], "b": "", "c": None, "d": "s"},
     }
@@ -90,3 +92,28 @@ def test_curated_tags_stay(spark):
     old = spark.createDataFrame([(1, "mine", "mesh", "auto"), (2, "old", "mesh", "auto"), (2, "k", "pdf_keyword", "auto"), (2, "t1", "mesh", "manual")], "paper_id int, name string, kind string, origin string")
     got = {(r["paper_id"], r["name"], r["origin"]) for r in A.auto_tags(papers, terms, assets, old).collect()}
     assert got == {(1, "mine", "auto"), (2, "k", "auto"), (2, "t1", "manual"), (2, "Review", "auto"), (2, "User PDF", "auto")} | {(2, f"t{i}", "auto") for i in (9, 0, 2, 3, 4, 5, 6)}
+
+
+def test_directions(spark):
+    payload = {"directions": [{"topic": " T ", "objective": "why", "novelty": "one 0", "sources": ["https://a", "ftp://b"], "key": ""}, {"title": "no reason"}, "text"]}
+    got = one(spark, X.directions(F.lit(json.dumps(payload))))
+    assert [(d["title"], d["rationale"], d["novelty_points"], d["web_sources"], d["why_hot"]) for d in got] == [("T", "why", ["one 0"], ["https://a"], [])]
+    assert got[0]["direction_id"].startswith("direction-1-") and not one(spark, X.directions(F.lit("broken")))
+
+
+def test_tei(spark):
+    rows = spark.createDataFrame([(1, "<TEI><div><head>H</head><p>a <i>b</i></p><table>t</table></div><div/></TEI>"), (2, "<broken"), (3, None)], "k int, x string")
+    got = {r["k"]: r["s"] for r in rows.select("k", X.tei_sections("x").alias("s")).collect()}
+    assert [tuple(s) for s in got[1]] == [(0, "H", "a b\n\nt")] and got[2] is None and got[3] is None
+
+
+def test_replay_and_snapshot(spark):
+    requests = spark.createDataFrame([(1, "w", "d", 1), (2, "w", "d", 2)], "request_id int, workflow string, digest string, revision int")
+    stored = spark.createDataFrame([("d", 1, 0, "c1"), ("d", 1, 1, "c2")], "digest string, revision int, position int, item string")
+    got = {(r["request_id"], r["hit"], r["item"]) for r in A.replayed(requests, stored, b"k").collect()}
+    assert got == {(1, True, "c1"), (1, True, "c2"), (2, False, None)}
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src int, dst int")
+    nodes = spark.createDataFrame([(i,) for i in range(6)], "id int")
+    groups = spark.createDataFrame([("a", 0), ("b", 1)], "key string, level int")
+    rows = A.graph_snapshot(edges, nodes, groups, 2, F.lit(2)).orderBy("part", "place").collect()
+    assert [(r["part"], r["id"], r["other"]) for r in rows] == [("community", "b", "1"), ("community", "a", "0"), ("edge", "1", "2"), ("edge", "2", "3"), ("node", "1", None), ("node", "2", None)]
