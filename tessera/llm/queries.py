@@ -16,6 +16,7 @@ from tessera.llm.pieces import encode
 from tessera.llm.pii import pseudonymise
 from tessera.llm.quality import classify
 from tessera.llm.repeats import repeats
+from tessera.llm.resample import resample
 from tessera.llm.top_k import top_k
 from tessera.sources.tables import table
 
@@ -87,9 +88,52 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark, and the ranks of the twentieth that is drawn."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def _crc32_steps() -> list[int]:
+    """What each byte does to a CRC state: the reflected polynomial, divided out bit by bit."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [(c >> 1) ^ 0xEDB88320 if c & 1 else c >> 1 for c in out]
+    return out
+
+
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, FALSE AS goal FROM documents),
+b AS (SELECT -row_number() OVER () AS r, NULL AS doc_id, text, TRUE AS goal FROM benchmark),
+w AS (
+  SELECT r, doc_id, goal, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM (SELECT * FROM d UNION ALL SELECT * FROM b)),
+g AS (
+  SELECT r, goal, unnest(w) AS f FROM w
+  UNION ALL SELECT r, goal, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w WHERE len(w) > 1
+  UNION ALL SELECT r, goal, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w WHERE len(w) > 2),
+n AS (SELECT r, goal, f, count(*) AS n FROM g GROUP BY ALL),
+u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM n)),
+c AS (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, CAST(i AS INTEGER), 2) AS BIGINT))),
+    lambda s, x: xor(s >> 8, {_crc32_steps()}[(xor(s, x) & 255) + 1]))) % 10000 AS bucket FROM u),
+m AS (SELECT r, goal, bucket, sum(n) AS n FROM n JOIN c USING (f) GROUP BY ALL),
+t AS (SELECT bucket, sum(n) FILTER (NOT goal) AS s, sum(n) FILTER (goal) AS t FROM m GROUP BY bucket),
+a AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s, coalesce(sum(t), 0)::DOUBLE AS t FROM t),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t.t, 0) + 1)::DOUBLE * (a.s + 10000) / ((coalesce(t.s, 0) + 1)::DOUBLE * (a.t + 10000)))) AS gain FROM t, a),
+x AS (SELECT r, sum(n) AS n_features, sum(n * gain) AS weight FROM m JOIN gain USING (bucket) WHERE NOT goal GROUP BY r),
+y AS (
+  SELECT r, doc_id, len(w) AS n_words, coalesce(x.n_features, 0)::BIGINT AS n_features, coalesce(x.weight, 0)::BIGINT AS weight,
+    ('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT AS h
+  FROM w LEFT JOIN x USING (r) WHERE NOT goal),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM y),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, n_features DESC) AS place, count(*) OVER () AS n FROM z WHERE n_words >= 20 AND doc_id IS NOT NULL)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank FROM z LEFT JOIN o USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op2_repeats": op2_repeats, "op3_lines": op3_lines, "op4_near_dedup": op4_near_dedup, "op5_topk": op5_topk, "op6_pieces": op6_pieces, "op7_contamination": op7_contamination, "op8_quality": op8_quality, "op9_pii": op9_pii, "op10_language": op10_language}
+    return {"op1_html": op1_html, "op2_repeats": op2_repeats, "op3_lines": op3_lines, "op4_near_dedup": op4_near_dedup, "op5_topk": op5_topk, "op6_pieces": op6_pieces, "op7_contamination": op7_contamination, "op8_quality": op8_quality, "op9_pii": op9_pii, "op10_language": op10_language, "op11_resample": op11_resample}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": OP5_SQL}
+    return {"op5_topk": OP5_SQL, "op11_resample": OP11_SQL}
