@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.align import align
 from tessera.llm.decontaminate import contaminated
+from tessera.llm.fingerprints import edits
 from tessera.llm.html_text import extract
 from tessera.llm.language import identify
 from tessera.llm.line_dedup import without_recurring_lines
@@ -131,9 +133,41 @@ SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN p
 """
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document, and how like it is to an edited text's and to the next document's."""
+    return edits(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, min(coalesce(text, '')) AS t FROM documents GROUP BY doc_id),
+n AS (SELECT doc_id, t, length(t) AS n_chars, lead(doc_id) OVER w AS next_id, first_value(doc_id) OVER w AS first_id, coalesce(lead(t) OVER w, first_value(t) OVER w) AS next_t FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST)),
+e AS (SELECT *, left(t, CAST(n_chars - n_chars // 2 AS INTEGER)) || left(next_t, CAST(n_chars // 2 AS INTEGER)) AS e, coalesce(next_id, first_id) AS after FROM n),
+x AS (SELECT doc_id, FALSE AS edited, t FROM e UNION ALL SELECT doc_id, TRUE, e FROM e),
+w AS (SELECT doc_id, edited, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x09-\x0D\x20]+') AS w FROM x),
+h AS (
+  SELECT doc_id, edited, substr(md5(array_to_string(w, ' ')), 1, 16) AS digest,
+    CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [md5(array_to_string(w, ' '))] ELSE list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i:i + 4], ' '))) END AS h FROM w),
+k AS (SELECT doc_id, edited, digest, list_sort(list_distinct(list_transform(list_filter(h, lambda x: x < '4'), lambda x: substr(x, 1, 15)))) AS s FROM h),
+p AS (
+  SELECT e.doc_id, e.n_chars, sha256(e.e) AS edited_sha256, a.digest AS da, b.digest AS db, c.digest AS dc, a.s AS sa, b.s AS sb, len(list_intersect(a.s, b.s)) AS ab, len(list_intersect(a.s, c.s)) AS ac, len(a.s) AS na, len(b.s) AS nb, len(c.s) AS nc
+  FROM e JOIN k a ON NOT a.edited AND a.doc_id IS NOT DISTINCT FROM e.doc_id JOIN k b ON b.edited AND b.doc_id IS NOT DISTINCT FROM e.doc_id JOIN k c ON NOT c.edited AND c.doc_id IS NOT DISTINCT FROM e.after)
+SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, edited_sha256, da || ':' || array_to_string(sa, '') AS fingerprint, db || ':' || array_to_string(sb, '') AS edited_fingerprint,
+  CASE WHEN da = db THEN 1.0::DOUBLE WHEN na + nb - ab = 0 THEN 0.0::DOUBLE ELSE ab::DOUBLE / (na + nb - ab) END AS near_edited,
+  CASE WHEN da = dc THEN 1.0::DOUBLE WHEN na + nc - ac = 0 THEN 0.0::DOUBLE ELSE ac::DOUBLE / (na + nc - ac) END AS near_next,
+  CASE WHEN da = db THEN 1.0::DOUBLE WHEN na = 0 THEN 0.0::DOUBLE ELSE ab::DOUBLE / na END AS contained_edited,
+  CASE WHEN da = dc THEN 1.0::DOUBLE WHEN na = 0 THEN 0.0::DOUBLE ELSE ac::DOUBLE / na END AS contained_next
+FROM p
+"""
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two public tokenizers meet in every document."""
+    return align(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op2_repeats": op2_repeats, "op3_lines": op3_lines, "op4_near_dedup": op4_near_dedup, "op5_topk": op5_topk, "op6_pieces": op6_pieces, "op7_contamination": op7_contamination, "op8_quality": op8_quality, "op9_pii": op9_pii, "op10_language": op10_language, "op11_resample": op11_resample}
+    return {"op1_html": op1_html, "op2_repeats": op2_repeats, "op3_lines": op3_lines, "op4_near_dedup": op4_near_dedup, "op5_topk": op5_topk, "op6_pieces": op6_pieces, "op7_contamination": op7_contamination, "op8_quality": op8_quality, "op9_pii": op9_pii, "op10_language": op10_language, "op11_resample": op11_resample, "op12_fingerprints": op12_fingerprints, "op13_align": op13_align}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": OP5_SQL, "op11_resample": OP11_SQL}
+    return {"op5_topk": OP5_SQL, "op11_resample": OP11_SQL, "op12_fingerprints": OP12_SQL}
