@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import graph as G
+from tessera.operators import communities as C, graph as G
 from tessera.sources.tables import table
 
 
@@ -58,7 +58,51 @@ def weighted_degree_hubs(spark, sf_dir):
 
 
 def community_labels(spark, sf_dir):
-    return G.communities(edges_of(spark, sf_dir))
+    return C.louvain(edges_of(spark, sf_dir)).labels
+
+
+def community_levels(spark, sf_dir):
+    """Fine and coarse communities of customers and days: that they nest, and that modularity rises from level to level."""
+    rows, reached = C.levels(sparse_edges(spark, sf_dir))
+    nested = rows.groupBy("fine").agg(F.countDistinct("coarse").alias("n"))
+    totals = rows.agg(F.count("*").alias("vertices"), F.countDistinct("coarse").alias("coarse"))
+    rising = all(a < b for a, b in zip(reached, reached[1:])) and reached[-1] > 0
+    return totals.crossJoin(nested.agg((F.max("n") == 1).alias("nested"))).withColumn("rising", F.lit(rising))  # one row each
+
+
+def _nation_members(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("community"), (F.col("s_suppkey") * 4).alias("id"), F.col("s_suppkey").alias("rank"), F.lit(False).alias("chunk"))
+    return s
+
+
+def representative_chunks(spark, sf_dir):
+    """The first twelve orders that a search from each nation's suppliers finds, over the parts they supply."""
+    lines = table(spark, sf_dir, "lineitem")
+    a = lines.select((F.col("l_suppkey") * 4).alias("src"), (F.col("l_partkey") * 4 + 1).alias("dst"), F.col("l_partkey").alias("ord"), F.lit(False).alias("src_chunk"), F.lit(False).alias("dst_chunk")).distinct()
+    b = lines.select((F.col("l_partkey") * 4 + 1).alias("src"), (F.col("l_orderkey") * 4 + 2).alias("dst"), F.col("l_orderkey").alias("ord"), F.lit(False).alias("src_chunk"), F.lit(True).alias("dst_chunk")).distinct()
+    found = C.representatives(_nation_members(spark, sf_dir), a.union(b))
+    return found.select("community", "id", F.col("place").cast("bigint").alias("place"), F.col("distance").cast("bigint").alias("distance"))
+
+
+def community_names(spark, sf_dir):
+    """Nations' suppliers as communities: keys, version-5 identifiers and titles."""
+    nodes = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 4).alias("id"), F.col("s_name").alias("label"))
+    return C.named(_nation_members(spark, sf_dir).select("id", "community"), nodes, "fine", "tables")
+
+
+def community_reports(spark, sf_dir):
+    """Suppliers and parts as communities by the suppliers' nations: members, leaders, relations and years."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_shipmode").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    edges = lines.groupBy((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"), F.col("l_shipmode").alias("relation")).agg(F.count("*").cast("double").alias("weight"))
+    suppliers = s.join(lines.groupBy("l_suppkey").agg(F.min("year").alias("year")), F.col("s_suppkey") == F.col("l_suppkey"), "left").select((F.col("s_suppkey") * 2).alias("id"), F.col("s_name").alias("label"), "year", F.col("s_nationkey").alias("community"))
+    # a part belongs to the nation of its smallest supplier
+    own = lines.groupBy("l_partkey").agg(F.min("l_suppkey").alias("s"), F.min("year").alias("year")).join(s, F.col("s") == F.col("s_suppkey"))
+    parts = own.select((F.col("l_partkey") * 2 + 1).alias("id"), F.concat(F.lit("part "), "l_partkey").alias("label"), "year", F.col("s_nationkey").alias("community"))
+    nodes = suppliers.union(parts)
+    out = C.reports(nodes.select("id", "community"), nodes.select("id", "label", "year"), edges)
+    return out.select("community", "members", "edges", F.col("first_year").cast("bigint").alias("first_year"), F.col("last_year").cast("bigint").alias("last_year"), F.array_join("leaders", "|").alias("leaders"), F.array_join("relations", "|").alias("relations"))
 
 
 def community_report(spark, sf_dir):
@@ -72,9 +116,10 @@ def community_report(spark, sf_dir):
 
 
 def path_search(spark, sf_dir):
-    seeds = spark.range(3).select((F.col("id") * 2).alias("id"))
-    found = G.shortest_paths(edges_of(spark, sf_dir), seeds, 4)
-    return found.join(seeds, "id", "left_semi").where("source < id").select("source", "id", F.round("cost", 6).alias("cost"), (F.size("path") - 1).alias("hops"))
+    """Cheapest paths between six suppliers, of those the ones of four edges at most, by their mean weight."""
+    seeds = table(spark, sf_dir, "supplier").where("s_suppkey < 6").select((F.col("s_suppkey") * 2).alias("id"))
+    found = G.shortest_paths(edges_of(spark, sf_dir), seeds, seeds)
+    return found.where("source < id AND size(path) <= 5").select("source", "id", F.round("cost", 6).alias("cost"), (F.size("path") - 1).cast("bigint").alias("hops"), F.array_join("path", ",").alias("path"), F.round("score", 6).alias("score"))
 
 
 def local_search(spark, sf_dir):
@@ -94,7 +139,7 @@ def label_mentions(spark, sf_dir):
     return G.mentions(docs, names, "doc_id", "text", "label").select("doc_id", "label", F.col("start").cast("bigint").alias("start"))
 
 
-QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, relation_histogram, citation_neighbors_k, connected_components, weighted_degree_hubs, community_labels, community_report, path_search, local_search, node_match, label_mentions)}
+QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, relation_histogram, citation_neighbors_k, connected_components, weighted_degree_hubs, community_labels, community_levels, representative_chunks, community_names, community_reports, community_report, path_search, local_search, node_match, label_mentions)}
 
 _SPARSE = "e AS (SELECT DISTINCT o_custkey * 2 AS src, CAST(epoch(o_orderdate) AS BIGINT) * 2 + 1 AS dst FROM orders), b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)"
 # labels of the smallest vertex in so many hops; the tests hold the result against another method
@@ -103,7 +148,34 @@ _ROUNDS = "l0 AS (SELECT DISTINCT src AS id, src AS c FROM b), " + ", ".join(f"l
 _NODES = " UNION ALL ".join(f"SELECT '{k}:' || substr(sha256(lower({n})), 1, 24) AS node_key, '{k}' AS node_type, {n} AS label, CAST({i} AS BIGINT) AS pos FROM {t}" for k, n, i, t in (("part", "p_name", "p_partkey", "part"), ("supplier", "s_name", "s_suppkey", "supplier"), ("nation", "n_name", "n_nationkey", "nation")))
 _GRAPH = """g AS (SELECT 'supplier:' || s_suppkey AS src, 'LOCATED_IN' AS relation, 'nation:' || s_nationkey AS dst, 1.0e0 AS confidence FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, 'PART_OF', 'region:' || n_regionkey, 0.9e0 FROM nation
  UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 'SUPPLIES', 'part:' || l_partkey, 0.8e0 FROM lineitem)"""
+#: Rounds of the paths' SQL; a path of more edges than this would fail it, not the operator.
+_EDGES_OF_PATH = 8
+_RELAXED = "p0 AS (SELECT DISTINCT src AS source, src AS id, CAST(0 AS DOUBLE) AS cost, [src] AS path, CAST(0 AS DOUBLE) AS total FROM b WHERE src IN (SELECT s_suppkey * 2 FROM supplier WHERE s_suppkey < 6)), " + ", ".join(
+    f"p{i + 1} AS MATERIALIZED (SELECT source, id, cost, path, total FROM (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY cost, path) AS n FROM (SELECT * FROM p{i} UNION ALL SELECT source, b.dst, round(cost + round(1 / greatest(weight, 0.01e0), 9), 9), list_append(path, b.dst), total + weight FROM p{i} p JOIN b ON b.src = p.id WHERE NOT list_contains(path, b.dst)) z) y WHERE n = 1)"
+    for i in range(_EDGES_OF_PATH)
+)
 ORACLES = {
+    "path_search": f"WITH {_BOTH}, {_RELAXED} SELECT source, id, round(cost, 6) AS cost, CAST(len(path) - 1 AS BIGINT) AS hops, array_to_string(path, ',') AS path, round(total / (len(path) - 1), 6) AS score FROM p{_EDGES_OF_PATH} WHERE source < id AND len(path) <= 5 AND id IN (SELECT source FROM p0)",
+    "community_levels": f"WITH {_SPARSE}, {_ROUNDS} SELECT count(*) AS vertices, count(DISTINCT c) AS coarse, TRUE AS nested, TRUE AS rising FROM l{_LAST}",
+    "representative_chunks": """WITH a AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), b AS (SELECT DISTINCT l_partkey AS p, l_orderkey AS o FROM lineitem),
+h1 AS (SELECT s_nationkey AS community, p, s_suppkey AS r, row_number() OVER (PARTITION BY s_nationkey, p ORDER BY s_suppkey) AS n FROM supplier JOIN a ON s = s_suppkey),
+h2 AS (SELECT community, o, r, p, row_number() OVER (PARTITION BY community, o ORDER BY r, p) AS n FROM (SELECT * FROM h1 WHERE n = 1) z JOIN b USING (p)),
+o AS (SELECT community, o, row_number() OVER (PARTITION BY community ORDER BY r, p, o) AS place FROM h2 WHERE n = 1)
+SELECT CAST(community AS BIGINT) AS community, o * 4 + 2 AS id, place, CAST(2 AS BIGINT) AS distance FROM o WHERE place <= 12""",
+    "community_names": """WITH d AS (SELECT s_nationkey AS community, count(*) AS members, substr(sha256(count(*) || ':' || CAST(sum(CAST(CAST('0x' || substr(sha256(CAST(s_suppkey * 4 AS VARCHAR)), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)), 1, 20) AS g,
+  array_to_string(list_slice(list(s_name ORDER BY s_suppkey), 1, 3), ' / ') AS title FROM supplier GROUP BY 1),
+h AS (SELECT *, 'fine-' || g AS community_key, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode('tables:fine:fine-' || g)) AS h FROM d)
+SELECT community, community_key, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab89ab89ab89ab'[strpos('0123456789abcdef', h[17:17])] || h[18:20] || '-' || h[21:32] AS uuid, title, members FROM h""",
+    "community_reports": """WITH l AS (SELECT l_suppkey AS s, l_partkey AS p, l_shipmode AS m, year(o_orderdate) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+e AS (SELECT s, p, m, count(*) AS w FROM l GROUP BY ALL),
+n AS (SELECT s_suppkey * 2 AS id, s_name AS label, (SELECT min(y) FROM l WHERE s = s_suppkey) AS y, s_nationkey AS community FROM supplier
+  UNION ALL SELECT p * 2 + 1, 'part ' || p, y, s_nationkey FROM (SELECT p, min(s) AS s, min(y) AS y FROM l GROUP BY p) z JOIN supplier ON s = s_suppkey),
+d AS (SELECT id, sum(w) AS degree FROM (SELECT s * 2 AS id, w FROM e UNION ALL SELECT p * 2 + 1, w FROM e) z GROUP BY id),
+r AS (SELECT community, label, y, row_number() OVER (PARTITION BY community ORDER BY coalesce(degree, 0) DESC, id) AS k FROM n LEFT JOIN d USING (id)),
+t AS (SELECT community, string_agg(label, '|' ORDER BY k) AS leaders, min(y) AS first_year, max(y) AS last_year FROM r WHERE k <= 10 GROUP BY community),
+i AS (SELECT a.community, m, count(*) AS c FROM e JOIN n a ON a.id = s * 2 JOIN n b ON b.id = p * 2 + 1 WHERE a.community = b.community GROUP BY ALL),
+j AS (SELECT community, CAST(sum(c) AS BIGINT) AS edges, array_to_string(list_slice(list(m || ':' || c ORDER BY m), 1, 8), '|') AS relations FROM i GROUP BY community)
+SELECT community, members, coalesce(edges, 0) AS edges, first_year, last_year, leaders, coalesce(relations, '') AS relations FROM (SELECT community, count(*) AS members FROM n GROUP BY community) c JOIN t USING (community) LEFT JOIN j USING (community)""",
     "graph_nodes": f"SELECT node_key, min_by(node_type, pos) AS node_type, min_by(label, pos) AS label FROM ({_NODES}) t GROUP BY 1",
     "graph_edges": f"WITH {_GRAPH} SELECT * FROM g",
     "relation_histogram": f"WITH {_GRAPH} SELECT relation, count(*) AS n, round(avg(confidence), 6) AS mean FROM g GROUP BY 1",

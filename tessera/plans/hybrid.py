@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import memory, retrieval as R
+from tessera.operators import index, memory, retrieval as R, vectors
 from tessera.operators.chunking import chunk, markdown_sections, select_context
 from tessera.sources.tables import table
 
@@ -19,13 +19,16 @@ def questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(QUESTIONS.items()), "query_id int, terms array<string>")
 
 
-def _tokens(spark, sf_dir):
-    return R.asked_tokens(table(spark, sf_dir, "documents"), questions(spark), "doc_id", "text")
+def _index(spark, sf_dir, analyser="latin"):
+    return index.stored(table(spark, sf_dir, "documents"), "doc_id", "text", analyser)
 
 
-def bm25_topk(spark, sf_dir, tokens=None):
-    scores = R.bm25(table(spark, sf_dir, "documents"), questions(spark), "doc_id", "text", tokens=tokens)
-    return R.ranked(scores.withColumn("score", F.round("score", 6)), "doc_id", 50).withColumn("rank", F.col("rank").cast("bigint"))
+def _asked(spark):
+    return questions(spark).select("query_id", F.array_join("terms", " ").alias("text"))
+
+
+def bm25_topk(spark, sf_dir):
+    return index.search(_index(spark, sf_dir), _asked(spark), 50)
 
 
 _BM25 = f"""
@@ -43,12 +46,11 @@ _COVER = ", c0 AS (SELECT query_id, doc_id, round(count(DISTINCT term) / CAST(3
 
 
 def routes(spark, sf_dir):
-    tokens = _tokens(spark, sf_dir)
-    lexical = bm25_topk(spark, sf_dir, tokens).select("query_id", F.lit("bm25").alias("route"), "doc_id", "rank")
-    covered = R.ranked(R.coverage(questions(spark), "doc_id", tokens), "doc_id", 50).select("query_id", F.lit("coverage").alias("route"), "doc_id", "rank")
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    asked = vectors.where(F.col("doc_id").isin(*QUESTIONS)).select(F.col("doc_id").cast("int").alias("query_id"), "embedding")
-    near = R.dense(vectors.withColumnRenamed("doc_id", "doc_id"), asked, "doc_id", "embedding", 50).select("query_id", F.lit("dense").alias("route"), "doc_id", "rank")
+    lexical = bm25_topk(spark, sf_dir).select("query_id", F.lit("bm25").alias("route"), "doc_id", "rank")
+    covered = R.ranked(index.coverage(_index(spark, sf_dir), _asked(spark)), "doc_id", 50).select("query_id", F.lit("coverage").alias("route"), "doc_id", "rank")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = rows.where(F.col("doc_id").isin(*QUESTIONS)).select(F.col("doc_id").cast("int").alias("query_id"), "embedding")
+    near = R.dense(rows, asked, "doc_id", "embedding", 50).select("query_id", F.lit("dense").alias("route"), "doc_id", "rank")
     return lexical.unionByName(covered).unionByName(near)
 
 
@@ -69,7 +71,7 @@ def plain_rrf(spark, sf_dir):
 
 def _fused(spark, sf_dir):
     fused = R.rrf(routes(spark, sf_dir), "doc_id", WEIGHTS).withColumn("score", F.round("score", 9))
-    return fused.join(table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars"), "doc_id")
+    return fused.join(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id")
 
 
 _FUSED = _ROUTES + ", f0 AS (SELECT query_id, doc_id, round(sum(CASE route WHEN 'bm25' THEN 1.0e0 WHEN 'coverage' THEN 0.8e0 ELSE 0.9e0 END / (60 + rank)), 9) AS score, count(*) AS n_routes FROM r GROUP BY 1, 2), f AS (SELECT query_id, doc_id, score, source, n_chars FROM f0 JOIN documents USING (doc_id))"
@@ -86,7 +88,8 @@ def journal_prior(spark, sf_dir):
 
 
 def diverse_anchors(spark, sf_dir):
-    pool = R.ranked(_fused(spark, sf_dir).withColumn("content", F.sha2("text", 256)), "doc_id")
+    fused = R.rrf(routes(spark, sf_dir), "doc_id", WEIGHTS).withColumn("score", F.round("score", 9))
+    pool = R.ranked(fused, "doc_id", 40).join(table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("content")), "doc_id")
     return R.anchors(pool, "doc_id", "source", "content", limit=8, per_group=2, pool_size=40)
 
 
@@ -128,6 +131,26 @@ _DENSE_TOP = """SELECT query_id, vec_id, round(score, 5) AS score, rank FROM (SE
   SELECT a.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(a.embedding, v.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS score FROM embeddings a, embeddings v WHERE a.vec_id % 100 = 0 {scope}) s) t WHERE rank <= 10"""
 
 
+def _ann(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    lists = vectors.inverted_file(v, "vec_id", "embedding")
+    probes = vectors.probes_for(lists, v, "vec_id", "embedding", 10, 0.95)
+    return v, asked, vectors.probed(lists, asked, "embedding", 10, probes)
+
+
+def ann_topk(spark, sf_dir):
+    """The ten best of each query among the lists that it probes."""
+    return _ann(spark, sf_dir)[2]
+
+
+def ann_recall(spark, sf_dir):
+    """Whether the inverted file finds nine of ten true neighbours, over all queries."""
+    v, asked, found = _ann(spark, sf_dir)
+    per = vectors.recall(found, vectors.exact(v, asked, "vec_id", "embedding", 10), "vec_id")
+    return per.agg(F.count("*").alias("n_queries"), F.sum("n").alias("n_neighbours"), (F.avg("recall") >= 0.9).alias("reached"))
+
+
 def ir_metrics(spark, sf_dir):
     """Rankings of the lexical route against the documents labelled good."""
     ranking = bm25_topk(spark, sf_dir).select("query_id", F.col("doc_id").alias("item"), "rank")
@@ -209,16 +232,31 @@ def question_router(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_topk, weighted_rrf, plain_rrf, rerank_blend, journal_prior, diverse_anchors, context_neighbors, context_budget, query_aware_neighbors, dense_topk, dense_scope_filtered, ir_metrics, fact_conflicts, memory_hybrid_score, memory_mmr, chunk_documents, markdown_paths, markdown_context,
+    for f in (bm25_topk, weighted_rrf, plain_rrf, rerank_blend, journal_prior, diverse_anchors, context_neighbors, context_budget, query_aware_neighbors, dense_topk, dense_scope_filtered, ann_topk, ann_recall, ir_metrics, fact_conflicts, memory_hybrid_score, memory_mmr, chunk_documents, markdown_paths, markdown_context,
               term_sets, language_tags, text_normalised, inverted_index_to_text, evidence_tokens, uuid5_ids, question_router)
 }
 
 _IPAD, _OPAD = (bytes(b ^ p for b in b"example".ljust(64, b"\0")).hex() for p in (0x36, 0x5C))
 
+
+def greedy_sql(pool: str, limit: int, per_group: int, pool_size: int) -> str:
+    """SQL of the greedy choice over a pool (query_id, doc_id, source, c, rank): the fold, a rank a step."""
+    room = f"len(items) < {limit} AND NOT list_contains(contents, p.c) AND len(list_filter(sources, lambda x: x = p.source)) < {per_group}"
+    return f"""steps AS (
+  SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS items, CAST([] AS VARCHAR[]) AS sources, CAST([] AS VARCHAR[]) AS contents FROM {pool}
+  UNION ALL
+  SELECT s.query_id, s.step + 1, CASE WHEN {room} THEN list_append(items, p.doc_id) ELSE items END, CASE WHEN {room} THEN list_append(sources, p.source) ELSE sources END, CASE WHEN {room} THEN list_append(contents, p.c) ELSE contents END
+  FROM steps s JOIN {pool} p ON p.query_id = s.query_id AND p.rank = s.step + 1 WHERE s.step < {pool_size}),
+ended AS (SELECT query_id, max_by(items, step) AS items, max_by(sources, step) AS sources FROM steps GROUP BY query_id),
+chosen AS (SELECT query_id, CAST(i AS INTEGER) AS position, items[i] AS doc_id, sources[i] AS source FROM (SELECT *, unnest(range(1, len(items) + 1)) AS i FROM ended) e)"""
+
+
 ORACLES: dict[str, str] = {
     "bm25_topk": _BM25_TOP + " SELECT query_id, doc_id, score, rank FROM b WHERE rank <= 50",
     "weighted_rrf": _FUSED + " SELECT query_id, doc_id, score, n_routes FROM f0",
     "plain_rrf": _ROUTES + " SELECT query_id, doc_id, round(sum(1.0e0 / (60 + rank)), 9) AS score FROM r GROUP BY 1, 2",
+    "diverse_anchors": _FUSED.replace("WITH q AS", "WITH RECURSIVE q AS", 1) + """, p AS (SELECT f.query_id, f.doc_id, f.source, sha256(d.text) AS c, row_number() OVER (PARTITION BY f.query_id ORDER BY f.score DESC, f.doc_id) AS rank FROM f JOIN documents d USING (doc_id))
+, """ + greedy_sql("p", 8, 2, 40) + " SELECT query_id, position, doc_id, source FROM chosen",
     "rerank_blend": _FUSED + """, o AS (SELECT *, CAST(n_chars % 97 AS DOUBLE) AS rr, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS old FROM f),
 h AS (SELECT *, min(score) OVER w AS s0, max(score) OVER w AS s1, min(rr) OVER w AS r0, max(rr) OVER w AS r1 FROM o WINDOW w AS (PARTITION BY query_id, old <= 20)),
 g AS (SELECT query_id, doc_id, old, CASE WHEN old <= 20 THEN 0.5e0 * (CASE WHEN s1 = s0 THEN 1 ELSE (score - s0) / (s1 - s0) END) + 0.5e0 * (CASE WHEN r1 = r0 THEN 1 ELSE (rr - r0) / (r1 - r0) END) ELSE score END AS blended FROM h)
@@ -228,6 +266,7 @@ SELECT query_id, doc_id, round(blended, 6) AS blended, row_number() OVER (PARTIT
 SELECT a.conv_id, a.turn AS anchor, t.turn, CASE WHEN t.turn = a.turn THEN 'anchor' ELSE 'neighbor' END AS role, abs(t.turn - a.turn) AS distance FROM a JOIN t ON t.conv_id = a.conv_id AND abs(t.turn - a.turn) <= 1""",
     "dense_topk": _DENSE_TOP.format(scope=""),
     "dense_scope_filtered": _DENSE_TOP.format(scope="AND v.label = 1"),
+    "ann_recall": f"SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_neighbours, TRUE AS reached FROM ({_DENSE_TOP.format(scope='')}) z",
     "language_tags": r"SELECT doc_id, CASE WHEN regexp_matches(text, '[\x{3400}-\x{9fff}]') AND regexp_matches(text, '[A-Za-z]{2,}') THEN 'mixed' WHEN regexp_matches(text, '[\x{3400}-\x{9fff}]') THEN 'zh' ELSE 'en' END AS tag FROM documents",
     "term_sets": r"SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9_./+-]{2,}'))) AS BIGINT) AS n_terms FROM documents",
     "text_normalised": r"SELECT conv_id, turn, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS h FROM conversations",
