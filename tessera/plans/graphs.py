@@ -62,8 +62,10 @@ def community_labels(spark, sf_dir):
 
 
 def community_levels(spark, sf_dir):
-    """Fine and coarse communities of customers and days: that they nest, and that modularity rises from level to level."""
-    rows, reached = C.levels(sparse_edges(spark, sf_dir))
+    """Fine and coarse communities of brands, types and sizes of parts: that they nest, and that modularity rises from level to level."""
+    part = table(spark, sf_dir, "part")
+    pairs = part.select(F.col("p_brand").alias("src"), F.col("p_type").alias("dst")).union(part.select("p_type", F.concat(F.lit("size "), "p_size")))
+    rows, reached = C.levels(pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")))
     nested = rows.groupBy("fine").agg(F.countDistinct("coarse").alias("n"))
     totals = rows.agg(F.count("*").alias("vertices"), F.countDistinct("coarse").alias("coarse"))
     rising = all(a < b for a, b in zip(reached, reached[1:])) and reached[-1] > 0
@@ -93,9 +95,9 @@ def community_names(spark, sf_dir):
 def community_reports(spark, sf_dir):
     """Suppliers and parts as communities by the suppliers' nations: members, leaders, relations and years."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_shipmode").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_returnflag").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    edges = lines.groupBy((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"), F.col("l_shipmode").alias("relation")).agg(F.count("*").cast("double").alias("weight"))
+    edges = lines.groupBy((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"), F.col("l_returnflag").alias("relation")).agg(F.count("*").cast("double").alias("weight"))
     suppliers = s.join(lines.groupBy("l_suppkey").agg(F.min("year").alias("year")), F.col("s_suppkey") == F.col("l_suppkey"), "left").select((F.col("s_suppkey") * 2).alias("id"), F.col("s_name").alias("label"), "year", F.col("s_nationkey").alias("community"))
     # a part belongs to the nation of its smallest supplier
     own = lines.groupBy("l_partkey").agg(F.min("l_suppkey").alias("s"), F.min("year").alias("year")).join(s, F.col("s") == F.col("s_suppkey"))
@@ -156,7 +158,7 @@ _RELAXED = "p0 AS (SELECT DISTINCT src AS source, src AS id, CAST(0 AS DOUBLE) A
 )
 ORACLES = {
     "path_search": f"WITH {_BOTH}, {_RELAXED} SELECT source, id, round(cost, 6) AS cost, CAST(len(path) - 1 AS BIGINT) AS hops, array_to_string(path, ',') AS path, round(total / (len(path) - 1), 6) AS score FROM p{_EDGES_OF_PATH} WHERE source < id AND len(path) <= 5 AND id IN (SELECT source FROM p0)",
-    "community_levels": f"WITH {_SPARSE}, {_ROUNDS} SELECT count(*) AS vertices, count(DISTINCT c) AS coarse, TRUE AS nested, TRUE AS rising FROM l{_LAST}",
+    "community_levels": f"WITH e AS (SELECT p_brand AS src, p_type AS dst FROM part UNION SELECT p_type, 'size ' || p_size FROM part), b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), {_ROUNDS} SELECT count(*) AS vertices, count(DISTINCT c) AS coarse, TRUE AS nested, TRUE AS rising FROM l{_LAST}",
     "representative_chunks": """WITH a AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), b AS (SELECT DISTINCT l_partkey AS p, l_orderkey AS o FROM lineitem),
 h1 AS (SELECT s_nationkey AS community, p, s_suppkey AS r, row_number() OVER (PARTITION BY s_nationkey, p ORDER BY s_suppkey) AS n FROM supplier JOIN a ON s = s_suppkey),
 h2 AS (SELECT community, o, r, p, row_number() OVER (PARTITION BY community, o ORDER BY r, p) AS n FROM (SELECT * FROM h1 WHERE n = 1) z JOIN b USING (p)),
@@ -166,7 +168,7 @@ SELECT CAST(community AS BIGINT) AS community, o * 4 + 2 AS id, place, CAST(2 AS
   array_to_string(list_slice(list(s_name ORDER BY s_suppkey), 1, 3), ' / ') AS title FROM supplier GROUP BY 1),
 h AS (SELECT *, 'fine-' || g AS community_key, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode('tables:fine:fine-' || g)) AS h FROM d)
 SELECT community, community_key, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab89ab89ab89ab'[strpos('0123456789abcdef', h[17:17])] || h[18:20] || '-' || h[21:32] AS uuid, title, members FROM h""",
-    "community_reports": """WITH l AS (SELECT l_suppkey AS s, l_partkey AS p, l_shipmode AS m, year(o_orderdate) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    "community_reports": """WITH l AS (SELECT l_suppkey AS s, l_partkey AS p, l_returnflag AS m, year(o_orderdate) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 e AS (SELECT s, p, m, count(*) AS w FROM l GROUP BY ALL),
 n AS (SELECT s_suppkey * 2 AS id, s_name AS label, (SELECT min(y) FROM l WHERE s = s_suppkey) AS y, s_nationkey AS community FROM supplier
   UNION ALL SELECT p * 2 + 1, 'part ' || p, y, s_nationkey FROM (SELECT p, min(s) AS s, min(y) AS y FROM l GROUP BY p) z JOIN supplier ON s = s_suppkey),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,14 @@ def kept(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, for loops: a checkpoint also keeps what is known of its rows' conditions, which grows from round to round."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def session(app: str = "tessera", **conf: str) -> SparkSession:
     """A session with the settings that the queries assume: UTC and adaptive execution."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
