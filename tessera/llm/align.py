@@ -239,6 +239,8 @@ def align(documents: DataFrame, key: str = "doc_id", text: str = "text", a_file:
     rows stay rows of their own; other columns are left out; no rows give none.
     """
     texts = _written(aligned(documents, key, text, a_file, b_file))
-    sums = links(texts).groupBy("row").agg(F.sum("n").alias("n_links"), F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("count")).alias("count_sum"))
+    parts = links(texts).select("row", "n", F.when(F.col("best"), F.col("n")).otherwise(0).alias("b"), (F.col("n") * F.col("count")).alias("c"))
+    # a text's links come from as many partitions as it has links: adding up before they meet would save nothing at scale
+    sums = parts.repartition("row").groupBy("row").agg(F.sum("n").alias("n_links"), F.sum("b").alias("n_best"), F.sum("c").alias("count_sum"))
     zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_links", "n_best", "count_sum")]
     return texts.drop("a", "b", "n").join(sums, "row", "left").select(F.col("k").alias(key), "n_a", "n_b", "n_groups", *zero, "groups_sha256")
