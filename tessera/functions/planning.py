@@ -47,7 +47,7 @@ def marker_hits(text: Column, markers: list[str]) -> Column:
 
 
 def retry_advice(reason: Column, status: Column) -> Column:
-    """(retryable, advice) of a failed or empty route."""
+    """(retryable, advice) of a failed or empty route; the four pieces of advice are fixed values."""
 
     def answer(yes: bool, advice: str) -> Column:
         return F.struct(F.lit(yes).alias("retryable"), F.lit(advice).alias("advice"))

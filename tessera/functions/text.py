@@ -57,9 +57,13 @@ def memory_terms(x: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"[a-z0-9_./+-]{2,}|" + CJK + "{2,}"), F.lit(0)))
 
 
+#: Fixed value: a token of the chunker: words of Latin letters and digits, joined by single marks; ideographs; any other mark.
+CHUNK_TOKEN = r"[A-Za-z0-9]+(?:[-_./][A-Za-z0-9]+)*|" + CJK + r"|\S"
+
+
 def chunk_tokens(x: Column) -> Column:
-    """Tokens as the chunker counts them: words, single ideographs and other marks."""
-    return F.regexp_count(x, F.lit(r"[A-Za-z0-9]+|" + CJK + r"|[^\sA-Za-z0-9㐀-鿿]"))
+    """How many tokens the chunker counts."""
+    return F.regexp_count(x, F.lit(CHUNK_TOKEN))
 
 
 def budget_tokens(x: Column) -> Column:

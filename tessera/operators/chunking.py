@@ -3,73 +3,109 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import terms
-
-TOKEN = re.compile(r"[A-Za-z0-9]+|[㐀-鿿]|[^\sA-Za-z0-9㐀-鿿]")
-SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*|[.!?。！？]+")
-
-
-def count_tokens(text: str) -> int:
-    return len(TOKEN.findall(text))
-
-
-def pieces_of(text: str, most: int) -> list[tuple[int, int, int]]:
-    """(start, end, tokens) of each sentence; one of over ``most`` tokens is cut after every ``most``."""
-    out = []
-    for m in SENTENCE.finditer(text):
-        s, e = m.span()
-        while s < e and text[s].isspace():
-            s += 1
-        while e > s and text[e - 1].isspace():
-            e -= 1
-        tokens = list(TOKEN.finditer(text, s, e))
-        for i in range(0, len(tokens), most):
-            part = tokens[i : i + most]
-            last = i + most >= len(tokens)
-            out.append((s if i == 0 else part[0].start(), e if last else part[-1].end(), len(part)))
-    return out
-
-
-def chunks_of(text: str, target: int, most: int, overlap: int, least: int) -> list[tuple[int, int]]:
-    """(start, end) of chunks of whole sentences: packed to the target, a short tail joined to the last, each begun with up to ``overlap`` tokens of the one before."""
-    packs: list[list[tuple[int, int, int]]] = []
-    used = 0
-    for piece in pieces_of(text, most):
-        if not packs or used + piece[2] > target:
-            packs.append([])
-            used = 0
-        packs[-1].append(piece)
-        used += piece[2]
-    if len(packs) > 1 and sum(p[2] for p in packs[-1]) < least and sum(p[2] for q in packs[-2:] for p in q) <= most:
-        packs[-2:] = [packs[-2] + packs[-1]]
-    out = []
-    for i, pack in enumerate(packs):
-        start, room = pack[0][0], min(overlap, most - sum(p[2] for p in pack))
-        for s, _, n in reversed(packs[i - 1] if i else []):
-            if n > room:
-                break
-            start, room = s, room - n
-        out.append((start, pack[-1][1]))
-    return out
-
-
-def chunk(docs: DataFrame, key: str, text: str, target: int = 384, most: int = 512, overlap: int = 64, least: int = 96) -> DataFrame:
-    """(key, ordinal, char_start, char_end, n_tokens, content_hash, chunk): each chunk is a slice of its text."""
+from tessera.functions.text import CHUNK_TOKEN, terms
+
+#: Marks that end a sentence, what may close behind them, and how far a likeness must fall for a break.
+ENDS, CLOSERS = ".!?。！？", "\"'’”）)]"
+MIN_DROP, MAD_SCALE, FLOOR = 0.08, 2.5, 0.55
+TOKEN = re.compile(CHUNK_TOKEN)
+BREAK = re.compile(f"(?<=[{ENDS}])[{re.escape(CLOSERS)}]*\\s+|\n\n+")
+#: Places of a hashed sentence vector.
+PLACES = 1 << 12
+
+
+class Units:
+    """A text's tokens, and its sentences as (start, end, tokens), those of over ``most`` tokens cut after every ``most``."""
+
+    def __init__(self, text: str, most: int):
+        spans = np.array([m.span() for m in TOKEN.finditer(text)], np.int64).reshape(-1, 2)
+        self.text, self.starts, self.ends = text, spans[:, 0], spans[:, 1]
+        edges = [0, *(x for m in BREAK.finditer(text) for x in m.span()), len(text)]
+        # sentences from their first to their last token: tokens are all but white space
+        first, last = np.searchsorted(self.starts, edges[::2]), np.searchsorted(self.starts, edges[1::2])
+        pieces = [(i, min(i + most, b)) for a, b in zip(first.tolist(), last.tolist()) for i in range(a, b, most)]
+        self.first, self.last = (np.array([p[k] for p in pieces], np.int64) for k in (0, 1))
+        self.size = self.last - self.first
+
+    def likeness(self) -> np.ndarray:
+        """The cosine of each unit's hashed word counts with the next one's."""
+        low = self.text.lower()
+        place = np.array([zlib.crc32(low[s:e].encode("utf-8", "surrogatepass")) % PLACES for s, e in zip(self.starts.tolist(), self.ends.tolist())], np.int64)
+        own = np.repeat(np.arange(len(self.size)), self.size)
+        at = np.concatenate([np.arange(f, l) for f, l in zip(self.first, self.last)]) if len(self.size) else np.zeros(0, np.int64)
+        word = np.array([low[s].isalnum() for s in self.starts.tolist()], bool)[at]
+        key, count = np.unique(own[word] * PLACES + place[at][word], return_counts=True)
+        norm = np.sqrt(np.bincount(key // PLACES, count.astype(float) ** 2, len(self.size)))
+        near = np.searchsorted(key, key + PLACES)
+        hit = (near < len(key)) & (key[np.minimum(near, len(key) - 1)] == key + PLACES) if len(key) else np.zeros(0, bool)
+        dots = np.bincount(key[hit] // PLACES, count[hit] * count[near[hit]], max(1, len(self.size)))[: max(0, len(self.size) - 1)]
+        size = norm[:-1] * norm[1:]
+        return np.where(size > 0, dots / np.where(size > 0, size, 1), 0.0)
+
+    def breaks(self) -> set[int]:
+        """Units before which the subject changes: a likeness under the floor, or far under the text's median."""
+        if len(self.size) < 2:
+            return set()
+        likeness = self.likeness()
+        middle = np.median(likeness)
+        least = middle - max(MIN_DROP, MAD_SCALE * np.median(np.abs(likeness - middle)))
+        return set((np.flatnonzero((likeness <= FLOOR) | (likeness <= least)) + 1).tolist())
+
+    def chunks(self, target: int, most: int, overlap: int, least: int, semantic: bool) -> list[tuple[int, int, int]]:
+        """(start, end, tokens) of chunks of whole units: packed to the target, a short tail joined to the last, each begun with up to ``overlap`` tokens of the one before."""
+        breaks = self.breaks() if semantic else set()
+        packs: list[list[int]] = []
+        used = 0
+        for i, n in enumerate(self.size.tolist()):
+            if not packs or used + n > target or (i in breaks and used >= least):
+                packs.append([])
+                used = 0
+            packs[-1].append(i)
+            used += n
+        sums = [int(self.size[p].sum()) for p in packs]
+        if len(packs) > 1 and sums[-1] < least and sums[-1] + sums[-2] <= most:
+            packs[-2:], sums[-2:] = [packs[-2] + packs[-1]], [sums[-2] + sums[-1]]
+        out = []
+        for k, pack in enumerate(packs):
+            start, room = pack[0], min(overlap, most - sums[k])
+            for i in reversed(packs[k - 1] if k else []):
+                if self.size[i] > room:
+                    break
+                start, room = i, room - int(self.size[i])
+            a, b = self.first[start], self.last[pack[-1]]
+            out.append((int(self.starts[a]), int(self.ends[b - 1]), int(self.size[start : pack[-1] + 1].sum())))
+        return out
+
+
+def chunk(docs: DataFrame, key: str, text: str, target: int = 384, most: int = 512, overlap: int = 64, least: int = 96, semantic: bool = False) -> DataFrame:
+    """(key, ordinal, char_start, char_end, n_tokens, chunk, content_hash): each chunk is a slice of its text.
+
+    With ``semantic`` a chunk of ``least`` tokens also ends where neighbouring
+    sentences have little in common, by their hashed word counts. Null and
+    empty texts, and texts of white space, have no chunks.
+    """
     kind = dict(docs.dtypes)[key]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(k, i, s, e, count_tokens(t[s:e]), t[s:e]) for k, t in zip(frame[key], frame[text]) if t for i, (s, e) in enumerate(chunks_of(t, target, most, overlap, least))]
-            yield pd.DataFrame(rows, columns=[key, "ordinal", "char_start", "char_end", "n_tokens", "chunk"])
-
-    out = docs.select(key, text).mapInPandas(run, f"{key} {kind}, ordinal int, char_start int, char_end int, n_tokens int, chunk string")
-    return out.withColumn("content_hash", F.sha2("chunk", 256))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                text = batch.column("t")[at].as_py()
+                found = Units(text, most).chunks(target, most, overlap, least, semantic) if text else []
+                if found:
+                    s, e, n = zip(*found)
+                    own = batch.column("k").take(pa.array([at] * len(found)))
+                    yield pa.RecordBatch.from_arrays([own, *(pa.array(x, pa.int32()) for x in (range(len(found)), s, e, n)), pa.array([text[a:b] for a, b in zip(s, e)], pa.string())], names=["k", "ordinal", "char_start", "char_end", "n_tokens", "chunk"])
+
+    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, ordinal int, char_start int, char_end int, n_tokens int, chunk string")
+    return out.withColumnRenamed("k", key).withColumn("content_hash", F.sha2("chunk", 256))
 
 
 def markdown_sections(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -27,6 +27,20 @@ def markdown_tables(docs: DataFrame, key: str, text: str) -> DataFrame:
     return numbered.select(key, "table_no", F.when(F.col("pos") == 0, 0).otherwise(F.col("pos") - 1).alias("row_no"), padded.alias("cells"))
 
 
+def originals(cells: DataFrame, key: str) -> DataFrame:
+    """(key, table_no, digest, first, first_table_no, repeated): each parsed table with the first of all tables of equal cells.
+
+    The digest adds up those of a table's rows with their numbers, so rules,
+    blanks around cells and line ends don't count, and no table is gathered.
+    The first is that of the smallest key, then number.
+    """
+    row = F.conv(F.substring(F.sha2(F.to_json(F.struct("row_no", "cells")).cast("binary"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    tables = cells.groupBy(key, "table_no").agg(F.concat_ws(":", F.count("*"), F.sum(row)).alias("digest"))
+    first = tables.groupBy("digest").agg(F.min(F.struct(key, "table_no")).alias("f"))
+    out = tables.join(first, "digest").select(key, "table_no", "digest", F.col(f"f.{key}").alias("first"), F.col("f.table_no").alias("first_table_no"))
+    return out.withColumn("repeated", (F.col("first") != F.col(key)) | (F.col("first_table_no") != F.col("table_no")))
+
+
 def number(x: Column) -> Column:
     """A number with thousands commas, an exponent or a per cent sign (divided by 100); null otherwise."""
     t = F.replace(F.trim(x), F.lit(","), F.lit(""))

@@ -197,7 +197,7 @@ p AS (SELECT doc_id, string_split(regexp_replace(flat, '([.!?。！？])["''’
 u AS (SELECT doc_id, unnest(parts) AS s, unnest(range(len(parts))) AS i FROM p),
 g AS (SELECT doc_id, trim(s, ' ' || chr(9) || chr(10) || '-•') AS v, coalesce(sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM u),
 k AS (SELECT doc_id, v, pos, CASE WHEN {_CUES} THEN 4 ELSE 0 END + CASE WHEN length(v) BETWEEN 100 AND 380 THEN 2 ELSE 0 END + greatest(0, 3 - pos // 6000) AS score FROM g
- WHERE length(v) BETWEEN 70 AND 650 AND NOT regexp_matches(v, '{X.FRONT_MATTER}') AND len(regexp_extract_all(v, '[A-Za-z㐀-鿿]+')) >= 12),
+ WHERE length(v) BETWEEN 70 AND 650 AND NOT regexp_matches(lower(v), '{"|".join(m.replace(".", "[.]") for m in X.FRONT_MATTER)}|({"|".join(X.DATED)})[ ]+[0-9]|doi[ ]*:') AND len(regexp_extract_all(v, '[A-Za-z㐀-鿿]+')) >= 12),
 b AS (SELECT doc_id, string_agg(v, ' ' ORDER BY pos) AS v FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos DESC) AS r FROM k) x WHERE r <= 4 GROUP BY 1),
 a AS (SELECT t.doc_id, text, trim(regexp_replace(coalesce(v, left(text, 1400)), '\s+', ' ', 'g')) AS v FROM t LEFT JOIN b ON b.doc_id = t.doc_id),
 m AS (SELECT doc_id, text, v, left(v, 1400) AS s, strpos(reverse(left(v, 1400)), ' .') AS d, strpos(reverse(left(v, 1400)), '。') AS e, strpos(reverse(left(v, 1400)), ' ;') AS f FROM a)

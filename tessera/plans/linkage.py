@@ -68,16 +68,29 @@ def chart_choice(spark, sf_dir):
     return M.chart_kind(types, "l_suppkey").groupBy("chart").agg(F.count("*").alias("n"))
 
 
+#: What no heading is looked for in.
+HIDDEN = ["<!--.*?-->", *[f"<{t}[ >].*?</{t}[^>]*>" for t in ("script", "style", "template", "noscript", "textarea", "title")]]
+HEADING = "(?is)" + "|".join(f"<h{i}[^>]*>.*?</h{i}[^>]*>" for i in range(1, 7))
+
+
 def html_sections(spark, sf_dir):
-    """Headings of the pages, in order, by pattern."""
-    found = F.regexp_extract_all("html", F.lit(r"(?is)<h([1-6])[^>]*>(.*?)</h\1>"), F.lit(2))
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("position", "title")).withColumn("title", F.trim(F.regexp_replace("title", "<[^>]+>", "")))
+    """Headings of the pages, in order, outside comments, scripts and the like."""
+    shown = F.regexp_replace("html", "(?is)" + "|".join(HIDDEN), " ")
+    found = F.regexp_extract_all(shown, F.lit(HEADING), F.lit(0))
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("position", "title")).select("page_id", F.col("position").cast("bigint").alias("position"), F.trim(F.regexp_replace("title", "<[^>]+>", "")).alias("title"))
+
+
+def table_originals(spark, sf_dir):
+    """Tables of notes that repeat an earlier one, whatever their blanks and rules: each with the first of its kind."""
+    notes = _markdown(spark, sf_dir)
+    again = notes.where("l_suppkey % 5 = 0").select((F.col("l_suppkey") + 1_000_000).alias("l_suppkey"), F.regexp_replace(F.regexp_replace("text", r"\|---\|:-:\|--:\|---\|", "| --- | --- | :-- | --- |"), r" \| ", "  |  ").alias("text"))
+    return M.originals(M.markdown_tables(notes.union(again), "l_suppkey", "text"), "l_suppkey").select("l_suppkey", F.col("first").alias("first_suppkey"), "repeated")
 
 
 def _stream(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    events.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(f"{folder}/in")
+    events.write.parquet(f"{folder}/in")
     return S.read(spark, f"{folder}/in", events.schema), folder
 
 
@@ -98,7 +111,7 @@ def stream_dedup(spark, sf_dir):
     return S.replay(S.deduplicated(twice, "ts", ["event_id"], "60 days").select("event_id", "event_type"), folder)
 
 
-QUERIES = {f.__name__: f for f in (record_merge, round_robin_interleave, stale_index, priority_links, upsert_ignore, upsert_overwrite, table_rows, table_type_inference, chart_choice, html_sections, stream_tumbling, stream_sessions, stream_dedup)}
+QUERIES = {f.__name__: f for f in (record_merge, round_robin_interleave, stale_index, priority_links, upsert_ignore, upsert_overwrite, table_rows, table_type_inference, chart_choice, table_originals, html_sections, stream_tumbling, stream_sessions, stream_dedup)}
 
 ORACLES = {
     "record_merge": """SELECT k, min(doc_id) AS first_seen, count(*) AS n_records, max(length(text)) AS longest, arg_min(lang, doc_id) AS lang, bool_or(n_chars > 2000) AS is_long, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM (SELECT *, md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS k FROM documents) t GROUP BY k""",
@@ -111,6 +124,9 @@ ORACLES = {
     "table_rows": "SELECT l_suppkey, count(*) AS n, round(sum(l_quantity), 4) AS quantity, round(sum(CAST(trunc(l_discount * 100) AS INT) / 100.0e0), 4) AS discount FROM lineitem GROUP BY 1",
     "table_type_inference": "SELECT name, kind, n FROM (SELECT count(DISTINCT l_suppkey) AS n FROM lineitem) c CROSS JOIN (VALUES ('date', 'temporal'), ('flag', 'categorical'), ('quantity', 'numeric'), ('discount', 'numeric')) v(name, kind)",
     "chart_choice": "SELECT 'line' AS chart, count(DISTINCT l_suppkey) AS n FROM lineitem",
+    "html_sections": f"""SELECT page_id, i - 1 AS position, trim(regexp_replace(h[i], '<[^>]+>', '', 'g')) AS title FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS i FROM (
+  SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is){"|".join(HIDDEN)}', ' ', 'g'), '{HEADING}') AS h FROM pages) p) q""",
+    "table_originals": "SELECT DISTINCT l_suppkey, l_suppkey AS first_suppkey, FALSE AS repeated FROM lineitem UNION ALL SELECT DISTINCT l_suppkey + 1000000, l_suppkey, TRUE FROM lineitem WHERE l_suppkey % 5 = 0",
     "stream_tumbling": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "stream_sessions": "SELECT user_id, CAST(sum(new) AS BIGINT) AS sessions, count(*) AS n FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events) a GROUP BY user_id",
     "stream_dedup": "SELECT event_id, event_type FROM events",
