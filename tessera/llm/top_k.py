@@ -88,7 +88,9 @@ def block_scores(k: int):
         postings = np.ascontiguousarray(c.T)  # one row of weights a term
         largest = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
         if largest >= 2**63:
-            raise ArithmeticError("a score may be beyond 64 bits")
+            # sums that might not fit are made of whole numbers of any size
+            exact = q.astype(object) @ postings.astype(object)
+            return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
         kind = np.int32 if largest < 2**31 else np.int64
         postings, q = postings.astype(kind), q.astype(kind)
         scores = np.zeros((len(q), c.shape[0]), kind)
@@ -142,8 +144,8 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", is
     ``is_query`` is a Column on ``id`` (default: every id divisible by 20).
     Ties go to the smaller id. Candidates with another number of components
     than the query are left out. Fewer than k candidates: all are returned.
-    Empty input: no rows. Other columns aren't read. A score that might be
-    beyond 64 bits is an error. Blocks of queries meet blocks of candidates
+    Empty input: no rows. Other columns aren't read. Components and scores
+    beyond 64 bits count as the largest or smallest number of 64 bits. Blocks of queries meet blocks of candidates
     through an equi-join on a salt, so neither side is broadcast. A salt has
     about SALT_BLOCKS blocks of candidates, however many there are; a task holds
     those and one block of queries.

@@ -42,3 +42,16 @@ def test_large_values_and_ties(spark):
     rows = [(i, [float(r.randrange(-(10**6), 10**6)) for _ in range(64)]) for i in range(300)] + [(1000 + i, [1e6] * 64) for i in range(30)] + [(2000, [1e6] * 64)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     assert got(df) == brute(rows, 20)
+
+
+def test_finite_vectors_of_any_size(spark):
+    # the largest products don't fit, most scores do; what doesn't is cut to 64 bits
+    rows = [(i, [1e9 if i == 20 else float(i), float(i % 3), -1e9 if i == 21 else 1.0]) for i in range(60)] + [(100, [1e30, 1.0, 0.0]), (101, [-1e30, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    low, high = -(2**63), 2**63 - 1
+    w = {i: [min(high, max(low, int(64 * x))) for x in v] for i, v in rows}
+    want = []
+    for q in (i for i in w if i % 20 == 0):
+        scores = sorted((-min(high, max(low, sum(a * b for a, b in zip(w[q], w[i])))), i) for i in w if i != q)[:20]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    assert got(df) == sorted(want)
