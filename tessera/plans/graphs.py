@@ -157,6 +157,13 @@ _RELAXED = "p0 AS (SELECT DISTINCT src AS source, src AS id, CAST(0 AS DOUBLE) A
     for i in range(_EDGES_OF_PATH)
 )
 ORACLES = {
+    "local_search": f"""WITH {_BOTH}, w AS (SELECT src, dst, least(sum(weight), 1.0e0) AS w FROM b GROUP BY 1, 2), l1 AS (SELECT dst AS id, max(w) AS p FROM w WHERE src = 0 GROUP BY 1), l2 AS (SELECT dst AS id, max(p * w) AS p FROM l1 JOIN w ON src = l1.id GROUP BY 1),
+a AS (SELECT CAST(0 AS BIGINT) AS id, 1.0e0 AS score, 0 AS distance UNION ALL SELECT id, round(p / 2, 9), 1 FROM l1 UNION ALL SELECT id, round(p / 3, 9), 2 FROM l2),
+o AS (SELECT id, score, distance, row_number() OVER (PARTITION BY id ORDER BY score DESC, distance) AS n FROM a)
+SELECT id, score, distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM o WHERE n = 1) z WHERE rank <= 50""",
+    "label_mentions": """WITH l(label, word) AS (VALUES ('license', 'license'), ('rights reserved', 'rights'), ('the', 'the')),
+p AS (SELECT doc_id, label, string_split(lower(text), label) AS parts FROM documents, l WHERE list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), word))
+SELECT doc_id, label, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(label) AS BIGINT) AS start FROM (SELECT *, unnest(range(1, least(len(parts) - 1, 3) + 1)) AS i FROM p WHERE len(parts) > 1) z""",
     "path_search": f"WITH {_BOTH}, {_RELAXED} SELECT source, id, round(cost, 6) AS cost, CAST(len(path) - 1 AS BIGINT) AS hops, array_to_string(path, ',') AS path, round(total / (len(path) - 1), 6) AS score FROM p{_EDGES_OF_PATH} WHERE source < id AND len(path) <= 5 AND id IN (SELECT source FROM p0)",
     "community_levels": f"WITH e AS (SELECT p_brand AS src, p_type AS dst FROM part UNION SELECT p_type, 'size ' || p_size FROM part), b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), {_ROUNDS} SELECT count(*) AS vertices, count(DISTINCT c) AS coarse, TRUE AS nested, TRUE AS rising FROM l{_LAST}",
     "representative_chunks": """WITH a AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), b AS (SELECT DISTINCT l_partkey AS p, l_orderkey AS o FROM lineitem),

@@ -264,6 +264,17 @@ SELECT query_id, doc_id, round(blended, 6) AS blended, row_number() OVER (PARTIT
     "journal_prior": _FUSED + " SELECT query_id, doc_id, round(0.9e0 * score + 0.1e0 * max(score) OVER (PARTITION BY query_id) * coalesce(CASE WHEN n_chars % 3 > 0 THEN (n_chars % 11) / 10.0e0 END, 0), 9) AS score FROM f",
     "context_neighbors": """WITH t AS (SELECT DISTINCT conv_id, turn, role FROM conversations), a AS (SELECT conv_id, turn FROM t WHERE role = 'user')
 SELECT a.conv_id, a.turn AS anchor, t.turn, CASE WHEN t.turn = a.turn THEN 'anchor' ELSE 'neighbor' END AS role, abs(t.turn - a.turn) AS distance FROM a JOIN t ON t.conv_id = a.conv_id AND abs(t.turn - a.turn) <= 1""",
+    "context_budget": """WITH RECURSIVE t AS (SELECT conv_id, turn, role, length(text) AS size FROM conversations), a AS (SELECT conv_id, turn FROM t WHERE role = 'user'),
+f AS (SELECT a.conv_id, t.turn, t.size, row_number() OVER (PARTITION BY a.conv_id ORDER BY a.turn, abs(t.turn - a.turn), t.turn) AS k FROM a JOIN t ON t.conv_id = a.conv_id AND abs(t.turn - a.turn) <= 1),
+s AS (SELECT conv_id, k, turn, size, TRUE AS took, size AS used FROM f WHERE k = 1
+  UNION ALL SELECT f.conv_id, f.k, f.turn, f.size, s.used + f.size <= 2000, CASE WHEN s.used + f.size <= 2000 THEN s.used + f.size ELSE s.used END FROM s JOIN f ON f.conv_id = s.conv_id AND f.k = s.k + 1)
+SELECT conv_id, turn, size FROM s WHERE took""",
+    "query_aware_neighbors": f"""WITH t AS (SELECT conv_id, turn, role, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_./+-]{{2,}}')) AS w FROM conversations), a AS (SELECT conv_id, turn AS anchor FROM t WHERE role = 'user'),
+f AS (SELECT a.conv_id, anchor, t.turn, abs(t.turn - anchor) AS d, len(list_intersect(w, {QUESTIONS[1]})) / 3.0e0 AS o FROM a JOIN t ON t.conv_id = a.conv_id AND abs(t.turn - anchor) <= 2),
+g AS (SELECT conv_id, anchor, turn, CASE WHEN d = 0 THEN 'anchor' ELSE 'neighbor' END AS role, CASE WHEN d = 0 THEN 1e9 ELSE o + 0.03e0 / d END AS score FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, anchor, role ORDER BY score DESC, turn) AS n FROM g WHERE score >= 0.02e0)
+SELECT conv_id, anchor, turn, role, round(score, 6) AS score FROM r WHERE role = 'anchor' OR n <= 2""",
+    "markdown_paths": "SELECT unnest(['Top', 'Top > Part', 'Top > Part > Deep', 'Top > Next']) AS path, count(DISTINCT doc_id) AS n FROM documents WHERE text IS NOT NULL",
     "dense_topk": _DENSE_TOP.format(scope=""),
     "dense_scope_filtered": _DENSE_TOP.format(scope="AND v.label = 1"),
     "ann_recall": f"SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_neighbours, TRUE AS reached FROM ({_DENSE_TOP.format(scope='')}) z",

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import assembly, fulltext, graphs, hybrid, linkage, packing, research, state
+from tessera.plans import assembly, fulltext, graphs, hybrid, linkage, packing, policies, research, state
 from tessera.plans.relational import SQL, TABLES
 from tessera.sources.tables import table
 
@@ -28,13 +28,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: _sql_query(text if isinstance(text, str) else text[0]) for name, text in SQL.items()}
-    for family in (hybrid, fulltext, linkage, graphs, packing, research, assembly, state):
+    for family in (hybrid, fulltext, linkage, graphs, packing, research, assembly, state, policies):
         found |= family.QUERIES
     return found
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: text if isinstance(text, str) else text[1] for name, text in SQL.items()}
-    for family in (hybrid, fulltext, linkage, graphs, packing, research, assembly, state):
+    for family in (hybrid, fulltext, linkage, graphs, packing, research, assembly, state, policies):
         found |= family.ORACLES
     return found
