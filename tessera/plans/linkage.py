@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import linkage as L, ordering, tables as M
 from tessera.session import shared_folder
 from tessera.sources.tables import table
-from tessera.streaming import events as S
+from tessera.streaming import events as S, state as ST
 
 
 def record_merge(spark, sf_dir):
@@ -105,13 +105,20 @@ def stream_sessions(spark, sf_dir):
     return S.replay(S.sessions(stream, "ts", "user_id", "30 minutes").select("user_id", "n"), folder, "complete").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
 
 
-def stream_dedup(spark, sf_dir):
+def stream_sliding(spark, sf_dir):
     stream, folder = _stream(spark, sf_dir)
-    twice = stream.unionByName(stream)
-    return S.replay(S.deduplicated(twice, "ts", ["event_id"], "60 days").select("event_id", "event_type"), folder)
+    return S.replay(S.windowed(stream, "ts", [], "7 days", "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n"), folder, "complete")
+
+
+def stream_dedup(spark, sf_dir):
+    """Events whose first half is delivered again with the second, the stream started anew in between."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, second = ST.slices(events, "ts", 2)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return ST.fed([first, first.union(second)], folder, lambda s: S.deduplicated(s, "ts", ["event_id"], "60 days").select("event_id", "event_type"))
 
 
-QUERIES = {f.__name__: f for f in (record_merge, round_robin_interleave, stale_index, priority_links, upsert_ignore, upsert_overwrite, table_rows, table_type_inference, chart_choice, table_originals, html_sections, stream_tumbling, stream_sessions, stream_dedup)}
+QUERIES = {f.__name__: f for f in (record_merge, round_robin_interleave, stale_index, priority_links, upsert_ignore, upsert_overwrite, table_rows, table_type_inference, chart_choice, table_originals, html_sections, stream_tumbling, stream_sliding, stream_sessions, stream_dedup)}
 
 ORACLES = {
     "record_merge": """SELECT k, min(doc_id) AS first_seen, count(*) AS n_records, max(length(text)) AS longest, arg_min(lang, doc_id) AS lang, bool_or(n_chars > 2000) AS is_long, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM (SELECT *, md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS k FROM documents) t GROUP BY k""",
@@ -128,6 +135,7 @@ ORACLES = {
   SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is){"|".join(HIDDEN)}', ' ', 'g'), '{HEADING}') AS h FROM pages) p) q""",
     "table_originals": "SELECT DISTINCT l_suppkey, l_suppkey AS first_suppkey, FALSE AS repeated FROM lineitem UNION ALL SELECT DISTINCT l_suppkey + 1000000, l_suppkey, TRUE FROM lineitem WHERE l_suppkey % 5 = 0",
     "stream_tumbling": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "stream_sliding": "SELECT strftime(date_trunc('day', ts) - k * INTERVAL 1 DAY, '%Y-%m-%d') AS day, count(*) AS n FROM events, range(7) r(k) GROUP BY 1",
     "stream_sessions": "SELECT user_id, CAST(sum(new) AS BIGINT) AS sessions, count(*) AS n FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events) a GROUP BY user_id",
     "stream_dedup": "SELECT event_id, event_type FROM events",
 }

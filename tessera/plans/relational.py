@@ -74,11 +74,13 @@ SELECT p_partkey, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_references FROM part
   SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1
   UNION ALL SELECT l_partkey, count(*) FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1
   UNION ALL SELECT l_partkey, count(*) FROM lineitem WHERE l_quantity > 45 GROUP BY 1) u ON p_partkey = k GROUP BY p_partkey"""
-SQL["orphans_anti"] = "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
+SQL["orphans_anti"] = "SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = doc_id)"
 SQL["stale_or_missing_embeddings"] = """
 SELECT doc_id, CASE WHEN vec_id IS NULL THEN 'missing' ELSE 'stale' END AS state FROM documents LEFT JOIN embeddings ON doc_id = vec_id WHERE vec_id IS NULL OR label <> n_chars % 10"""
 SQL["watermark_greatest"] = """
-SELECT c_custkey, greatest(max(o_orderdate), max(l_shipdate)) AS newest FROM customer LEFT JOIN orders ON c_custkey = o_custkey LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY c_custkey"""
+WITH l AS (SELECT l_orderkey, max(l_shipdate) AS shipped FROM lineitem GROUP BY l_orderkey),
+o AS (SELECT o_custkey, max(o_orderdate) AS ordered, max(shipped) AS shipped FROM orders LEFT JOIN l ON o_orderkey = l_orderkey GROUP BY o_custkey)
+SELECT c_custkey, greatest(ordered, shipped) AS newest FROM customer LEFT JOIN o ON c_custkey = o_custkey"""
 SQL["insert_ignore_upsert"] = """
 SELECT c_custkey, c_name, 'old' AS origin FROM customer WHERE c_custkey % 3 <> 0
 UNION ALL SELECT c_custkey, concat(c_name, '*'), 'new' FROM customer n WHERE c_custkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM customer o WHERE o.c_custkey % 3 <> 0 AND o.c_custkey = n.c_custkey)"""
