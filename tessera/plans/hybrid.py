@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import index, memory, retrieval as R, vectors
+from tessera.operators import index, memory, retrieval as R, routing, vectors
 from tessera.operators.chunking import chunk, markdown_sections, select_context
 from tessera.sources.tables import table
 
@@ -223,17 +223,32 @@ def uuid5_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.uuid5("6ba7b811-9dad-11d1-80b4-00c04fd430c8", F.col("doc_id").cast("string")).alias("uuid"))
 
 
-def question_router(spark, sf_dir):
-    from tessera.operators.routing import routed
+#: What is put behind users' turns, by number, so that each kind of question comes up.
+ENDINGS = ["", "latest systematic review", "the past 5 years", "in patients versus others", "compared with B; and the outcome of it", "mechanism and pathway", "sample size", "方法学 流程", "why and how does it differ"]
+
 
+def _users_questions(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
-    return routed(turns, "text").select("conv_id", "turn", "question_type", F.round("confidence", 2).alias("confidence"))
+    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.pmod(F.length("text") + F.col("turn"), F.lit(len(ENDINGS))) + 1).cast("int"))
+    return turns.withColumn("text", F.concat_ws(" ", "text", ending))
+
+
+def question_router(spark, sf_dir):
+    """Users' turns as questions: type, confidence, reasons and strategy."""
+    out = routing.routed(_users_questions(spark, sf_dir), "text")
+    return out.select("conv_id", "turn", "question_type", F.round("confidence", 2).alias("confidence"), F.array_join("reasons", ",").alias("reasons"), "strategy")
+
+
+def question_parts(spark, sf_dir):
+    """Their sub-queries: how many of each focus."""
+    out = routing.subqueries(routing.routed(_users_questions(spark, sf_dir), "text"), "text")
+    return out.where("focus <> 'clause'").groupBy("question_type", "focus").agg(F.count("*").alias("n"), F.sum(F.length("query")).alias("characters"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (bm25_topk, weighted_rrf, plain_rrf, rerank_blend, journal_prior, diverse_anchors, context_neighbors, context_budget, query_aware_neighbors, dense_topk, dense_scope_filtered, ann_topk, ann_recall, ir_metrics, fact_conflicts, memory_hybrid_score, memory_mmr, chunk_documents, markdown_paths, markdown_context,
-              term_sets, language_tags, text_normalised, inverted_index_to_text, evidence_tokens, uuid5_ids, question_router)
+              term_sets, language_tags, text_normalised, inverted_index_to_text, evidence_tokens, uuid5_ids, question_router, question_parts)
 }
 
 _IPAD, _OPAD = (bytes(b ^ p for b in b"example".ljust(64, b"\0")).hex() for p in (0x36, 0x5C))
@@ -289,15 +304,32 @@ SELECT conv_id, anchor, turn, role, round(score, 6) AS score FROM r WHERE role =
 
 
 def _router_sql() -> str:
-    from tessera.operators.routing import FAMILIES
-
-    hit = {n: f"regexp_matches(text, '{p}')" for n, p in FAMILIES.items()}
-    n = " + ".join(f"CAST({h} AS INT)" for h in hit.values())
-    return f"SELECT conv_id, turn, CASE {' '.join(f'WHEN {h} THEN {n!r}' for n, h in hit.items())} ELSE 'factual' END AS question_type, round(CASE WHEN {n} = 0 THEN 0.72e0 ELSE least(0.97e0, 0.72e0 + 0.08e0 * ({n})) END, 2) AS confidence FROM conversations WHERE role = 'user'"
+    """The kinds from whole words and parts; what is put behind the turns is the same."""
+    hit = {}
+    for kind, (reason, words, parts) in routing.MARKERS.items():
+        tests = ["regexp_matches(q, '\\b(" + "|".join(words) + ")\\b')", *[f"contains(q, '{p}')" for p in parts]]
+        hit[kind] = "(" + " OR ".join(tests + [f"regexp_matches(q, '{y}')" for y in (routing.YEARS if kind == "latest_progress" else [])]) + ")"
+    n = " + ".join(f"CAST({k}_hit AS INT)" for k in hit)
+    reasons = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {k}_hit THEN '{routing.MARKERS[k][0]}' END" for k in hit) + "], lambda x: x IS NOT NULL), ',')"
+    deep, parts = (", ".join(f"'{k}'" for k in kinds) for kinds in (routing.DEEP, routing.IN_PARTS))
+    return f"""WITH u AS (SELECT conv_id, turn, trim(regexp_replace(text || CASE WHEN e = '' THEN ' ' ELSE ' ' || e END, '\\s+', ' ', 'g')) AS question FROM (SELECT *, {ENDINGS}[(length(text) + turn) % {len(ENDINGS)} + 1] AS e FROM conversations WHERE role = 'user') c),
+h AS (SELECT *, {", ".join(f"{x} AS {k}_hit" for k, x in hit.items())} FROM (SELECT *, lower(question) AS q FROM u) l),
+k AS (SELECT *, {n} AS n, CASE {" ".join(f"WHEN {k}_hit THEN '{k}'" for k in hit)} ELSE 'general' END AS question_type FROM h),
+r AS (SELECT conv_id, turn, question, question_type, round(CASE WHEN n = 0 THEN 0.55e0 ELSE least(0.97e0, 0.72e0 + 0.08e0 * n) END, 2) AS confidence, CASE WHEN n = 0 THEN 'no_specialized_marker' ELSE {reasons} END AS reasons,
+  CASE WHEN question_type IN ({deep}) THEN 'deep_research' WHEN question_type IN ({parts}) OR (question_type = 'mechanism' AND (comparison_hit OR length(question) > 180)) THEN 'decomposition' ELSE 'direct' END AS strategy FROM k)"""
+
+
+def _parts_sql() -> str:
+    rows = ", ".join(f"('{k}', {i + 2}, '{f}', ' {w}')" for k, parts in routing.ASPECTS.items() for i, (f, w) in enumerate(parts.items()))
+    return _router_sql() + f""", a(kind, place, focus, words) AS (VALUES {rows})
+SELECT question_type, focus, count(*) AS n, CAST(sum(length(query)) AS BIGINT) AS characters FROM (
+  SELECT question_type, 'original' AS focus, question AS query FROM r WHERE strategy = 'direct' UNION ALL SELECT question_type, 'core', question FROM r WHERE strategy <> 'direct'
+  UNION ALL SELECT question_type, focus, question || words FROM r JOIN a ON kind = question_type WHERE strategy <> 'direct' AND place <= 4) z GROUP BY 1, 2"""
 
 
 ORACLES |= {
-    "question_router": _router_sql(),
+    "question_router": _router_sql() + " SELECT conv_id, turn, question_type, confidence, reasons, strategy FROM r",
+    "question_parts": _parts_sql(),
     "uuid5_ids": """SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab89ab89ab89ab'[strpos('0123456789abcdef', h[17:17])] || h[18:20] || '-' || h[21:32] AS uuid FROM (SELECT doc_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(CAST(doc_id AS VARCHAR))) AS h FROM documents) t""",
     "evidence_tokens": f"""SELECT doc_id, 'ev1.w1.' || doc_id || '.' || rtrim(translate(to_base64(from_hex(substr(h, 1, 32))), '+/', '-_'), '=') AS token FROM (
   SELECT doc_id, sha256(from_hex('{_OPAD}') || from_hex(sha256(from_hex('{_IPAD}') || encode('w1:' || doc_id)))) AS h FROM documents) t""",

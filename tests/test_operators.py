@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import chunking, communities, graph, linkage, memory, ordering, retrieval as R, tables
-from tessera.operators.routing import merged, routed
+from tessera.operators.routing import followups, merged, routed, subqueries
 from tessera.streaming import events as S
 
 
@@ -213,8 +213,21 @@ def test_tables(spark):
 
 
 def test_router_and_merge(spark):
-    df = spark.createDataFrame([(1, "Why does A conflict with B?"), (2, "Compare A versus B"), (3, "hello")], "id int, q string")
-    assert rows(routed(df, "q").select("id", "question_type")) == [(1, "conflict"), (2, "comparison"), (3, "factual")]
+    asked = ["Why does A conflict with B?", "Compare A versus B in patients", "hello", "Latest systematic review of X", "How does X work versus Y; and the pathway of Z in cells", "方法学 流程", "progress of the past 7 years", None, "10.1/x"]
+    df = spark.createDataFrame([(i, q, i == 8) for i, q in enumerate(asked)], "id int, q string, known boolean")
+    got = {r["id"]: r for r in routed(df, "q", "known").collect()}
+    assert [got[i]["question_type"] for i in range(9)] == ["mechanism", "pico", "general", "systematic_review", "comparison", "methodology", "latest_progress", "general", "identifier"]
+    assert [got[i]["strategy"] for i in range(9)] == ["direct", "decomposition", "direct", "deep_research", "decomposition", "direct", "deep_research", "direct", "direct"]
+    assert [round(got[i]["confidence"], 2) for i in (0, 1, 2, 3, 8)] == [0.8, 0.88, 0.55, 0.88, 1.0] and got[1]["reasons"] == ["clinical_pico_marker", "comparison_marker"]
+    parts = {}
+    for r in subqueries(routed(df, "q", "known"), "q", most=6).orderBy("id", "place").collect():
+        parts.setdefault(r["id"], []).append((r["focus"], r["query"]))
+    assert parts[0] == [("original", asked[0])] and parts[7] == [("original", "")]
+    assert [f for f, _ in parts[1]] == ["core", "population_intervention", "comparator_outcomes", "study_design", "clause", "clause"] and parts[1][-2:] == [("clause", "Compare A"), ("clause", "B in patients")]
+    assert parts[4][1:] == [("comparative_effectiveness", asked[4] + " comparative effectiveness"), ("comparative_safety", asked[4] + " safety adverse events"), ("clause", "How does X work"), ("clause", "and the pathway of Z in cells")]
+    assert max(len(p) for p in parts.values()) <= 6 and subqueries(routed(df, "q", "known"), "q", most=1).count() == 9
+    f = spark.sql("SELECT 'q' q, array(' a  gap ', 'xx', 'A GAP', 'other gap', 'third gap') g, array('q  evidence gap other gap') e").select(followups(F.col("q"), F.col("g"), F.col("e"))).first()[0]
+    assert f == ["q evidence gap a gap", "q evidence gap third gap"]
     hits = spark.createDataFrame([(1, 1, "a", 0.5), (1, 2, "a", 0.7), (1, 1, "b", 0.9)], "query_id int, sub int, item string, score double")
     assert [(r["item"], r["hits"], r["score"]) for r in merged(hits, "item", 1).orderBy("rank").collect()] == [("a", 2, 0.7), ("b", 1, 0.9)]
 
