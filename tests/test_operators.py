@@ -244,3 +244,25 @@ def test_late_events_are_dropped_and_doubles_too(spark, tmp_path):
     seen = []
     S.incremental(stream, lambda df, _: seen.append(df.count()), str(tmp_path / "c3"))
     assert sum(seen) == 6
+
+
+def test_similar_pairs_over_blocks_of_all_sizes(spark, monkeypatch):
+    import random
+
+    for name, value in (("BLOCK_TOKENS", 600), ("STEP", 300), ("RANKED", 40)):
+        monkeypatch.setattr(memory, name, value)
+    r, sets = random.Random(8), {}
+    for i in range(0, 160, 2):
+        s = set(r.choices(range(400), k=r.choice([1, 2, 4, 9, 30, 120, 300])))
+        # another with some tokens changed, taken away or added
+        t = set(r.sample(sorted(s), max(1, round(len(s) * r.uniform(0.5, 1))))) | set(r.choices(range(400), k=r.randrange(0, 1 + len(s) // 2)))
+        sets |= {i: s, i + 1: t}
+    sets |= {500: {1, 2, 3}, 501: {3, 2, 1}, 502: set(range(55)), 503: set(range(100)), 504: set()}  # 55 of 100 is just enough
+    df = spark.createDataFrame([(i, [f"w{x}" for x in sorted(s)]) for i, s in sets.items()], "id long, t array<string>").repartition(3)
+    first = {}
+    for i, s in sorted(sets.items()):
+        first.setdefault(frozenset(s), i)
+    want = {(min(a, b), max(a, b)) for sa, a in first.items() for sb, b in first.items() if a != b and len(sa & sb) / len(sa | sb) >= 0.55}
+    want |= {(first[frozenset(s)], i) for i, s in sets.items() if first[frozenset(s)] != i}
+    got = [(x["a"], x["b"]) for x in memory.similar_pairs(df, "id", "t", 0.55).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (502, 503) in want and len(want) > 20
