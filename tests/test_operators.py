@@ -266,3 +266,19 @@ def test_similar_pairs_over_blocks_of_all_sizes(spark, monkeypatch):
     want |= {(first[frozenset(s)], i) for i, s in sets.items() if first[frozenset(s)] != i}
     got = [(x["a"], x["b"]) for x in memory.similar_pairs(df, "id", "t", 0.55).collect()]
     assert len(got) == len(set(got)) and set(got) == want and (502, 503) in want and len(want) > 20
+
+
+def test_fanned_out_takes_the_first_parents_that_have_chunks(spark):
+    import random
+
+    r = random.Random(4)
+    scores = [(q, p, float(r.randrange(4))) for q in (1, 2) for p in range(60) if r.random() < 0.8]
+    chunks = [(p, r.randrange(300)) for p in range(0, 60, 3) for _ in range(5)]
+    got = R.fanned_out(spark.createDataFrame(scores, "query_id int, p long, score double"), spark.createDataFrame(chunks, "p long, c long"), "p", "c", 12)
+    want = []
+    for q in (1, 2):
+        places = sorted((-s, p, c) for k, p, s in scores if k == q for p2, c in chunks if p2 == p)[:12]
+        once = list({c: (q, c, -s) for s, _, c in reversed(places)}.values())[::-1]
+        first = {c: i for i, (_, _, c) in reversed(list(enumerate(places)))}
+        want += [(*row, n) for n, row in enumerate(sorted(once, key=lambda x: first[x[1]]), 1)]
+    assert sorted((x["query_id"], x["c"], x["score"], x["rank"]) for x in got.collect()) == sorted(want)
