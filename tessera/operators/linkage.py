@@ -51,8 +51,12 @@ def stale_or_missing(items: DataFrame, index: DataFrame, key: str, digest: str)
 
 
 def priority_link(rows: DataFrame, targets: DataFrame, keys: list[str], row_id: str, target_id: str) -> DataFrame:
-    """(row_id, target_id, matched_on): each row's target by the first key that finds one, an equi-join a key."""
-    found = union_all([rows.where(F.col(k).isNotNull()).select(row_id, k).join(targets.where(F.col(k).isNotNull()).select(target_id, k), k).select(row_id, target_id, F.lit(k).alias("matched_on"), F.lit(i).alias("p")) for i, k in enumerate(keys)])
+    """(row_id, target_id, matched_on): each row's target by the first key that finds one, an equi-join a key.
+
+    Of a key's targets only the smallest meets the rows, so that a row has a match a key at most.
+    """
+    least = lambda k: targets.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(target_id).alias(target_id))
+    found = union_all([rows.where(F.col(k).isNotNull()).select(row_id, k).join(least(k), k).select(row_id, target_id, F.lit(k).alias("matched_on"), F.lit(i).alias("p")) for i, k in enumerate(keys)])
     best = found.groupBy(row_id).agg(F.min(F.struct("p", target_id, "matched_on")).alias("b"))
     return best.select(row_id, F.col(f"b.{target_id}").alias(target_id), F.col("b.matched_on").alias("matched_on"))
 
