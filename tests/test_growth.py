@@ -1,6 +1,6 @@
 """That what steps write and deal out doesn't grow faster than their tables."""
 
-from tessera.operators import communities as C, linkage as L
+from tessera.operators import communities as C, index, linkage as L
 
 
 def test_a_turn_writes_a_row_a_vertex(spark, monkeypatch):
@@ -20,3 +20,12 @@ def test_rows_meet_one_target_a_key(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 8, "a"), (2, 6, "b")]
     # the targets of each key are reduced before they are joined, the matches after it
     assert str(out._jdf.queryExecution().optimizedPlan()).count("Aggregate [") == 3
+
+
+def test_questions_scores_are_added_up_where_the_blocks_are(spark):
+    docs = spark.createDataFrame([(i, "red ring " * (i % 3 + 1)) for i in range(40)], "id bigint, text string")
+    built = index.build(docs, "id", "text", "english")
+    asked = index.asked_terms(built, spark.createDataFrame([(1, "rings"), (2, "red")], "query_id int, text string"))
+    plan = str(index.scores(built, asked)._jdf.queryExecution().executedPlan())
+    assert "hashpartitioning(block" in plan and "hashpartitioning(query_id" not in plan
+    assert index.scores(built, asked).count() == 80
