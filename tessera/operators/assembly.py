@@ -68,7 +68,8 @@ def payload_facts(answers: DataFrame, key: str, payload: str, most: int = 80) ->
     """(key, place, category, statement, field_path, evidence_ids, confidence, importance): facts of each answer's JSON payload.
 
     The same statement of a category, in lower case, counts once, where it
-    comes first; ``most`` facts an answer. Unreadable payloads have none.
+    comes first; ``most`` facts an answer. Unreadable payloads have none. Each
+    row is an answer of its own, whose facts are found in the row.
     """
     parts: dict[str, dict[str, str]] = {}
     for part, field, category, many in FACT_FIELDS:
@@ -101,11 +102,13 @@ def payload_facts(answers: DataFrame, key: str, payload: str, most: int = 80) ->
     stated = F.filter(stated, lambda e: e["v"].isNotNull() & ~e["v"].isin("null", '""', "[]"))
     found.append(F.coalesce(F.transform(stated, lambda e: fact("user_preference", F.concat(e["k"], F.lit(": "), e["v"]), F.concat(F.lit("preference_profile."), e["k"]))), F.array()))
 
-    rows = parsed.select(key, F.posexplode(F.filter(F.concat(*found), lambda f: f["statement"] != "")).alias("_at", "_f"))
-    once = rows.groupBy(key, F.col("_f.category").alias("category"), F.lower("_f.statement").alias("_low")).agg(F.min(F.struct("_at", "_f")).alias("_m"))
-    placed = once.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("_m._at"))).where(F.col("place") <= most)
+    listed = parsed.select(key, F.filter(F.concat(*found), lambda f: f["statement"] != "").alias("_all"))
+    # no category has a character 0
+    low = listed.withColumn("_low", F.transform("_all", lambda f: F.concat(f["category"], F.lit("\0"), F.lower(f["statement"]))))
+    first = low.select(key, "_all", "_low", F.posexplode(F.slice(F.array_distinct("_low"), 1, most)).alias("_at", "_one"))
+    placed = first.select(key, (F.col("_at") + 1).alias("place"), F.element_at("_all", F.array_position("_low", F.col("_one")).cast("int")).alias("_f")).select(key, "place", "_f.*")
     table = lambda at: F.create_map(*[F.lit(x) for c, v in CATEGORIES.items() for x in (c, v[at])])[F.col("category")]
-    return placed.select(key, "place", "category", "_m._f.statement", "_m._f.field_path", "_m._f.evidence_ids", table(0).alias("confidence"), table(1).alias("importance"))
+    return placed.select(key, "place", "category", "statement", "field_path", "evidence_ids", table(0).alias("confidence"), table(1).alias("importance"))
 
 
 def session_summaries(facts: DataFrame, sessions: DataFrame, key: str, each: int = 8) -> DataFrame:
@@ -116,13 +119,13 @@ def session_summaries(facts: DataFrame, sessions: DataFrame, key: str, each: int
     order = F.create_map(*[F.lit(x) for i, c in enumerate(HEADINGS) for x in (c, i)])
     names = F.create_map(*[F.lit(x) for c, h in HEADINGS.items() for x in (c, h)])
     nth = F.row_number().over(Window.partitionBy(key, "category").orderBy("place"))
-    counts = facts.groupBy(key).agg(F.count("*").alias("fact_count"))
-    shown = facts.withColumn("_n", nth).where((F.col("_n") <= each) & F.col("category").isin(list(HEADINGS)))
+    shown = (F.col("_n") <= each) & F.col("category").isin(list(HEADINGS))
     line = F.concat(F.when(F.col("_n") == 1, F.concat(F.lit("\n## "), names[F.col("category")], F.lit("\n"))).otherwise(""), F.lit("- "), F.col("statement"))
-    body = shown.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order[F.col("category")].alias("o"), F.col("_n").alias("n"), line.alias("line")))).alias("_lines"))
+    lines = F.collect_list(F.when(shown, F.struct(order[F.col("category")].alias("o"), F.col("_n").alias("n"), line.alias("line"))))
+    body = facts.withColumn("_n", nth).groupBy(key).agg(F.sort_array(lines).alias("_lines"), F.count("*").alias("fact_count"))
     head = F.concat(F.lit("# "), F.col("title"), F.lit("\n\n截至第 "), F.col("turn_number").cast("string"), F.lit(" 轮的确定性摘要。"))
     text = F.concat_ws("\n", head, F.transform("_lines", lambda x: x["line"]))
-    return sessions.join(body, key, "left").join(counts, key, "left").select(key, text.alias("summary"), F.coalesce("fact_count", F.lit(0)).alias("fact_count"))
+    return sessions.join(body, key, "left").select(key, text.alias("summary"), F.coalesce("fact_count", F.lit(0)).alias("fact_count"))
 
 
 def context_packs(summaries: DataFrame, facts: DataFrame, recalled: DataFrame, key: str, most_facts: int = 20, most_recalled: int = 8) -> DataFrame:

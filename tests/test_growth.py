@@ -1,6 +1,10 @@
 """That what steps write and deal out doesn't grow faster than their tables."""
 
-from tessera.operators import communities as C, index, linkage as L
+from pyspark.sql import functions as F
+
+from tessera.functions import extraction as X
+from tessera.operators import assembly as A, communities as C, graph as G, index, linkage as L
+from tessera.plans import hybrid
 
 
 def test_a_turn_writes_a_row_a_vertex(spark, monkeypatch):
@@ -29,3 +33,40 @@ def test_questions_scores_are_added_up_where_the_blocks_are(spark):
     plan = str(index.scores(built, asked)._jdf.queryExecution().executedPlan())
     assert "hashpartitioning(block" in plan and "hashpartitioning(query_id" not in plan
     assert index.scores(built, asked).count() == 80
+
+
+def plan_of(df):
+    return str(df._jdf.queryExecution().executedPlan())
+
+
+def test_facts_are_found_in_their_row(spark):
+    answers = spark.createDataFrame([(1, '{"question_agent": {"hypothesis": " a  B ", "predictions": ["x", "X", "y"]}}'), (2, "no")], "k int, p string")
+    facts = A.payload_facts(answers, "k", "p")
+    assert "Exchange" not in plan_of(facts)
+    assert sorted(map(tuple, facts.select("place", "category", "statement").collect())) == [(1, "hypothesis", "a B"), (2, "prediction", "x"), (3, "prediction", "y")]
+    sessions = spark.createDataFrame([(1, "t", 3), (2, "u", 4)], "k int, title string, turn_number int")
+    out = A.session_summaries(facts, sessions, "k")
+    assert plan_of(out).count("Generate posexplode") == 1  # the facts are looked at once
+    assert [tuple(r) for r in out.select("k", "fact_count").orderBy("k").collect()] == [(1, 3), (2, 0)]
+
+
+def test_keywords_are_worked_out_once(spark):
+    rows = spark.createDataFrame([("Intro\nKeywords: Red Ring; red ring; phages\n\n",)], "t string").select(X.extracted_keywords(F.col("t")).alias("k"))
+    assert str(rows._jdf.queryExecution().optimizedPlan()).count("aggregate(split(") == 1
+    assert rows.first()["k"] == ["Red Ring", "phages", "Bacteriophages"]
+
+
+def test_words_are_gathered_where_their_text_is(spark):
+    plan = plan_of(hybrid.inverted_index_to_text(spark, "/root/testdata/sf0.001"))
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(doc_id#" in plan and plan.count("Exchange") == 1
+
+
+def test_a_small_front_is_sent_to_the_edges(spark, monkeypatch):
+    sizes = []
+    plain = G.written
+    monkeypatch.setattr(G, "written", lambda rows: sizes.append((rows.columns, (out := plain(rows)).count())) or out)
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "src bigint, dst bigint, weight double")
+    ends = spark.createDataFrame([(0,), (4,)], "id bigint")
+    found = G.shortest_paths(edges, ends, ends)
+    assert found.where("source = 0 and id = 4").first()["path"] == [0, 1, 2, 3, 4]
+    assert [n for names, n in sizes if "new" in names][0] == 2  # the first front, a table of its own
