@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import extraction as X
-from tessera.operators import assembly as A, communities as C, index, linkage as L
+from tessera.operators import assembly as A, communities as C, index, linkage as L, pipeline
 from tessera.plans import hybrid
 
 
@@ -59,3 +59,17 @@ def test_keywords_are_worked_out_once(spark):
 def test_words_are_gathered_where_their_text_is(spark):
     plan = plan_of(hybrid.inverted_index_to_text(spark, "/root/testdata/sf0.001"))
     assert "hashpartitioning(doc_id" in plan and "hashpartitioning(doc_id#" in plan and plan.count("Exchange") == 1
+
+
+def test_only_candidates_are_reranked(spark, monkeypatch):
+    tables = []
+    plain = pipeline.written
+    monkeypatch.setattr(pipeline, "written", lambda rows: tables.append((out := plain(rows)).count()) or out)
+    asked = spark.createDataFrame([(1, "q", None)], "query_id bigint, text string, identifier bigint")
+    items = spark.range(50).select("id", F.lit("g").alias("group"), F.col("id").cast("string").alias("content"), F.lit(0.0).alias("importance"), F.lit(False).alias("excluded"))
+    route = lambda q: q.crossJoin(items.where("id < 3")).select("query_id", "id", F.col("id").cast("double").alias("score"))
+    rerank = lambda q: q.crossJoin(items).select("query_id", "id", (-F.col("id")).cast("double").alias("score"))
+    none = lambda q: q.select("query_id", F.col("identifier").alias("id"), F.lit(1.0).alias("score"))
+    found = pipeline.retrieve(asked, items, "id", {"r": route}, {}, none, pipeline.Settings({"r": 1.0}), reranker=rerank)
+    assert sorted(r["id"] for r in found.anchors.collect()) == [0, 1, 2]
+    assert tables == [3]
