@@ -49,10 +49,14 @@ def version_changes(versions: DataFrame, key: str, parent: str, items: str) -> D
 
 
 def edges_at(edges: DataFrame, nodes: DataFrame, limit: int, order: list[str]) -> DataFrame:
-    """Up to ``limit`` (1 to 500) edges at each of nodes(id), from either end, in order."""
-    hit = edges.join(nodes, F.col("src") == F.col("id")).unionByName(edges.join(nodes, (F.col("dst") == F.col("id")) & (F.col("src") != F.col("dst"))))
-    by = Window.partitionBy("id").orderBy(*order)
-    return hit.withColumn("place", F.row_number().over(by)).where(F.col("place") <= max(1, min(limit, 500)))
+    """Up to ``limit`` (1 to 500) edges at each of nodes(id), from either end, in order; ties go by the other columns, and an edge that repeats counts once.
+
+    Each task first cuts its own edges to the limit; repeats and other nodes are left out of what remains.
+    """
+    ends = edges.withColumn("id", F.explode(F.array_distinct(F.array("src", "dst"))))
+    by = Window.partitionBy("id").orderBy(*order, *[c for c in edges.columns if c not in order])
+    near = ends.withColumn("place", F.dense_rank().over(by)).where(F.col("place") <= max(1, min(limit, 500)))
+    return near.distinct().join(nodes, "id", "left_semi")
 
 
 def top_of_groups(rows: DataFrame, group: str, score: str, key: str, n: int) -> DataFrame:

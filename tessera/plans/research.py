@@ -125,7 +125,7 @@ def plan_changes(spark, sf_dir):
 
 
 def node_edges(spark, sf_dir):
-    edges = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
+    edges = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
     nodes = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2).alias("id")).union(table(spark, sf_dir, "part").select(F.col("p_partkey") * 2 + 1))
     return W.edges_at(edges, nodes, 5, ["src", "dst"]).select("id", "src", "dst", F.col("place").cast("bigint").alias("place"))
 

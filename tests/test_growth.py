@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import extraction as X
-from tessera.operators import assembly as A, communities as C, index, linkage as L, pipeline
+from tessera.operators import assembly as A, communities as C, index, linkage as L, pipeline, workflow as W
 from tessera.plans import hybrid
 
 
@@ -73,3 +73,11 @@ def test_only_candidates_are_reranked(spark, monkeypatch):
     found = pipeline.retrieve(asked, items, "id", {"r": route}, {}, none, pipeline.Settings({"r": 1.0}), reranker=rerank)
     assert sorted(r["id"] for r in found.anchors.collect()) == [0, 1, 2]
     assert tables == [3]
+
+
+def test_a_nodes_edges_are_cut_before_they_are_dealt_out(spark):
+    rows = [(1, 3), (1, 3), (1, 2), (2, 2), (2, 1), (1, 4), (4, 3)]
+    out = W.edges_at(spark.createDataFrame(rows, "src bigint, dst bigint"), spark.createDataFrame([(1,), (2,)], "id bigint"), 3, ["src", "dst"])
+    assert sorted(tuple(r) for r in out.select("id", "place", "src", "dst").collect()) == [(1, 1, 1, 2), (1, 2, 1, 3), (1, 3, 1, 4), (2, 1, 1, 2), (2, 2, 2, 1), (2, 3, 2, 2)]
+    plan = plan_of(out)
+    assert plan.count("WindowGroupLimit") == 2 and plan.index("hashpartitioning(id") < plan.rindex("Partial")
