@@ -254,22 +254,30 @@ ABLATIONS = {
 RERANKED = ["G6_full_with_reranker"]
 
 
-def ablations(routes: DataFrame, item: str, groups: dict[str, dict[str, float]] | None = None, reranks: DataFrame | None = None, share: float = 0.65, k: int = 60, keep: int | None = None) -> DataFrame:
+def ablations(routes: DataFrame, item: str, groups: dict[str, dict[str, float]] | None = None, reranks: DataFrame | None = None, share: float = 0.65, k: int = 60, keep: int | None = None, parts: int | None = None) -> DataFrame:
     """(config, query_id, item, score, rank): routes(query_id, route, item, rank) fused by the weights of each group, all groups in one pass.
 
     In the groups of RERANKED, reranks(query_id, item, relevance), from 0 to 1,
     are blended in by ``share`` with scores over the query's best. Routes
-    without a weight in a group take no part in it.
+    without a weight in a group take no part in it; of an item's relevances
+    the largest counts. Queries are dealt out to ``parts`` tasks; routes that
+    are dealt out so already stay where they are.
     """
     groups = ABLATIONS if groups is None else groups
-    rows = F.explode(F.array(*[F.struct(F.lit(g).alias("config"), F.lit(r).alias("route"), F.lit(float(w)).alias("weight")) for g, some in groups.items() for r, w in some.items()])).alias("w")
-    weights = routes.sparkSession.range(1).select(rows).select("w.*")
-    fused = routes.join(F.broadcast(weights), "route").groupBy("config", "query_id", item).agg(F.sum(F.col("weight") / (k + F.col("rank"))).alias("score"))
+    route = dict(routes.dtypes)["route"]
+    rows = routes.select("query_id", item, "route", "rank", F.lit(None).cast("double").alias("relevance"))
     if reranks is not None:
-        best = F.max("score").over(Window.partitionBy("config", "query_id"))
-        relative = F.col("score") / best
-        blended = F.when(F.col("config").isin(RERANKED) & F.col("relevance").isNotNull(), share * F.col("relevance") + (1 - share) * relative).otherwise(F.when(F.col("config").isin(RERANKED), (1 - share) * relative).otherwise(F.col("score")))
-        fused = fused.join(reranks.select("query_id", item, "relevance"), ["query_id", item], "left").withColumn("score", blended).drop("relevance")
+        rows = rows.union(reranks.select("query_id", item, F.lit(None).cast(route), F.lit(None).cast(dict(routes.dtypes)["rank"]), F.col("relevance").cast("double")))
+    # an item's scores in all groups are sums of one row, which is laid out by groups where it was summed
+    part = lambda some: F.sum(F.coalesce(*[F.when(F.col("route") == r, F.lit(float(w)) / (k + F.col("rank"))) for r, w in some.items()]))
+    summed = rows.groupBy("query_id", item).agg(F.max("relevance").alias("relevance"), *[part(some).alias(f"_g{i}") for i, some in enumerate(groups.values())])
+    dealt = summed.repartition(*([parts] if parts else []), "query_id")
+    each = F.array(*[F.struct(F.lit(g).alias("config"), F.col(f"_g{i}").alias("score")) for i, g in enumerate(groups)])
+    fused = dealt.select("query_id", item, "relevance", F.inline(each)).where("score IS NOT NULL")
+    if reranks is not None:
+        relative = F.col("score") / F.max("score").over(Window.partitionBy("config", "query_id"))
+        blended = F.coalesce(share * F.col("relevance"), F.lit(0.0)) + (1 - share) * relative
+        fused = fused.withColumn("score", F.when(F.col("config").isin(RERANKED), blended).otherwise(F.col("score")))
     rank = F.row_number().over(Window.partitionBy("config", "query_id").orderBy(F.desc(F.round("score", 12)), item))
     out = fused.select("config", "query_id", item, "score").withColumn("rank", rank)
     return out if keep is None else out.where(F.col("rank") <= keep)

@@ -81,3 +81,18 @@ def test_a_nodes_edges_are_cut_before_they_are_dealt_out(spark):
     assert sorted(tuple(r) for r in out.select("id", "place", "src", "dst").collect()) == [(1, 1, 1, 2), (1, 2, 1, 3), (1, 3, 1, 4), (2, 1, 1, 2), (2, 2, 2, 1), (2, 3, 2, 2)]
     plan = plan_of(out)
     assert plan.count("WindowGroupLimit") == 2 and plan.index("hashpartitioning(id") < plan.rindex("Partial")
+
+
+def test_an_items_groups_are_dealt_out_as_one_row(spark):
+    routes = spark.createDataFrame([(1, "dense_original", "a", 1), (1, "dense_original", "b", 2), (1, "mesh", "c", 1), (1, "fts_english", "b", 1)], "query_id int, route string, item string, rank int")
+    reranks = spark.createDataFrame([(1, "c", 0.9), (1, "z", 1.0)], "query_id int, item string, relevance double")
+    out = A.ablations(routes, "item", reranks=reranks, keep=2)
+    got = {(r["config"], r["rank"]): (r["item"], round(r["score"], 9)) for r in out.collect()}
+    assert got["G0_pure_dense", 1] == ("a", round(1 / 61, 9)) and got["G0_pure_dense", 2] == ("b", round(1 / 62, 9))
+    assert got["G1_pure_lexical", 1] == ("b", round(1 / 61, 9)) and ("G1_pure_lexical", 2) not in got
+    assert got["G4_with_mesh_expansion", 1] == ("b", round(1 / 62 + 1 / 61, 9))
+    best = 1 / 62 + 0.8 / 61
+    assert got["G6_full_with_reranker", 1] == ("c", round(0.65 * 0.9 + 0.35 * 0.7 / 61 / best, 9)) and got["G6_full_with_reranker", 2] == ("b", 0.35)
+    plan = plan_of(out)
+    # nothing is dealt out once the groups stand in rows of their own
+    assert plan.index("Generate inline") < plan.index("Exchange") and "hashpartitioning(config" not in plan
