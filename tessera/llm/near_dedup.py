@@ -11,7 +11,8 @@ most like the others, is paired with all that may link with it, then another
 for those that are left. Pairs are confirmed on full sets. Who isn't in the
 largest component of a bucket after that is paired with its likeliest partners
 of other components. Where some had more than these, they are paired with all
-that may link by a finer signature.
+that may link by a finer signature and, for sets of up to FULL shingles, by
+the halves of their hashes, which leave hardly a pair that doesn't link.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ BOTH = PERCENT * SMALL // 100
 MAY = 66
 #: Bins of the finer signature that is compared last, and how many agree at least: six standard deviations (11.2 measured) under 75 %.
 FINE, MAY_FINE = 512, 316
+#: Sets of up to so many shingles go whole into the last comparison, as halves of their hashes.
+FULL = 1024
 #: Bytes of a row's signature: one of each bin, then four of each key. A small set has a bitmap of as many bytes for the bins.
 PACKED = BINS + 4 * BANDS
 #: Partners that one outside the largest component is paired with first.
@@ -176,7 +179,7 @@ def profiles(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def full_sets(documents: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(id, hashes, fine): the full set of each wanted(id, f), from the document with that fingerprint, and its finer signature, a byte of each bin."""
+    """(id, hashes, fine, halves): the full set of each wanted(id, f), from the document with that fingerprint, its finer signature, a byte of each bin, and of sets of up to FULL shingles the upper halves of the hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
@@ -186,11 +189,14 @@ def full_sets(documents: DataFrame, key: str, text: str, wanted: DataFrame) -> D
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
             same = signed(sums[bounds[1:]] - sums[bounds[:-1]]) == batch.column("f").to_numpy()
             fine = rows_of_bytes(signatures(values, owner, batch.num_rows, FINE).astype(np.uint8))
-            out = pa.RecordBatch.from_arrays([batch.column("id"), lists(signed(values), bounds), fine], names=["id", "hashes", "fine"])
+            size = np.where(n <= FULL, n, 0)
+            upper = (values[np.repeat(n <= FULL, n)] >> np.uint64(32)).astype("<u4")
+            halves = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(np.concatenate([[0], 4 * np.cumsum(size)]).astype(np.int32)), pa.py_buffer(upper)])
+            out = pa.RecordBatch.from_arrays([batch.column("id"), lists(signed(values), bounds), fine, halves], names=["id", "hashes", "fine", "halves"])
             yield out.filter(pa.array(same))
 
     rows = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(wanted, "id")
-    return rows.select("id", "f", "t").mapInArrow(run, "id bigint, hashes array<bigint>, fine binary").dropDuplicates(["id"])
+    return rows.select("id", "f", "t").mapInArrow(run, "id bigint, hashes array<bigint>, fine binary, halves binary").dropDuplicates(["id"])
 
 
 def tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -208,7 +214,8 @@ def stars(phase: int):
     come back as (bucket, a). Phases 2 and 3 pair the members outside the
     largest component with members of other components, in the first bucket
     that they share: the FIRST likeliest, then all that may link by the finer
-    signature too. Who has more than FIRST in phase 2 comes back as (bucket, a).
+    signature and the halves too. Who has more than FIRST in phase 2 comes back
+    as (bucket, a).
     Sets whose sizes rule a link out aren't paired.
     """
 
@@ -254,7 +261,20 @@ def stars(phase: int):
         earlier = keys[i, : place[i]]
         return np.array([np.isin(earlier, keys[o]).any() for o in others], bool)
 
-    def outsiders(bucket, ids, n, signature, comp, outer, visitor, salted, keys, place, fine, small):
+    def share_enough(halves, n, i, others):
+        """Of the others: whether enough of their halves are halves of i's; who has none, or if i has none, isn't ruled out."""
+        values, bounds = halves
+        own = values[bounds[i] : bounds[i + 1]]
+        size = bounds[others + 1] - bounds[others]
+        if not len(own) or not size.any():
+            return np.ones(len(others), bool)
+        whose = np.repeat(np.arange(len(others)), size)
+        theirs = values[np.arange(len(whose)) + np.repeat(bounds[others] - np.cumsum(size) + size, size)]
+        hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+        both = np.bincount(whose[hit], minlength=len(others))
+        return (size == 0) | (100 * both >= PERCENT * (n[others] + n[i] - both))
+
+    def outsiders(bucket, ids, n, signature, comp, outer, visitor, salted, keys, place, fine, halves, small):
         outside = outer
         if not salted:
             names, count = np.unique(comp, return_counts=True)
@@ -267,8 +287,10 @@ def stars(phase: int):
             if phase == 2 and len(keep) > FIRST:
                 keep = keep[np.argsort(-same[keep], kind="stable")[:FIRST]]
                 yield out(bucket, ids[i : i + 1], [None])
-            elif phase == 3 and not small:
-                keep = keep[(fine[others[keep]] == fine[i]).sum(axis=1) >= MAY_FINE]
+            elif phase == 3:
+                if not small:
+                    keep = keep[(fine[others[keep]] == fine[i]).sum(axis=1) >= MAY_FINE]
+                keep = keep[share_enough(halves, n, i, others[keep])]
             if len(keep):
                 yield out(bucket, *pair(ids[others[keep]], ids[i]))
 
@@ -278,13 +300,15 @@ def stars(phase: int):
         ids, n, comp, outer, visitor, salted = (t.column(c).to_numpy() for c in ("id", "n", "comp", "outer", "visitor", "salted"))
         packed = flat(t.column("sig"))[0].reshape(len(bucket), -1)
         signature, keys, fine = packed[:, :BINS], np.ascontiguousarray(packed[:, BINS:PACKED]).view("<u4"), packed[:, PACKED:]
+        values, bounds = flat(t.column("halves")) if phase == 3 else (np.zeros(0, np.uint8), np.zeros(len(bucket) + 1, np.int64))
+        values, bounds = np.ascontiguousarray(values).view("<u4"), bounds // 4
         place = t.column("band_no").to_numpy() - np.where((bucket & 1 == 1) & (n > BOTH), BANDS, 0)
         at = np.append(run_starts(bucket, salt), len(bucket))
         for s, e in zip(at[:-1], at[1:]):
             if phase == 1 and (e - s > 1 or salted[s]):
                 yield from first_stars(bucket[s], ids[s:e], n[s:e], signature[s:e], salted[s], bucket[s] & 1)
             elif phase > 1 and e - s > 1:
-                yield from outsiders(bucket[s], ids[s:e], n[s:e], signature[s:e], comp[s:e], outer[s:e], visitor[s:e], salted[s], keys[s:e], place[s:e], fine[s:e], bucket[s] & 1)
+                yield from outsiders(bucket[s], ids[s:e], n[s:e], signature[s:e], comp[s:e], outer[s:e], visitor[s:e], salted[s], keys[s:e], place[s:e], fine[s:e], (values, bounds[s : e + 1]), bucket[s] & 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -340,7 +364,7 @@ def star_pairs(members: DataFrame, bands: DataFrame, phase: int) -> tuple[DataFr
         else:
             salts = F.when(F.col("outer"), every).otherwise(F.array("own"))
         dealt = dealt.withColumn("salt", F.explode(salts))
-        dealt = dealt.withColumn("visitor", F.col("outer") & (F.col("salt") != F.col("own"))).select("bucket", "salt", "band_no", "id", "n", "sig", "comp", "salted", "outer", "visitor")
+        dealt = dealt.withColumn("visitor", F.col("outer") & (F.col("salt") != F.col("own"))).select("bucket", "salt", "band_no", "id", "n", "sig", "comp", "salted", "outer", "visitor", *(["halves"] if phase == 3 else []))
         dealt = dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "id")
         found = kept(dealt.mapInArrow(stars(phase), "bucket bigint, a bigint, b bigint").distinct())
         new = found.where("b is not null").select("a", "b")
@@ -366,7 +390,7 @@ def star_edges(members: DataFrame, bands: DataFrame, sets: DataFrame) -> DataFra
             roots = components(known.where("ok").select("a", "b"))
             rows = members.join(roots, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
         if phase == 2:
-            rows = rows.join(more, "bucket", "left_semi").join(sets.select("id", "fine"), "id").withColumn("sig", F.concat("sig", "fine")).drop("fine")
+            rows = rows.join(more, "bucket", "left_semi").join(sets.select("id", "fine", "halves"), "id").withColumn("sig", F.concat("sig", "fine")).drop("fine")
     return known.where("ok").select("a", "b")
 
 

@@ -83,3 +83,25 @@ def test_short_pairs_at_the_threshold(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     got = {i: c for i, _, c, _ in near_duplicates(df).collect()}
     assert [i for i in range(n) if not got[2 * i] == got[2 * i + 1] == 2 * i] == []
+
+
+def test_only_links_are_left_of_a_group_of_near_copies(spark, monkeypatch):
+    import tessera.llm.near_dedup as module
+
+    # 150 texts that share 70 % of their shingles with each other, one group of which links: each is outside the largest component
+    r, rows = random.Random(3), []
+    base = ["b%d" % i for i in range(164)]
+    for i in range(150):
+        own = list(base)
+        if i > 9:
+            at = r.randrange(130)
+            own[at : at + 26] = ["t%d.%d" % (i, k) for k in range(26)]
+        rows.append((i, " ".join([*own, "x%d" % i])))
+    tested, seen = module.tested, []
+    monkeypatch.setattr(module, "tested", lambda pairs, sets: seen.append(pairs.count()) or tested(pairs, sets))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert {tuple(x) for x in near_duplicates(df).collect()} == brute(rows)
+    monkeypatch.setattr(module, "FULL", 0)
+    whole, seen[:] = list(seen), []
+    assert {tuple(x) for x in near_duplicates(df).collect()} == brute(rows)
+    assert whole[:2] == seen[:2] and whole[2] * 10 < seen[2]
