@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.components import components
+from tessera.llm.components import components, extended
 from tessera.llm.kernels import LOWER, Tables, flat, lists, mix, run_starts, signed, slices, span_hashes, words
-from tessera.session import kept
+from tessera.session import written
 
 BINS = 128
 ROWS = 4
@@ -336,8 +336,11 @@ def stars(phase: int):
     return run
 
 
-def star_pairs(members: DataFrame, bands: DataFrame, phase: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) over all buckets of members(bucket, band_no, id, n, sig, comp), once each; the buckets where phase 2 left some out.
+def star_pairs(members: DataFrame, bands: DataFrame, packed: DataFrame, phase: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) over all buckets of members(bucket, band_no, id, n, comp), once each; the buckets where phase 2 left some out.
+
+    ``packed`` has what is compared of each id: sig and small, in phase 3 fine
+    and halves too. It meets the members when these have been dealt out.
 
     A bucket of over MOST members is dealt out by a salt. In phase 1 the
     centres of its parts meet in a next round, with one band more in the key,
@@ -355,7 +358,8 @@ def star_pairs(members: DataFrame, bands: DataFrame, phase: int) -> tuple[DataFr
         else:
             counted = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
             large = counted.groupBy("bucket").agg(F.sum("c").alias("m"), F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main")).where(F.col("m") > MOST)
-        split = rows.join(large, "bucket", "left").withColumn("salted", F.col("m").isNotNull() & F.lit(not last))
+        # there is one large bucket for every MOST members at most
+        split = rows.join(F.broadcast(large), "bucket", "left").withColumn("salted", F.col("m").isNotNull() & F.lit(not last))
         parts = F.coalesce(F.ceil(F.col("m") / (MOST // 2 if last else MOST)), F.lit(1))
         dealt = split.withColumn("own", F.pmod(F.xxhash64("id"), parts)).withColumn("outer", F.col("salted") & F.lit(phase > 1) & F.coalesce(F.col("comp") != F.col("main"), F.lit(False)))
         every = F.sequence(F.lit(0).cast("bigint"), parts - 1)
@@ -364,34 +368,41 @@ def star_pairs(members: DataFrame, bands: DataFrame, phase: int) -> tuple[DataFr
         else:
             salts = F.when(F.col("outer"), every).otherwise(F.array("own"))
         dealt = dealt.withColumn("salt", F.explode(salts))
-        dealt = dealt.withColumn("visitor", F.col("outer") & (F.col("salt") != F.col("own"))).select("bucket", "salt", "band_no", "id", "n", "sig", "comp", "salted", "outer", "visitor", *(["halves"] if phase == 3 else []))
+        sig = F.when(F.col("bucket").bitwiseAND(F.lit(1).cast("bigint")) == 1, F.col("small")).otherwise(F.col("sig"))
+        compared = [F.concat(sig, "fine").alias("sig"), "halves"] if phase == 3 else [sig.alias("sig")]
+        dealt = dealt.withColumn("visitor", F.col("outer") & (F.col("salt") != F.col("own"))).join(packed, "id")
+        dealt = dealt.select("bucket", "salt", "band_no", "id", "n", "comp", "salted", "outer", "visitor", *compared)
         dealt = dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "id")
-        found = kept(dealt.mapInArrow(stars(phase), "bucket bigint, a bigint, b bigint").distinct())
+        found = written(dealt.mapInArrow(stars(phase), "bucket bigint, a bigint, b bigint").distinct())
         new = found.where("b is not null").select("a", "b")
         pairs = new if pairs is None else pairs.union(new)
         centres = found.where("b is null").select("bucket", F.col("a").alias("id"))
         if phase > 1 or centres.isEmpty():
             return pairs.distinct(), centres.select("bucket").distinct()
-        again = centres.join(rows, ["bucket", "id"]).join(bands, "id").select("bucket", "id", "n", "sig", "comp", "band_no", F.posexplode("bands").alias("i", "band"))
+        again = centres.join(rows, ["bucket", "id"]).join(bands, "id").select("bucket", "id", "n", "comp", "band_no", F.posexplode("bands").alias("i", "band"))
         kind = F.col("bucket").bitwiseAND(F.lit(1).cast("bigint"))
-        rows = again.where("i > band_no").select(F.xxhash64("bucket", "band").bitwiseAND(F.lit(-2).cast("bigint")).bitwiseOR(kind).alias("bucket"), "id", "n", "sig", "comp", F.col("i").alias("band_no"))
+        rows = again.where("i > band_no").select(F.xxhash64("bucket", "band").bitwiseAND(F.lit(-2).cast("bigint")).bitwiseOR(kind).alias("bucket"), "id", "n", "comp", F.col("i").alias("band_no"))
 
 
-def star_edges(members: DataFrame, bands: DataFrame, sets: DataFrame) -> DataFrame:
-    """Confirmed links (a, b): every two members of a bucket that may link end in one component, or were compared in full."""
-    known, rows = None, members.withColumn("comp", F.col("id"))
+def star_roots(members: DataFrame, bands: DataFrame, packed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, component) by confirmed links: every two members of a bucket that may link end in one component, or were compared in full."""
+    known, roots, rows = None, None, members.withColumn("comp", F.col("id"))
     for phase in (1, 2, 3):
-        pairs, more = star_pairs(rows, bands, phase)
+        pairs, more = star_pairs(rows, bands, packed, phase)
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
-        new = kept(tested(pairs, sets))
+        new = written(tested(pairs, sets))
         known = new if known is None else known.union(new)
+        links = new.where("ok").select("a", "b")
+        if roots is None:
+            roots = components(links)
+        elif not links.isEmpty():
+            roots = extended(roots, links)
         if phase < 3:
-            roots = components(known.where("ok").select("a", "b"))
             rows = members.join(roots, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
         if phase == 2:
-            rows = rows.join(more, "bucket", "left_semi").join(sets.select("id", "fine", "halves"), "id").withColumn("sig", F.concat("sig", "fine")).drop("fine")
-    return known.where("ok").select("a", "b")
+            rows, packed = rows.join(more, "bucket", "left_semi"), packed.join(sets.select("id", "fine", "halves"), "id")
+    return roots
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -404,18 +415,17 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     a key are one document (if their texts differ, that of the smallest
     fingerprint); a null key gives one row that links with nothing and is kept.
     """
-    rows = kept(profiles(documents, key, text).groupBy("id").agg(F.min(F.struct("f", "g", "n", "bands", "sig", "small")).alias("p")).select("id", "p.*"))
+    rows = written(profiles(documents, key, text).groupBy("id").agg(F.min(F.struct("f", "g", "n", "bands", "sig", "small")).alias("p")).select("id", "p.*"))
     # equal sets are one class, represented by its smallest document
     classes = rows.where("n > 0 and id is not null").groupBy("f", "g", "n").agg(F.min("id").alias("rep"))
     member = rows.select("id", "f", "g", "n").join(classes, ["f", "g", "n"], "left")
     reps = rows.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").where("n > 0")
     entries = reps.select("id", "n", F.posexplode("bands").alias("band_no", "bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    packed = F.when(F.col("bucket").bitwiseAND(F.lit(1).cast("bigint")) == 1, F.col("small")).otherwise(F.col("sig")).alias("sig")
-    members = kept(entries.join(shared, "bucket").join(rows.select("id", "sig", "small"), "id").select("id", "bucket", "n", "band_no", packed))
-    wanted = rows.select("id", "f").join(members.select("id").distinct(), "id", "left_semi")
-    sets = kept(full_sets(documents, key, text, wanted))
-    roots = components(star_edges(members, reps.select("id", "bands"), sets))
+    members = written(entries.join(shared, "bucket").select("id", "bucket", "n", "band_no"))
+    compared = written(rows.select("id", "f", "sig", "small").join(members.select("id").distinct(), "id", "left_semi"))
+    sets = written(full_sets(documents, key, text, compared.select("id", "f")))
+    roots = star_roots(members, reps.select("id", "bands"), compared.drop("f"), sets)
     out = member.join(roots.select(F.col("id").alias("rep"), "component"), "rep", "left")
     found = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("id") == found, F.lit(True)).alias("kept"))

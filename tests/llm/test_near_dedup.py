@@ -105,3 +105,29 @@ def test_only_links_are_left_of_a_group_of_near_copies(spark, monkeypatch):
     whole, seen[:] = list(seen), []
     assert {tuple(x) for x in near_duplicates(df).collect()} == brute(rows)
     assert whole[:2] == seen[:2] and whole[2] * 10 < seen[2]
+
+
+def test_signatures_are_dealt_out_once_a_phase(spark, monkeypatch):
+    import re
+
+    import tessera.llm.near_dedup as module
+
+    plans = []
+    plain = module.written
+    monkeypatch.setattr(module, "written", lambda rows: plans.append(str(rows._jdf.queryExecution().executedPlan())) or plain(rows))
+    rows = corpus(4)
+    assert {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == brute(rows)
+    first = next(p for p in plans if "hashpartitioning(bucket" in p and ", salt" in p)
+    # by bucket alone only counts are dealt out, not the members with what is compared of them
+    assert len(re.findall(r"hashpartitioning\(bucket#\w+, \d+\)", first)) == 1
+
+
+def test_components_are_extended(spark):
+    from tessera.llm.components import components, extended
+
+    r = random.Random(5)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(260)]
+    frame = lambda e: spark.createDataFrame(e, "a bigint, b bigint")
+    whole = sorted(map(tuple, components(frame(edges)).collect()))
+    assert sorted(map(tuple, extended(components(frame(edges[:180])), frame(edges[180:])).collect())) == whole
+    assert sorted(map(tuple, extended(components(frame(edges[:0])), frame(edges)).collect())) == whole
