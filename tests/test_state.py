@@ -2,8 +2,10 @@
 
 import random
 import re
+import zlib
 from collections import OrderedDict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +116,16 @@ def test_tokens_and_sentences_of_the_chunker():
     assert [tuple(x) for x in chunking.Units("a b c d e", 2).chunks(2, 2, 0, 1, False)] == [(0, 3, 2), (4, 7, 2), (8, 9, 1)]
 
 
+def test_texts_of_a_batch_are_chunked_together_and_alike(spark):
+    texts = [TOPICS, "", 'Ends in "marks."', "  \n ", "One only.", "(a.) b.\n\nc " * 40, "ΑΣ οΣ. " * 9, "x" * 90 + " " + TOPICS, "中文。后 " * 30]
+    alone = [(i, o, *c) for i, t in enumerate(texts) for o, c in enumerate(chunking.Units(t, 40).chunks(30, 40, 8, 5, True))]
+    assert chunking.Units(texts, 40).packed(30, 40, 8, 5, True) == alone
+    # a letter that is longer in lower case moves nothing behind it
+    assert chunking.Units("\u0130 " + TOPICS, 140).breaks().tolist() == chunking.Units("i " + TOPICS, 140).breaks().tolist()
+    data = np.frombuffer(b"abc" * 50, np.uint8)
+    assert chunking.crc32_of(data, np.array([0, 1, 3]), np.array([3, 140, 0])).tolist() == [zlib.crc32(b"abc"), zlib.crc32((b"abc" * 50)[1:141]), 0]
+
+
 @pytest.mark.parametrize("n", [1, 5])
 def test_originals(spark, n):
     one = "| a | b |\n|---|:-:|\n| 1 | x |\n| 2 | y |"
