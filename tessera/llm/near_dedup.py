@@ -48,6 +48,8 @@ PACKED = BINS + 4 * BANDS
 FIRST = 4
 #: Members of a bucket that one task compares; larger buckets are salted, and their centres meet again.
 MOST, ROUNDS = 8192, 3
+#: Pairs of a batch that leaves a task, and what stands for a missing partner there.
+STEP, NONE = 65_536, np.iinfo(np.int64).min
 #: Added to the hash of a word by its place in a shingle.
 PLACE = np.cumsum(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 _tables = Tables()
@@ -76,8 +78,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple
         values.append(mix(sums + np.uint64(len(own))))
         owner.append(np.array([i]))
     values, owner = np.concatenate(values), np.concatenate(owner)
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
+    if (owner[1:] < owner[:-1]).any():
+        order = np.argsort(owner, kind="stable")
+        values, owner = values[order], owner[order]
+    bounds = np.append(run_starts(owner), len(owner))
+    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        values[s:e].sort()  # a text's own run: several times faster than an order of all
     at = run_starts(owner, values)
     return values[at], owner[at]
 
@@ -219,47 +225,105 @@ def stars(phase: int):
     Sets whose sizes rule a link out aren't paired.
     """
 
-    def out(bucket, a, b):
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(np.full(len(a), bucket), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def out(found):
+        """A batch of the rows (bucket, a, b) found, of which b may be missing."""
+        bucket, a, b = (np.concatenate([np.asarray(f[i], np.int64) for f in found]) for i in range(3))
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(a), pa.array(b, mask=b == NONE)], names=["bucket", "a", "b"])
 
-    def fits(signature, n, small, i, others):
-        """(of the others: whether a link with i isn't ruled out, likeness)"""
-        sized = 100 * np.minimum(n[others], n[i]) >= PERCENT * np.maximum(n[others], n[i])
+    def fits(n, m, same, small, own, other):
+        """(whether a link between sets of n and m shingles isn't ruled out, likeness), from bins that agree or bits in common; of bitmaps ``own`` and ``other`` are the numbers of bits."""
+        sized = 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
         if not small:
-            same = (signature[others] == signature[i]).sum(axis=1)
             return sized & (same >= MAY), same
         # what one has and the other lacks, at least; a link leaves room for so many
-        lacks = np.bitwise_count(signature[i] & ~signature[others]).sum(axis=1, dtype=np.int64)
-        extra = np.bitwise_count(signature[others] & ~signature[i]).sum(axis=1, dtype=np.int64)
-        shared = -(-PERCENT * (n[others] + n[i]) // (100 + PERCENT))
-        return sized & (lacks <= n[i] - shared) & (extra <= n[others] - shared), -lacks - extra
+        lacks, extra = own - same, other - same
+        shared = -(-PERCENT * (n + m) // (100 + PERCENT))
+        return sized & (lacks <= n - shared) & (extra <= m - shared), -lacks - extra
+
+    def couples(n, signature, small, x, y):
+        """Of the couples of rows (x, y): whether a link isn't ruled out."""
+        if not small:
+            return fits(n[x], n[y], (signature[x] == signature[y]).sum(axis=1), small, None, None)[0]
+        p, q = np.ascontiguousarray(signature[x]).view(np.uint64), np.ascontiguousarray(signature[y]).view(np.uint64)
+        own, other, same = (np.bitwise_count(z).sum(axis=1, dtype=np.int64) for z in (p, q, p & q))
+        return fits(n[x], n[y], same, small, own, other)[0]
+
+    def alike(bins, bytes_):
+        """In how many rows of ``bins`` each column has the row's byte."""
+        return (bins == bytes_[:, None]).view(np.uint8).sum(axis=0, dtype=np.uint8).astype(np.int64)  # BINS at most
+
+    class Group:
+        """The members of a bucket, with what is compared of them by columns: a row a bin, or a row 64 bits."""
+
+        def __init__(self, n, signature, small):
+            self.n, self.small = n, small
+            self.columns = np.ascontiguousarray((np.ascontiguousarray(signature).view(np.uint64) if small else signature).T)
+            self.bits = np.bitwise_count(self.columns).sum(axis=0, dtype=np.int64) if small else None
+
+        def with_(self, i):
+            """(whether a link with i isn't ruled out, likeness) of each member."""
+            column = self.columns[:, i]
+            if not self.small:
+                return fits(self.n[i], self.n, alike(self.columns, column), False, None, None)
+            same = np.bitwise_count(self.columns & column[:, None]).sum(axis=0, dtype=np.int64)
+            return fits(self.n[i], self.n, same, True, self.bits[i], self.bits)
+
+        def of(self, members):
+            self.n, self.columns = self.n[members], np.ascontiguousarray(self.columns[:, members])
+            self.bits = self.bits[members] if self.small else None
 
     def pair(x, y):
         return np.maximum(x, y), np.minimum(x, y)
 
     def first_stars(bucket, ids, n, signature, salted, small):
-        free, centres = np.arange(len(ids)), []
-        while len(free):
-            own = signature[free]
-            modal = np.zeros(BINS, np.uint8) if len(free) < 3 else np.array([np.bincount(own[:, i], minlength=256).argmax() for i in range(BINS)], np.uint8)
-            k = int((own == modal).sum(axis=1).argmax()) if len(free) > 2 else 0
-            c = free[k]
-            centres.append(ids[c])
-            near, _ = fits(signature, n, small, c, free)
+        """Stars of a bucket of three or more. Counts of the bins' bytes follow the members that are left, and likenesses to the most common ones change where these do."""
+        group, bins = Group(n, signature, small), np.ascontiguousarray(signature.T)
+        base = (np.arange(BINS) * 256)[:, None]
+        counts = np.bincount((base + bins).ravel(), minlength=BINS * 256).astype(np.int32)
+        modal = np.zeros(BINS, np.uint8)
+        like = alike(bins, modal)
+        free, left, centres = np.ones(len(ids), bool), len(ids), []
+        while left:
+            k = int(free.argmax())
+            if left > 2:
+                now = counts.reshape(BINS, 256).argmax(axis=1).astype(np.uint8)
+                other = np.flatnonzero(now != modal)
+                if len(other):
+                    like += alike(bins[other], now[other]) - alike(bins[other], modal[other])
+                modal = now
+                k = int(np.where(free, like, -1).argmax())
+            centres.append(ids[k])
+            near, _ = group.with_(k)
+            near &= free
             near[k] = False
             if near.any():
-                yield out(bucket, *pair(ids[free[near]], ids[c]))
+                a, b = pair(ids[near], ids[k])
+                yield np.full(len(a), bucket), a, b
             near[k] = True
-            free = free[~near]
+            gone = np.flatnonzero(near)
+            np.subtract.at(counts, (base + bins[:, gone]).ravel(), 1)
+            free[gone] = False
+            left -= len(gone)
+            if 2 * left < len(free) and left > 2:
+                some = np.flatnonzero(free)
+                group.of(some)
+                ids, like, bins, free = ids[some], like[some], np.ascontiguousarray(bins[:, some]), np.ones(left, bool)
         if salted:
-            yield out(bucket, np.array(centres), [None] * len(centres))
+            yield np.full(len(centres), bucket), centres, np.full(len(centres), NONE)
+
+    def first_couples(bucket, ids, n, signature, salted, small, x):
+        """The stars of buckets of two, at the rows x and x + 1."""
+        near = couples(n, signature, small, x, x + 1)
+        a, b = pair(ids[x[near]], ids[x[near] + 1])
+        yield bucket[x[near]], a, b
+        centres = np.concatenate([x[salted[x]], x[salted[x] & ~near] + 1])
+        yield bucket[centres], ids[centres], np.full(len(centres), NONE)
 
     def met_before(keys, place, i, others, small):
         """Of the others: whether a bucket of an earlier key is shared too."""
         if not small:
             return (keys[others] == keys[i]).argmax(axis=1) != place[i]
-        earlier = keys[i, : place[i]]
-        return np.array([np.isin(earlier, keys[o]).any() for o in others], bool)
+        return np.isin(keys[others], keys[i, : place[i]]).any(axis=1)
 
     def share_enough(halves, n, i, others):
         """Of the others: whether enough of their halves are halves of i's; who has none, or if i has none, isn't ruled out."""
@@ -279,20 +343,35 @@ def stars(phase: int):
         if not salted:
             names, count = np.unique(comp, return_counts=True)
             outside = comp != names[count.argmax()]
+        group = Group(n, signature, small) if outside.any() else None
         for i in np.flatnonzero(outside):
-            others = np.flatnonzero((comp != comp[i]) & ~visitor)
-            near, same = fits(signature, n, small, i, others)
-            keep = np.flatnonzero(near)
-            keep = keep[~met_before(keys, place, i, others[keep], small)]
+            near, same = group.with_(i)
+            keep = np.flatnonzero(near & (comp != comp[i]) & ~visitor)
+            keep = keep[~met_before(keys, place, i, keep, small)]
             if phase == 2 and len(keep) > FIRST:
                 keep = keep[np.argsort(-same[keep], kind="stable")[:FIRST]]
-                yield out(bucket, ids[i : i + 1], [None])
+                yield [bucket], ids[i : i + 1], [NONE]
             elif phase == 3:
                 if not small:
-                    keep = keep[(fine[others[keep]] == fine[i]).sum(axis=1) >= MAY_FINE]
-                keep = keep[share_enough(halves, n, i, others[keep])]
+                    keep = keep[(fine[keep] == fine[i]).sum(axis=1) >= MAY_FINE]
+                keep = keep[share_enough(halves, n, i, keep)]
             if len(keep):
-                yield out(bucket, *pair(ids[others[keep]], ids[i]))
+                a, b = pair(ids[keep], ids[i])
+                yield np.full(len(a), bucket), a, b
+
+    def outside_couples(bucket, ids, n, signature, comp, keys, place, small, x):
+        """What phase 2 pairs in buckets of two that aren't salted, at the rows x and x + 1: the member of the larger component with the other."""
+        x = x[comp[x] != comp[x + 1]]
+        i = np.where(comp[x] > comp[x + 1], x, x + 1)
+        near = couples(n, signature, small, i, 2 * x + 1 - i)
+        i, o = i[near], (2 * x + 1 - i)[near]
+        if not small:
+            met = (keys[o] == keys[i]).argmax(axis=1) != place[i]
+        else:
+            earlier = np.arange(BANDS) < place[i][:, None]
+            met = ((keys[i][:, :, None] == keys[o][:, None, :]).any(axis=2) & earlier).any(axis=1)
+        a, b = pair(ids[i[~met]], ids[o[~met]])
+        yield bucket[i[~met]], a, b
 
     def flush(held):
         t = pa.Table.from_batches(held).combine_chunks()
@@ -304,12 +383,36 @@ def stars(phase: int):
         values, bounds = np.ascontiguousarray(values).view("<u4"), bounds // 4
         place = t.column("band_no").to_numpy() - np.where((bucket & 1 == 1) & (n > BOTH), BANDS, 0)
         at = np.append(run_starts(bucket, salt), len(bucket))
-        for s, e in zip(at[:-1], at[1:]):
-            if phase == 1 and (e - s > 1 or salted[s]):
+        # most buckets are couples: these are compared all at once
+        size, two = np.diff(at), np.zeros(len(at) - 1, bool)
+        if phase < 3:
+            two = (size == 2) & ((phase == 1) | ~salted[at[:-1]])
+        for small in (0, 1):
+            x = at[:-1][two & (bucket[at[:-1]] & 1 == small)]
+            if len(x) and phase == 1:
+                yield from first_couples(bucket, ids, n, signature, salted, small, x)
+            elif len(x):
+                yield from outside_couples(bucket, ids, n, signature, comp, keys, place, small, x)
+        for s, e in zip(at[:-1][~two], at[1:][~two]):
+            if phase == 1 and e - s == 1 and salted[s]:
+                yield bucket[s:e], ids[s:e], [NONE]
+            elif phase == 1 and e - s > 1:
                 yield from first_stars(bucket[s], ids[s:e], n[s:e], signature[s:e], salted[s], bucket[s] & 1)
-            elif phase > 1 and e - s > 1:
+            elif e - s > 1:
                 yield from outsiders(bucket[s], ids[s:e], n[s:e], signature[s:e], comp[s:e], outer[s:e], visitor[s:e], salted[s], keys[s:e], place[s:e], fine[s:e], (values, bounds[s : e + 1]), bucket[s] & 1)
 
+    def packed_up(rows):
+        """The rows found, some tens of thousands a batch."""
+        found, size = [], 0
+        for part in rows:
+            found.append(part)
+            size += len(part[1])
+            if size >= STEP:
+                yield out(found)
+                found, size = [], 0
+        if size:
+            yield out(found)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
@@ -325,13 +428,13 @@ def stars(phase: int):
                 batch, at = batch.slice(cut), at[1:] - cut
             if batch.num_rows:
                 if held:
-                    yield from flush(held)
+                    yield from packed_up(flush(held))
                 last = (bucket[-1], salt[-1])
                 if len(at) > 1:
-                    yield from flush([batch.slice(0, int(at[-1]))])
+                    yield from packed_up(flush([batch.slice(0, int(at[-1]))]))
                 held = [batch.slice(int(at[-1]))]
         if held:
-            yield from flush(held)
+            yield from packed_up(flush(held))
 
     return run
 

@@ -131,3 +131,45 @@ def test_components_are_extended(spark):
     whole = sorted(map(tuple, components(frame(edges)).collect()))
     assert sorted(map(tuple, extended(components(frame(edges[:180])), frame(edges[180:])).collect())) == whole
     assert sorted(map(tuple, extended(components(frame(edges[:0])), frame(edges)).collect())) == whole
+
+
+def test_buckets_are_compared_at_once():
+    import tessera.llm.near_dedup as module
+
+    r = np.random.default_rng(7)
+
+    def rows(sizes, small):
+        bucket = np.repeat(2 * np.arange(len(sizes)) + small, sizes)
+        texts = r.integers(0, 256, (len(bucket), module.PACKED), dtype=np.uint8)
+        for i in range(1, len(bucket)):
+            if bucket[i] == bucket[i - 1] and i % 3:  # near copies of the member before, and others
+                texts[i] = texts[i - 1]
+                texts[i, : 4 * (i % 3)] ^= 1
+        n = np.bitwise_count(texts[:, : module.BINS]).sum(axis=1, dtype=np.int64) if small else np.full(len(bucket), 200)
+        zeros = np.zeros(len(bucket), np.int64)
+        return pa.RecordBatch.from_pydict({"bucket": bucket, "salt": zeros, "band_no": zeros, "id": np.arange(len(bucket)), "n": n.astype(np.int64), "comp": np.arange(len(bucket)), "salted": pa.array([False] * len(bucket)), "outer": pa.array([False] * len(bucket)), "visitor": pa.array([False] * len(bucket)), "sig": module.rows_of_bytes(texts)}), texts, n
+
+    def expected(batch, texts, n, small):
+        """Star by star, on rows."""
+        bucket, found = batch.column("bucket").to_numpy(), set()
+        for g in np.unique(bucket):
+            free = np.flatnonzero(bucket == g)
+            while len(free):
+                own = texts[free, : module.BINS]
+                modal = np.array([np.bincount(own[:, i], minlength=256).argmax() for i in range(module.BINS)])
+                c = free[(own == modal).sum(axis=1).argmax() if len(free) > 2 else 0]
+                same = np.bitwise_count(texts[free, : module.BINS] & texts[c, : module.BINS]).sum(axis=1, dtype=np.int64) if small else (own == texts[c, : module.BINS]).sum(axis=1)
+                shared = -(-module.PERCENT * (n[free] + n[c]) // (100 + module.PERCENT))
+                near = (100 * np.minimum(n[free], n[c]) >= module.PERCENT * np.maximum(n[free], n[c])) & ((same >= shared) if small else (same >= module.MAY))
+                near[free == c] = False
+                found |= {(max(c, i), min(c, i)) for i in free[near].tolist()}
+                free = free[~near & (free != c)]
+        return {(int(a), int(b)) for a, b in found}
+
+    for sizes in ([2] * 500, [1, 3, 40, 2, 7, 150]):
+        for small in (0, 1):
+            batch, texts, n = rows(sizes, small)
+            got = list(module.stars(1)(iter([batch])))
+            # a batch for all of them, not one for each star
+            assert len(got) <= 2
+            assert {(a, b) for g in got for a, b in zip(g.column("a").to_pylist(), g.column("b").to_pylist())} == expected(batch, texts, n, small)
