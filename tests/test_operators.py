@@ -268,6 +268,32 @@ def test_similar_pairs_over_blocks_of_all_sizes(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want and (502, 503) in want and len(want) > 20
 
 
+def test_similar_pairs_reads_tokens_once(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    sets = {i: sorted({"common", *r.sample(["w%d" % x for x in range(30)], r.choice([0, 2, 3, 12, 14]))}) for i in range(80)}
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def tokens(t):
+        read.add(1)
+        return t
+
+    df = spark.createDataFrame(list(sets.items()), "id long, t array<string>").repartition(2).select("id", tokens("t").alias("t"))
+    first = {}
+    for i, s in sets.items():
+        if len(s) >= 3:
+            first.setdefault(tuple(s), i)
+    want = {(a, b, round(len({*s} & {*t}) / len({*s} | {*t}), 6)) for s, a in first.items() for t, b in first.items() if a < b and len({*s} & {*t}) / len({*s} | {*t}) >= 0.55}
+    want |= {(first[tuple(s)], i, 1.0) for i, s in sets.items() if len(s) >= 3 and first[tuple(s)] != i}
+    got = [tuple(x) for x in memory.similar_pairs(df, "id", "t", 0.55, 3).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 8
+    assert read.value == len(sets)
+
+
 def test_fanned_out_takes_the_first_parents_that_have_chunks(spark):
     import random
 
